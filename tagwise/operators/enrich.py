@@ -12,6 +12,12 @@ def with_list_price(offers: DataFrame, list_prices: DataFrame, extra: tuple[str,
     return offers.join(dim, ["article", "year"], "left")
 
 
+def with_product(df: DataFrame, list_prices: DataFrame) -> DataFrame:
+    """The article's name in the year of the row: one name, so no row is repeated."""
+    names = list_prices.groupBy("article", "year").agg(F.min("product").alias("product"))
+    return df.withColumn("year", F.year("date")).join(names, ["article", "year"], "left")
+
+
 def with_supply_price(df: DataFrame, supply: DataFrame) -> DataFrame:
     dim = supply.select("article", "year", "product", F.col("price").alias("ancor"))
     return df.join(dim, ["article", "year"], "left")

@@ -105,7 +105,7 @@ def discount_histogram(
     place = F.floor((disc - low) / F.nullif(high - low, F.lit(0.0)) * bins) + 1
     counts = (
         df.filter(disc.between(low, high))
-        .select(*market_keys(df, "shop"), F.coalesce(F.least(place, F.lit(bins)), F.lit(1)).cast("int").alias("bin"))
+        .select(*market_keys(df, "shop"), F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
         .groupBy(*market_keys(df, "shop"), "bin")
         .agg(F.count("*").alias("count"))
     )

@@ -88,7 +88,7 @@ def countries(offers: DataFrame) -> DataFrame:
 def default_shops(offers: DataFrame, preferred: tuple[str, ...] = model.PREFERRED_SHOPS, n: int = 2) -> DataFrame:
     """Per article the first ``n`` preferred shops it is offered by, else the first shop in the alphabet.
 
-    One flag per preferred shop is aggregated, so an article sends at most one row per map task to the shuffle however
+    One value per preferred shop is aggregated, so an article sends at most one row per map task to the shuffle however
     many shops offer it.
     """
     keys = market_keys(offers, "article")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tagwise.operators.enrich import with_list_price
+from tagwise.operators.enrich import with_product
 from tagwise.operators.ranking import price_levels
 from tagwise.operators.slicing import Day, market_keys, on_date
 
@@ -22,9 +22,7 @@ def near_cheapest(
         span = F.max(measure).over(whole) - F.min(measure).over(whole)
         levels = levels.withColumn("_span", span).filter(F.col("_span") >= min_gap).drop("_span")
     shop_price = (
-        offers.filter(F.col(measure).isNotNull())
-        .groupBy(*cell, "shop")
-        .agg(F.min(measure).alias(measure), F.min("product").alias("product"))
+        offers.filter(F.col(measure).isNotNull()).groupBy(*cell, "shop").agg(F.min(measure).alias(measure))
     )
     return shop_price.join(levels, [*cell, measure])
 
@@ -54,30 +52,39 @@ def min_price_gaps(
     """
     if min_diff <= 0:
         raise ValueError("min_diff must be positive")
-    cell = market_keys(offers, "date", "article")
-    day = with_list_price(on_date(offers, date), list_prices)
-    near = near_cheapest(day, depth, measure, min_gap=min_diff)
-    # A dearer rank up to depth + 1 exists only where rank 1 is held by at most depth offers, so base_shops is that short.
+    near = near_cheapest(on_date(offers, date), depth, measure, min_gap=min_diff)
+    # A cell holds one row per shop. A dearer rank up to depth + 1 exists only where at most depth offers hold rank 1,
+    # so base_shops is that short and the rows per rival stay within depth.
+    whole = Window.partitionBy(*market_keys(offers, "date", "article"))
     is_base = F.col("rank") == 1
     if base_shop is not None:
         is_base = is_base & (F.col("shop") == base_shop)
-    cells = (
-        near.groupBy(*cell)
-        .agg(
-            F.min(measure).alias("base_price"),
-            (F.max(measure) - F.min(measure)).alias("largest"),
-            F.collect_set(F.when(is_base, F.col("shop"))).alias("base_shops"),
+    rivals = (
+        near.withColumns(
+            {
+                "base_price": F.min(measure).over(whole),
+                "largest": F.max(measure).over(whole) - F.min(measure).over(whole),
+                "base_shops": F.collect_set(F.when(is_base, F.col("shop"))).over(whole),
+            }
         )
         .filter(F.col("largest") >= min_diff)
-    )
-    rivals = (
-        near.join(cells, cell)
         .withColumn("base_shop", F.explode("base_shops"))
         .filter(F.col("shop") != F.col("base_shop"))
         .withColumn("diff", F.col(measure) - F.col("base_price"))
     )
     if only_qualifying:
         rivals = rivals.filter(F.col("diff") >= min_diff)
-    return rivals.orderBy(F.col("largest").desc(), "diff", "article", "base_shop", "shop").select(
-        *market_keys(offers), "base_shop", "article", "product", "base_price", "shop", F.col(measure).alias("price"), "diff"
+    return (
+        with_product(rivals, list_prices)
+        .orderBy(F.col("largest").desc(), "diff", "article", "base_shop", "shop")
+        .select(
+            *market_keys(offers),
+            "base_shop",
+            "article",
+            "product",
+            "base_price",
+            "shop",
+            F.col(measure).alias("price"),
+            "diff",
+        )
     )

@@ -18,14 +18,13 @@ def rank_lists(
 ) -> DataFrame:
     """The products of each shop at rank 1 up to ``ranks``, as display text with their rank.
 
-    Ranks are taken among all shops of the market; only offers up to the last wanted rank are joined back.
+    Ranks are taken among all shops of the market; only offers up to the last wanted rank meet the list prices.
     """
     disc = measures.discount_of(measure)
-    day = measures.with_discounts(with_list_price(on_date(offers, date), list_prices))
-    ranked = ranking.price_rank(day, measure, max_rank=ranks)
+    ranked = ranking.price_rank(on_date(offers, date), measure, max_rank=ranks)
     if shops is not None:
         ranked = ranked.filter(F.col("shop").isin(*shops))
-    return ranked.orderBy(
+    return measures.with_discounts(with_list_price(ranked, list_prices)).orderBy(
         *market_keys(offers, "shop"),
         "rank",
         F.col(disc).desc_nulls_last(),
@@ -57,7 +56,7 @@ def shop_report(
         with_list_price(day.filter(F.col("shop").isin(*shops)), list_prices)
     )
     return {
-        "rank_counts": ranking.rank_counts(ranking.price_rank(with_list_price(day, list_prices), measure), shops),
+        "rank_counts": ranking.rank_counts(ranking.price_rank(day, measure), shops),
         "rank_lists": rank_lists(offers, list_prices, shops, date, measure),
         "histogram": matrices.discount_histogram(day_compared, bins=bins, measure=measure),
         "change_counts": matrices.price_change_counts(

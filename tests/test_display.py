@@ -1,0 +1,32 @@
+import datetime
+
+from tagwise.functions import display
+
+
+def one(df, column):
+    return [r[0] for r in df.select(column).collect()]
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(1234567, 12.5, 0.1234), (5, 1234.5, None)], "article int, price double, share double")
+    assert one(df, display.fmt_article("article")) == ["1234567", "5"]
+    assert one(df, display.fmt_price("price")) == ["12,5", "1234,5"]
+    assert one(df, display.fmt_percent("share")) == ["12,3%", "0,0%"]
+    assert one(df, display.fmt_percent("share", comma=False)) == ["12.3%", None]
+    assert one(df, display.fmt_decimal("price")) == ["12.5", "1234.5"]
+
+
+def test_halves_in_text_go_to_even(spark):
+    df = spark.createDataFrame([(0.0025,), (0.0075,), (-0.0025,)], "share double")
+    assert one(df, display.fmt_percent("share", comma=False)) == ["0.2%", "0.8%", "-0.2%"]
+
+
+def test_label(spark):
+    df = spark.createDataFrame([(10.0, 12.34), (None, 1.0), (2.5, 0.25)], "discount double, price_disc double")
+    assert one(df, display.fmt_label("discount", "price_disc")) == ["10% || 12.3 €", None, "2% || 0.2 €"]
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([(datetime.date(2024, 1, 5),)], "d date")
+    assert one(df, display.fmt_date("d")) == ["05.01.2024"]
+    assert one(df, display.fmt_date("d", short=True)) == ["05 Jan"]
