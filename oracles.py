@@ -1,4 +1,4 @@
-"""DuckDB twins of the registered queries. ``VIEWS`` builds the same price tables as ``tagwise.testbed``."""
+"""DuckDB twins of the registered queries, comparable without regard to row order. ``VIEWS`` builds the same price tables as ``tagwise.testbed``."""
 
 _DAY = (
     "CAST(DATE '2023-12-01' + CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 42)"
@@ -303,11 +303,10 @@ SELECT r.article, r.product, b.price AS base_price, r.shop, r.price FROM (SELECT
 JOIN near b ON b.depth = 4 AND b.shop = 'shop_1' AND b.article = r.article""",
     "first_per_key": "SELECT article, country, date, price, discount, stock, year FROM catalog_one",
     "min_price_gaps": """
-SELECT base_shop, article, product, base_price, shop, price, diff FROM gaps WHERE depth = 1 AND largest >= 10
-ORDER BY largest DESC, diff, article, base_shop, shop""",
+SELECT base_shop, article, product, base_price, shop, price, diff FROM gaps WHERE depth = 1 AND largest >= 10""",
     "min_price_gaps_shop": """
 SELECT base_shop, article, product, base_price, shop, price, diff FROM gaps
-WHERE depth = 3 AND base_shop = 'shop_1' AND diff >= 50 ORDER BY largest DESC, diff, article, base_shop, shop""",
+WHERE depth = 3 AND base_shop = 'shop_1' AND diff >= 50""",
     "country_comparison": "SELECT * FROM comparison",
     "marketplace_comparison": "SELECT * FROM market_comparison",
     "latest_margins": f"""
@@ -318,8 +317,7 @@ SELECT c.*, margin * 100 AS margin_pct, {_percent("margin")} AS margin_label,
 FROM comparison c, cd WHERE date = d""",
     "latest_margins_market": f"""
 SELECT c.*, margin * 100 AS margin_pct, {_percent("margin")} AS margin_label,
-  CASE WHEN margin * 100 < 15 THEN 'low' WHEN margin * 100 > 30 THEN 'high' ELSE 'mid' END AS band,
-  CAST(dense_rank() OVER (PARTITION BY article ORDER BY country) - 1 AS INTEGER) AS country_id
+  CASE WHEN margin * 100 < 15 THEN 'low' WHEN margin * 100 > 30 THEN 'high' ELSE 'mid' END AS band
 FROM market_comparison c, md WHERE date = d""",
     "stock_series": "SELECT article, date, stock FROM catalog_offers, cd WHERE date >= d - 30 AND country = 'de'",
     "country_series": """
@@ -327,11 +325,11 @@ SELECT article, country, date, price_eur FROM catalog_eur, cd
 WHERE date >= d - 30 AND country IN ('cz', 'de', 'es', 'sk')""",
     "low_margin_catalog": f"""
 SELECT country, CAST(article AS VARCHAR) AS article, price, discount, stock, product, {_percent("margin")} AS margin_pct_text
-FROM low_catalog l WHERE margin < 0.4 ORDER BY margin, country, l.article""",
+FROM low_catalog l WHERE margin < 0.4""",
     "low_margin_market": f"""
 SELECT country, CAST(article AS VARCHAR) AS article, price, product, amazon,
   CAST(round_even(price_eur * 10, 0) / 10 AS VARCHAR) AS price_eur, {_percent("margin")} AS margin_pct_text
-FROM low_market l WHERE margin < 0.2 ORDER BY margin, country, l.article""",
+FROM low_market l WHERE margin < 0.2""",
     "low_margin_counts": """
 SELECT country, count(*) AS n_products FROM low_catalog WHERE margin < 0.4 GROUP BY country""",
     "shop_report": f"""

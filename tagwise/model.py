@@ -67,8 +67,7 @@ FX = {
 # Fixed values. Margin bands (percent) and the default of the low-margin report (percent).
 MARGIN_BANDS = {"catalog": (45.0, 70.0), "marketplace": (15.0, 30.0)}
 LOW_MARGIN = {"catalog": 40.0, "marketplace": 20.0}
-# Fixed values. Shops a price chart starts with, and countries a retailer chart starts with.
-PREFERRED_SHOPS = ("Amazon", "sanitino.de", "sonono.de")
+# Fixed values. Countries a retailer chart starts with.
 CHART_COUNTRIES = ("cz", "de", "es", "sk")
 # Fixed values. Snapshot roles: days before the report date.
 LOOK_BACK = {"d0": 0, "d1": 1, "d7": 7, "d30": 30}

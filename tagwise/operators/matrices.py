@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwise import model
 from tagwise.functions.measures import discount_of
-from tagwise.operators.slicing import Day, market_keys, snapshots
+from tagwise.operators.slicing import Dates, Day, market_keys, snapshots
 
 
 def _at(label: str, value: str) -> Column:
@@ -14,22 +14,25 @@ def _at(label: str, value: str) -> Column:
 def price_matrix(
     df: DataFrame,
     date: Day = None,
-    dates: tuple[Day, Day, Day, Day] | None = None,
+    dates: Dates | None = None,
     measure: str = "price",
     n: int = 10,
 ) -> DataFrame:
     """Per article ``shop, d30, d7, d1, d0``: lowest price of the shop on each snapshot day, the ``n`` cheapest shops.
 
-    Shops are ordered by the latest day that has any price for the article, missing prices last. Ordering by d0, then
-    d1, d7, d30 does that without a second pass, as a day without prices leaves the order to the next one.
+    Shops are ordered by the latest day that has any price for the article, missing prices last. Ordering by the days
+    from late to early does that without a second pass, as a day without prices leaves the order to the next one.
     """
     labels = list(model.LOOK_BACK)
+    late_first = labels
+    if dates is not None:
+        late_first = [label for _, label in sorted(zip(map(str, dates), labels), key=lambda x: x[0], reverse=True)]
     article = market_keys(df, "article")
     cells = (
         snapshots(df, date, dates).groupBy(*article, "shop").agg(*[F.min(_at(d, measure)).alias(d) for d in labels])
     )
     place = F.row_number().over(
-        Window.partitionBy(*article).orderBy(*[F.col(d).asc_nulls_last() for d in labels], "shop")
+        Window.partitionBy(*article).orderBy(*[F.col(d).asc_nulls_last() for d in late_first], "shop")
     )
     return (
         cells.withColumn("_place", place).filter(F.col("_place") <= n).select(*article, "shop", *reversed(labels))

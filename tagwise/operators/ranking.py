@@ -1,6 +1,6 @@
 """Price ranks inside a (date, article) cell and what follows from them."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwise.functions.display import fmt_percent
 from tagwise.functions.measures import discount_of, with_surplus
@@ -45,19 +45,18 @@ def rank_counts(ranked: DataFrame, shops: list[str] | None = None, n: int = 4) -
     return counts.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
+def list_order(measure: str) -> list[Column]:
+    """Deepest discount first, then product name, then article."""
+    return [F.col(discount_of(measure)).desc_nulls_last(), F.col("product").asc_nulls_last(), F.col("article").asc()]
+
+
 def rank_list(ranked: DataFrame, measure: str = "price", shop: str | None = None, k: int = 1) -> DataFrame:
-    """Products a shop (every shop for None) offers at rank ``k``, deepest discount first."""
+    """Products offered at rank ``k``: those of a shop, deepest discount first, or of all shops without an order."""
     disc = discount_of(measure)
     rows = ranked.filter(F.col("rank") == k)
     if shop is not None:
-        rows = rows.filter(F.col("shop") == shop)
-    return rows.select(*market_keys(ranked, "shop", "article"), "product", measure, disc).orderBy(
-        *market_keys(ranked, "shop"),
-        F.col(disc).desc_nulls_last(),
-        F.col("product").asc_nulls_last(),
-        "article",
-        measure,
-    )
+        rows = rows.filter(F.col("shop") == shop).orderBy(*list_order(measure))
+    return rows.select(*market_keys(ranked, "shop", "article"), "product", measure, disc)
 
 
 def top_discounts(

@@ -1,12 +1,14 @@
 """Cutting offers to a market, a day, a window or a set of snapshot days, and looking up articles and shops."""
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagwise import model
 
 Day = datetime.date | str | Column | None
+Dates = Sequence[datetime.date | str]
 
 
 def market_keys(df: DataFrame, *keys: str) -> list[str]:
@@ -42,7 +44,7 @@ def recent(df: DataFrame, days: int, anchor: Day = None) -> DataFrame:
     return df.filter(F.col("date") >= F.date_sub(report_day(df, anchor), days))
 
 
-def snapshots(df: DataFrame, date: Day = None, dates: tuple[Day, Day, Day, Day] | None = None) -> DataFrame:
+def snapshots(df: DataFrame, date: Day = None, dates: Dates | None = None) -> DataFrame:
     """Rows of the report day and of 1, 7 and 30 days before, labelled ``d0, d1, d7, d30``.
 
     ``dates`` gives four days of the caller's choice in that order; a day chosen twice gets the first of its labels.
@@ -85,8 +87,8 @@ def countries(offers: DataFrame) -> DataFrame:
     return offers.select("country").distinct().orderBy("country")
 
 
-def default_shops(offers: DataFrame, preferred: tuple[str, ...] = model.PREFERRED_SHOPS, n: int = 2) -> DataFrame:
-    """Per article the first ``n`` preferred shops it is offered by, else the first shop in the alphabet.
+def default_shops(offers: DataFrame, preferred: Sequence[str], n: int = 2) -> DataFrame:
+    """Per article the first ``n`` of the ``preferred`` shops it is offered by, else the first shop in the alphabet.
 
     One value per preferred shop is aggregated, so an article sends at most one row per map task to the shuffle however
     many shops offer it.

@@ -1,8 +1,9 @@
 """Price development of every article: chosen shops, daily minimum, daily mean."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagwise import model
 from tagwise.operators.series import daily_min_mean
 from tagwise.operators.slicing import default_shops, market_keys
 
@@ -11,9 +12,9 @@ def shop_series(
     offers: DataFrame,
     shops: list[str] | None = None,
     measure: str = "price",
-    preferred: tuple[str, ...] = model.PREFERRED_SHOPS,
+    preferred: Sequence[str] = (),
 ) -> DataFrame:
-    """``article, date, shop, value`` of the given shops, or of each article's default shops."""
+    """``article, date, shop, value`` of the given shops, or of each article's default shops by ``preferred``."""
     if shops is None:
         keys = market_keys(offers, "article", "shop")
         offers = offers.join(default_shops(offers, preferred).select(*keys), keys, "left_semi")
@@ -30,7 +31,7 @@ def price_development(
     offers: DataFrame,
     shops: list[str] | None = None,
     measure: str = "price",
-    preferred: tuple[str, ...] = model.PREFERRED_SHOPS,
+    preferred: Sequence[str] = (),
 ) -> DataFrame:
     """``article, date, series, value, shop``: one series per chosen shop, plus ``min`` (with the shop that has it) and
     ``mean``, which are taken over all shops of the article.

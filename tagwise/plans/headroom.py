@@ -48,7 +48,7 @@ def min_price_gaps(
     for None) has rank 1 and some rival of rank up to ``depth + 1`` is at least ``min_diff`` dearer.
 
     All such rivals of a qualifying article are listed, also those under the threshold, unless ``only_qualifying``.
-    Articles come by largest gap, rivals by gap.
+    For one base shop, articles come by largest gap and rivals by gap; over all shops the rows have no order.
     """
     if min_diff <= 0:
         raise ValueError("min_diff must be positive")
@@ -74,17 +74,16 @@ def min_price_gaps(
     )
     if only_qualifying:
         rivals = rivals.filter(F.col("diff") >= min_diff)
-    return (
-        with_product(rivals, list_prices)
-        .orderBy(F.col("largest").desc(), "diff", "article", "base_shop", "shop")
-        .select(
-            *market_keys(offers),
-            "base_shop",
-            "article",
-            "product",
-            "base_price",
-            "shop",
-            F.col(measure).alias("price"),
-            "diff",
-        )
+    named = with_product(rivals, list_prices)
+    if base_shop is not None:
+        named = named.orderBy(F.col("largest").desc(), "diff", *market_keys(offers, "article", "shop"))
+    return named.select(
+        *market_keys(offers),
+        "base_shop",
+        "article",
+        "product",
+        "base_price",
+        "shop",
+        F.col(measure).alias("price"),
+        "diff",
     )

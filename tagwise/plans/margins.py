@@ -6,7 +6,7 @@ from tagwise import model
 from tagwise.functions import display, measures
 from tagwise.operators.dedupe import first_per_key
 from tagwise.operators.enrich import with_list_price, with_platform_price, with_supply_price, with_vat
-from tagwise.operators.slicing import Day, country_index, on_date, recent, snapshots
+from tagwise.operators.slicing import Dates, Day, country_index, on_date, recent, snapshots
 
 
 def in_euro(offers: DataFrame, fx: DataFrame, vat: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def country_comparison(
     fx: DataFrame,
     vat: DataFrame,
     date: Day = None,
-    dates: tuple[Day, Day, Day, Day] | None = None,
+    dates: Dates | None = None,
 ) -> DataFrame:
     """Every article and country on the four snapshot days, with euro price, margin and discounted price.
 
@@ -61,7 +61,7 @@ def marketplace_comparison(
     fx: DataFrame,
     vat: DataFrame,
     date: Day = None,
-    dates: tuple[Day, Day, Day, Day] | None = None,
+    dates: Dates | None = None,
 ) -> DataFrame:
     """The same for the marketplace, against its platform price. Equal rows are merged, other repeats are kept."""
     offers = in_euro(snapshots(market, date, dates), fx, vat)
@@ -78,17 +78,17 @@ def marketplace_comparison(
 def latest_margins(
     comparison: DataFrame, date: Day = None, low: float = 45.0, high: float = 70.0
 ) -> DataFrame:
-    """The report day of a comparison with the margin in percent, its band, the chart position of the country, and the
-    discount label where the comparison has discounts.
+    """The report day of a comparison with the margin in percent and its band; for the catalogue, which has one row per
+    article and country, also the chart position of the country and the discount label.
     """
     day = on_date(comparison, date)
     columns = {
         "margin_pct": F.col("margin") * 100,
         "margin_label": display.fmt_percent("margin", comma=False),
         "band": measures.margin_band(low, high),
-        "country_id": country_index(day),
     }
     if "price_disc" in comparison.columns:
+        columns["country_id"] = country_index(day)
         columns["discount_label"] = display.fmt_label("discount", "price_disc")
     return day.withColumns(columns)
 
@@ -109,9 +109,13 @@ def country_series(
     return measures.to_eur(rows, fx).select("article", "country", "date", "price_eur")
 
 
-def _below(df: DataFrame, max_margin: float) -> DataFrame:
-    return df.filter(F.col("margin") < max_margin / 100).withColumns(
-        {"article_text": display.fmt_article("article"), "margin_pct_text": display.fmt_percent("margin", comma=False)}
+def _report(costed: DataFrame, max_margin: float, country: str | None, *ties: str) -> DataFrame:
+    """Rows under the threshold with their text columns; lowest margin first if cut to one country."""
+    rows = costed.filter(F.col("margin") < max_margin / 100)
+    if country is not None:
+        rows = rows.orderBy("margin", "article", *ties)
+    return rows.withColumns(
+        {"article": display.fmt_article("article"), "margin_pct_text": display.fmt_percent("margin", comma=False)}
     )
 
 
@@ -124,7 +128,8 @@ def low_margin_catalog(
     date: Day = None,
     max_margin: float = model.LOW_MARGIN["catalog"],
 ) -> DataFrame:
-    """Products of the day under the margin threshold, lowest margin first, for one country or for all.
+    """Products of the day under the margin threshold: one country's, lowest margin first, or all countries' as a table
+    without an order, which saves a global sort.
 
     The margin is taken over the unrounded net price; products without one are left out.
     """
@@ -133,18 +138,8 @@ def low_margin_catalog(
         day = day.filter(F.col("country") == country)
     offers = with_vat(measures.to_eur(_one_offer(day), fx), vat)
     costed = measures.with_margin(with_supply_price(offers, _one_cost(supply)), "ancor", rounded_net=False)
-    return (
-        _below(costed, max_margin)
-        .orderBy("margin", "country", "article")
-        .select(
-            "country",
-            F.col("article_text").alias("article"),
-            "price",
-            "discount",
-            "stock",
-            "product",
-            "margin_pct_text",
-        )
+    return _report(costed, max_margin, country).select(
+        "country", "article", "price", "discount", "stock", "product", "margin_pct_text"
     )
 
 
@@ -165,18 +160,14 @@ def low_margin_market(
         day = day.filter(F.col("country") == country)
     named = with_list_price(with_vat(measures.to_eur(day, fx), vat), list_prices)
     costed = measures.with_margin(with_platform_price(named, platform), "amazon", rounded_net=False)
-    return (
-        _below(costed, max_margin)
-        .orderBy("margin", "country", "article", "price", "product")
-        .select(
-            "country",
-            F.col("article_text").alias("article"),
-            "price",
-            "product",
-            "amazon",
-            display.fmt_decimal("price_eur", 1, decimal_comma).alias("price_eur"),
-            "margin_pct_text",
-        )
+    return _report(costed, max_margin, country, "price", "product").select(
+        "country",
+        "article",
+        "price",
+        "product",
+        "amazon",
+        display.fmt_decimal("price_eur", 1, decimal_comma).alias("price_eur"),
+        "margin_pct_text",
     )
 
 

@@ -16,7 +16,8 @@ def rank_lists(
     measure: str = "price",
     ranks: int = 2,
 ) -> DataFrame:
-    """The products of each shop at rank 1 up to ``ranks``, as display text with their rank.
+    """The products of the shops at rank 1 up to ``ranks``, as display text with their rank; for given shops in list
+    order, over all shops without an order.
 
     Ranks are taken among all shops of the market; only offers up to the last wanted rank meet the list prices.
     """
@@ -24,13 +25,10 @@ def rank_lists(
     ranked = ranking.price_rank(on_date(offers, date), measure, max_rank=ranks)
     if shops is not None:
         ranked = ranked.filter(F.col("shop").isin(*shops))
-    return measures.with_discounts(with_list_price(ranked, list_prices)).orderBy(
-        *market_keys(offers, "shop"),
-        "rank",
-        F.col(disc).desc_nulls_last(),
-        F.col("product").asc_nulls_last(),
-        "article",
-    ).select(
+    listed = measures.with_discounts(with_list_price(ranked, list_prices))
+    if shops is not None:
+        listed = listed.orderBy(*market_keys(offers, "shop"), "rank", *ranking.list_order(measure))
+    return listed.select(
         *market_keys(offers, "shop"),
         "rank",
         display.fmt_article("article").alias("article"),

@@ -66,7 +66,7 @@ def test_tied_rival_and_small_gaps_of_a_qualifying_article_are_listed(spark):
 
 def test_order_is_by_largest_gap_then_gap(spark):
     rows = [(D0, 1, "a", 10.0), (D0, 1, "b", 25.0), (D0, 2, "a", 10.0), (D0, 2, "b", 12.0), (D0, 2, "c", 50.0)]
-    found = headroom.min_price_gaps(offers(spark, rows), names(spark), depth=2).collect()
+    found = headroom.min_price_gaps(offers(spark, rows), names(spark), base_shop="a", depth=2).collect()
     assert [(r.article, r.shop) for r in found] == [(2, "b"), (2, "c"), (1, "b")]
 
 

@@ -126,12 +126,14 @@ def test_low_margin_catalog(spark, dims):
         ],
     )
     cost = supply(spark, [(i, 2024, f"p{i}", c) for i, c in ((1, 80.0), (2, 60.0), (4, 99.0), (5, 90.0))])
-    found = margins.low_margin_catalog(df, cost, *dims)
+    found = margins.low_margin_catalog(df, cost, *dims, country="de")
     assert [(r.country, r.article, r.price, r.margin_pct_text) for r in found.collect()] == [
         ("de", "5", 119.0, "10.0%"),
         ("de", "1", 119.0, "20.0%"),
     ]
     assert tuples(margins.report_counts(found), "country", "n_products") == [("de", 2)]
+    everywhere = margins.low_margin_catalog(df, cost, *dims)
+    assert tuples(everywhere, *found.columns) == tuples(found, *found.columns)
     assert margins.low_margin_catalog(df, cost, *dims, country="fr").count() == 0
 
 

@@ -23,6 +23,13 @@ def test_price_matrix_keeps_the_cheapest_shops_of_the_latest_day_with_prices(spa
     assert tuples(found.filter("article = 2"), "shop") == [(f"s{i:02d}",) for i in range(2, 12)]
 
 
+def test_price_matrix_orders_chosen_days_by_date(spark):
+    rows = [(back(9), 1, "a", 1.0), (back(9), 1, "b", 2.0), (back(3), 1, "a", 9.0), (back(3), 1, "b", 8.0)]
+    chosen = (back(9), str(back(3)), back(4), back(5))
+    found = matrices.price_matrix(offers(spark, rows), dates=chosen, n=1)
+    assert tuples(found, "shop", "d0", "d1") == [("b", 2.0, 8.0)]
+
+
 def changes(spark):
     rows = [
         (D0, 1, "a", 10.0),
