@@ -7,6 +7,10 @@ from tagwise.functions.measures import discount_of, with_surplus
 from tagwise.operators.slicing import Day, market_keys, on_date, recent
 
 
+# Offers a (date, article) cell may hold to be ranked as one window group.
+CROWDED = 1_000_000
+
+
 def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None = None) -> DataFrame:
     """Distinct prices of every (date, article) cell with their ``rank`` and number of offers ``n``.
 
@@ -24,15 +28,39 @@ def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None
     return levels if max_rank is None else levels.filter(F.col("rank") <= max_rank)
 
 
-def price_rank(offers: DataFrame, measure: str = "price", max_rank: int | None = None) -> DataFrame:
-    """Add ``rank``: 1 + the number of cheaper offers of the article on the date; null without a price.
+def _rank_in_window(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
+    place = F.rank().over(
+        Window.partitionBy(*market_keys(offers, "date", "article")).orderBy(F.col(measure).asc_nulls_last())
+    )
+    if max_rank is None:
+        return offers.withColumn("rank", F.when(F.col(measure).isNotNull(), place).cast("long"))
+    # The filter sits directly on the rank, so every map task passes on its cheapest offers only.
+    cheapest = offers.filter(F.col(measure).isNotNull()).withColumn("rank", place).filter(F.col("rank") <= max_rank)
+    return cheapest.withColumn("rank", F.col("rank").cast("long"))
+
 
-    With ``max_rank`` only offers up to that rank are returned. Rows meet their rank in an equi-join on the price, so a
-    crowded cell is spread over its prices and a crowded price is split by the adaptive skew join.
-    """
-    ranks = price_levels(offers, measure, max_rank).drop("n")
+def _rank_by_level(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
+    # A cell is spread over its prices by the join, and a single price with many offers is split by the skew join.
+    levels = price_levels(offers, measure, max_rank).drop("n")
     keys = market_keys(offers, "date", "article") + [measure]
-    return offers.join(ranks, keys, "left" if max_rank is None else "inner")
+    return offers.join(levels, keys, "left" if max_rank is None else "inner")
+
+
+def price_rank(
+    offers: DataFrame, measure: str = "price", max_rank: int | None = None, crowded: int = CROWDED
+) -> DataFrame:
+    """Add ``rank``: 1 + the number of cheaper offers of the article on the date; null without a price. With
+    ``max_rank`` only offers up to that rank are returned.
+
+    A cell of up to ``crowded`` offers is ranked by a window in one shuffle. Offers of a larger cell are set apart and
+    join the ranks of their prices. Such cells number at most the offers over ``crowded``, which bounds the broadcast
+    of their keys; where there are none, adaptive execution drops that branch.
+    """
+    cell = market_keys(offers, "date", "article")
+    large = F.broadcast(offers.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell))
+    usual = _rank_in_window(offers.join(large, cell, "left_anti"), measure, max_rank)
+    apart = _rank_by_level(offers.join(large, cell, "left_semi"), measure, max_rank)
+    return usual.unionByName(apart)
 
 
 def rank_counts(ranked: DataFrame, shops: list[str] | None = None, n: int = 4) -> DataFrame:

@@ -3,28 +3,17 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tagwise.operators.enrich import with_product
-from tagwise.operators.ranking import price_levels
+from tagwise.operators.ranking import price_rank
 from tagwise.operators.slicing import Day, market_keys, on_date
 
 
-def near_cheapest(
-    offers: DataFrame, depth: int = 1, measure: str = "price", min_gap: float | None = None
-) -> DataFrame:
-    """One row per shop of a (date, article) cell whose lowest price has a rank up to ``depth + 1``, with that rank.
-
-    ``min_gap`` drops the cells in which those ranks span less than that.
-    """
-    cell = market_keys(offers, "date", "article")
-    levels = price_levels(offers, measure, depth + 1).drop("n")
-    if min_gap is not None:
-        # At most depth + 1 levels per cell, already partitioned by these keys.
-        whole = Window.partitionBy(*cell)
-        span = F.max(measure).over(whole) - F.min(measure).over(whole)
-        levels = levels.withColumn("_span", span).filter(F.col("_span") >= min_gap).drop("_span")
-    shop_price = (
-        offers.filter(F.col(measure).isNotNull()).groupBy(*cell, "shop").agg(F.min(measure).alias(measure))
+def near_cheapest(offers: DataFrame, depth: int = 1, measure: str = "price") -> DataFrame:
+    """One row per shop of a (date, article) cell whose lowest price has a rank up to ``depth + 1``, with that rank."""
+    return (
+        price_rank(offers, measure, max_rank=depth + 1)
+        .groupBy(*market_keys(offers, "date", "article"), "shop")
+        .agg(F.min(measure).alias(measure), F.min("rank").alias("rank"))
     )
-    return shop_price.join(levels, [*cell, measure])
 
 
 def rivals_of(near: DataFrame, base_shop: str) -> DataFrame:
@@ -52,22 +41,18 @@ def min_price_gaps(
     """
     if min_diff <= 0:
         raise ValueError("min_diff must be positive")
-    near = near_cheapest(on_date(offers, date), depth, measure, min_gap=min_diff)
-    # A cell holds one row per shop. A dearer rank up to depth + 1 exists only where at most depth offers hold rank 1,
-    # so base_shops is that short and the rows per rival stay within depth.
+    near = near_cheapest(on_date(offers, date), depth, measure)
+    # A cell holds one row per shop. In a cell with a gap at most depth offers hold rank 1, as the next rank is within
+    # depth + 1; so base_shops is that short, and so are the rows per rival.
     whole = Window.partitionBy(*market_keys(offers, "date", "article"))
     is_base = F.col("rank") == 1
     if base_shop is not None:
         is_base = is_base & (F.col("shop") == base_shop)
     rivals = (
-        near.withColumns(
-            {
-                "base_price": F.min(measure).over(whole),
-                "largest": F.max(measure).over(whole) - F.min(measure).over(whole),
-                "base_shops": F.collect_set(F.when(is_base, F.col("shop"))).over(whole),
-            }
-        )
+        near.withColumn("base_price", F.min(measure).over(whole))
+        .withColumn("largest", F.max(measure).over(whole) - F.col("base_price"))
         .filter(F.col("largest") >= min_diff)
+        .withColumn("base_shops", F.collect_set(F.when(is_base, F.col("shop"))).over(whole))
         .withColumn("base_shop", F.explode("base_shops"))
         .filter(F.col("shop") != F.col("base_shop"))
         .withColumn("diff", F.col(measure) - F.col("base_price"))

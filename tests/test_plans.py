@@ -94,7 +94,7 @@ def crowded(spark, n=60_000):
 
 def test_crowded_price_is_split_in_the_rank_join(spark, skew_conf):
     df = crowded(spark)
-    ranked = ranking.price_rank(df)
+    ranked = ranking.price_rank(df, crowded=1000)
     assert "skew=true" in final_plan(ranked)
     by_price = Window.partitionBy("date", "article").orderBy("price")
     wrong = ranked.join(
@@ -105,6 +105,11 @@ def test_crowded_price_is_split_in_the_rank_join(spark, skew_conf):
     assert wrong.count() == 0
 
 
+def test_rank_takes_one_window_where_no_cell_is_crowded(spark):
+    plan = final_plan(ranking.price_rank(crowded(spark)))
+    assert plan.count("Window [") == 1 and "SortMergeJoin" not in plan and "Union" not in plan
+
+
 def test_crowded_article_is_split_in_the_list_price_join(spark, skew_conf):
     names = list_prices(spark, [(i, 2024, f"p{i}", 100.0) for i in range(501)])
     joined = enrich.with_list_price(crowded(spark), names)

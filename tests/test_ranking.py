@@ -30,9 +30,13 @@ def test_price_rank_matches_brute_force(spark, seed):
     rows = random_rows(seed)
     df = offers(spark, rows)
     expected = brute_rank(rows)
-    assert tuples(ranking.price_rank(df), "date", "article", "shop", "price", "rank") == expected
     top = [r for r in expected if r[4] is not None and r[4] <= 3]
-    assert tuples(ranking.price_rank(df, max_rank=3), "date", "article", "shop", "price", "rank") == top
+    # Limits that set all, some and none of the cells apart.
+    for crowded in (0, 38, 1000):
+        ranked = ranking.price_rank(df, crowded=crowded)
+        assert tuples(ranked, "date", "article", "shop", "price", "rank") == expected
+        ranked = ranking.price_rank(df, max_rank=3, crowded=crowded)
+        assert tuples(ranked, "date", "article", "shop", "price", "rank") == top
 
 
 def test_ties_share_a_rank_and_a_missing_price_has_none(spark):
