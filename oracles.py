@@ -262,6 +262,7 @@ SELECT country, shop, count(*) AS count FROM (
 GROUP BY country, shop
 QUALIFY row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, shop) <= 5""",
     "leader_text": f"SELECT string_agg(shop, ', ' ORDER BY count DESC, shop) AS shops FROM ({_leaders('price', '')})",
+    "date_range": "SELECT min(date) AS first_date, max(date) AS last_date FROM catalog_offers",
     "freshness": """
 SELECT max(date) AS last_date, count(DISTINCT shop) FILTER (country = 'de')
   + max(CASE WHEN country = 'de' AND shop IS NULL THEN 1 ELSE 0 END) AS n_shops
@@ -276,6 +277,11 @@ QUALIFY row_number() OVER (PARTITION BY shop ORDER BY rank) <= 4""",
     "rank_list": """
 SELECT shop, article, product, price, disc1 FROM ranked, d WHERE date = d AND rank = 2""",
     "price_change_matrix": "SELECT * FROM changes",
+    "price_change_matrix_by_article": """
+SELECT country, shop, article, d30 - d0 AS diff_30d, d7 - d0 AS diff_7d, d1 - d0 AS diff_1d, d0 FROM (
+  SELECT country, shop, article, min(price_delivery) FILTER (date = d) AS d0, min(price_delivery) FILTER (date = d - 1) AS d1,
+    min(price_delivery) FILTER (date = d - 7) AS d7, min(price_delivery) FILTER (date = d - 30) AS d30
+  FROM all_offers, ad WHERE date IN (d, d - 1, d - 7, d - 30) GROUP BY country, shop, article)""",
     "price_change_counts": _CHANGE_COUNTS,
     "price_change_counts_strict": f"""
 SELECT c.shop, {", ".join(f"CASE WHEN n = 4 THEN {c} ELSE 0 END AS {c}" for c in (
@@ -330,8 +336,10 @@ FROM low_catalog l WHERE margin < 0.4""",
 SELECT country, CAST(article AS VARCHAR) AS article, price, product, amazon,
   CAST(round_even(price_eur * 10, 0) / 10 AS VARCHAR) AS price_eur, {_percent("margin")} AS margin_pct_text
 FROM low_market l WHERE margin < 0.2""",
-    "low_margin_counts": """
-SELECT country, count(*) AS n_products FROM low_catalog WHERE margin < 0.4 GROUP BY country""",
+    "low_margin_titles": """
+SELECT country, n_products, 'Products with margin less than 40.0% in ' || country || ' on ' || strftime(d, '%d.%m.%Y')
+  || ' (quantity of products: ' || n_products || ')' AS title
+FROM (SELECT country, count(*) AS n_products FROM low_catalog WHERE margin < 0.4 GROUP BY country), cd""",
     "shop_report": f"""
 SELECT shop, rank, CAST(article AS VARCHAR) AS article, product, replace(CAST(price AS VARCHAR), '.', ',') AS price,
   {_percent_comma("disc1")} AS disc1

@@ -39,6 +39,6 @@ def fmt_decimal(value: str, digits: int = 1, decimal_comma: bool = False) -> Col
     return F.translate(text, ".", ",") if decimal_comma else text
 
 
-def fmt_date(date: str, short: bool = False) -> Column:
+def fmt_date(date: str | Column, short: bool = False) -> Column:
     """``dd.MM.yyyy``, or day and month name."""
     return F.date_format(date, "dd MMM" if short else "dd.MM.yyyy")

@@ -33,6 +33,11 @@ def daily_min_mean(offers: DataFrame, measure: str = "price") -> DataFrame:
     return both.select(*keys, "m.min_price", "m.min_price_shop", "mean_price")
 
 
+def date_range(df: DataFrame) -> DataFrame:
+    """``first_date, last_date`` a report can be asked for."""
+    return df.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 def freshness(offers: DataFrame, country: str) -> DataFrame:
     """``last_date`` over all countries and ``n_shops`` of one; offers without a shop name count as one more shop."""
     here = F.col("country") == country

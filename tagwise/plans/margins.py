@@ -1,6 +1,6 @@
 """Euro prices, margins and stock of one retailer or marketplace over its countries."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagwise import model
 from tagwise.functions import display, measures
@@ -171,6 +171,20 @@ def low_margin_market(
     )
 
 
-def report_counts(report: DataFrame) -> DataFrame:
-    """``country, n_products`` of a low-margin report, for its titles."""
-    return report.groupBy("country").agg(F.count("*").alias("n_products"))
+def report_titles(report: DataFrame, day: Column, max_margin: float) -> DataFrame:
+    """``country, n_products, title`` of a low-margin report of ``day``."""
+    return (
+        report.groupBy("country")
+        .agg(F.count("*").alias("n_products"))
+        .withColumn("day", display.fmt_date(day))
+        .select(
+            "country",
+            "n_products",
+            F.format_string(
+                f"Products with margin less than {max_margin:.1f}%% in %s on %s (quantity of products: %d)",
+                "country",
+                "day",
+                "n_products",
+            ).alias("title"),
+        )
+    )

@@ -6,9 +6,9 @@ null prices, missing list prices, repeated offers, and a country without VAT are
 """
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagwise import model
 from tagwise.sources import dimensions
@@ -31,6 +31,12 @@ def _scrape_day() -> Column:
     return F.date_add(F.lit("2023-12-01").cast("date"), F.floor(days / DAYS_PER_SCRAPE).cast("int"))
 
 
+@cache
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """Schema from the file footer, read once per session."""
+    return spark.read.parquet(path).schema
+
+
 @dataclass(frozen=True)
 class Testbed:
     spark: SparkSession
@@ -39,7 +45,8 @@ class Testbed:
     __test__ = False
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        return self.spark.read.schema(_schema(self.spark, path)).parquet(path)
 
     @cached_property
     def _lines(self) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tagwise.functions import measures
 from tagwise.operators.dedupe import first_per_key
@@ -131,7 +132,10 @@ def test_low_margin_catalog(spark, dims):
         ("de", "5", 119.0, "10.0%"),
         ("de", "1", 119.0, "20.0%"),
     ]
-    assert tuples(margins.report_counts(found), "country", "n_products") == [("de", 2)]
+    titles = margins.report_titles(found, F.lit(D0), 40.0)
+    assert tuples(titles, "country", "n_products", "title") == [
+        ("de", 2, "Products with margin less than 40.0% in de on 15.01.2024 (quantity of products: 2)")
+    ]
     everywhere = margins.low_margin_catalog(df, cost, *dims)
     assert tuples(everywhere, *found.columns) == tuples(found, *found.columns)
     assert margins.low_margin_catalog(df, cost, *dims, country="fr").count() == 0
