@@ -6,7 +6,6 @@ from tagwise.functions.display import fmt_percent
 from tagwise.functions.measures import discount_of, with_surplus
 from tagwise.operators.slicing import Day, market_keys, on_date, recent
 
-
 # Offers a (date, article) cell may hold to be ranked as one window group.
 CROWDED = 1_000_000
 
@@ -14,8 +13,8 @@ CROWDED = 1_000_000
 def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None = None) -> DataFrame:
     """Distinct prices of every (date, article) cell with their ``rank`` and number of offers ``n``.
 
-    Equal prices are counted before the shuffle, and the window sees one row per distinct price: in a cell with any
-    number of offers that is at most one per cent of its price range.
+    Equal prices are counted before the shuffle, and the window sees one row per distinct price. Prices are quoted to
+    the cent, so a cell of any number of offers has no more rows than cents between its lowest and highest price.
     """
     cell = market_keys(offers, "date", "article")
     levels = offers.filter(F.col(measure).isNotNull()).groupBy(*cell, measure).agg(F.count("*").alias("n"))

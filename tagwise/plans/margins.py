@@ -15,12 +15,13 @@ def in_euro(offers: DataFrame, fx: DataFrame, vat: DataFrame) -> DataFrame:
 
 
 def _one_offer(catalog: DataFrame) -> DataFrame:
-    """The catalogue holds one offer per article, country and date; of repeated rows the cheapest is kept."""
-    return first_per_key(catalog, ["article", "country", "date"], ["price", "discount", "stock"])
+    """The catalogue holds one offer per article, country and date; of repeated rows the cheapest priced one is kept."""
+    order = [F.col("price").asc_nulls_last(), "discount", "stock"]
+    return first_per_key(catalog, ["article", "country", "date"], order)
 
 
 def _one_cost(supply: DataFrame) -> DataFrame:
-    return first_per_key(supply, ["article", "year"], ["price", "product"])
+    return first_per_key(supply, ["article", "year"], [F.col("price").asc_nulls_last(), "product"])
 
 
 def country_comparison(

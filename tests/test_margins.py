@@ -57,6 +57,7 @@ def comparison(spark, dims):
         [
             (D0, 1, "de", 119.0, 10.0, 7),
             (D0, 1, "de", 125.0, 10.0, 7),
+            (D0, 1, "de", None, 10.0, 7),
             (D0, 1, "cz", 2520.0, 0.0, 3),
             (back(30), 1, "de", 119.0, None, 7),
             (back(3), 1, "de", 1.0, 0.0, 7),
