@@ -55,6 +55,7 @@ def test_gap_equal_to_the_threshold_counts(spark):
 
 
 def test_tied_rival_and_small_gaps_of_a_qualifying_article_are_listed(spark):
+    # K20 (empty result), K21.
     rows = [(D0, 1, "a", 10.0), (D0, 1, "b", 10.0), (D0, 1, "c", 12.0), (D0, 1, "d", 40.0), (D0, 2, "a", 5.0)]
     found = headroom.min_price_gaps(offers(spark, rows), names(spark), base_shop="a", depth=3)
     assert [(r.shop, r.diff) for r in found.collect()] == [("b", 0.0), ("c", 2.0), ("d", 30.0)]

@@ -143,6 +143,7 @@ def test_low_margin_catalog(spark, dims):
 
 
 def test_low_margin_market_keeps_repeats(spark):
+    # K14; K9 is the decimal comma.
     offers = market(spark, [(D0, 1, "de", 119.0), (D0, 1, "de", 119.0), (D0, 1, "fr", 1200.0)])
     platform = spark.createDataFrame([(1, 90.0)], "article int, amz_price double")
     dims = fx_table(spark, "marketplace"), vat_table(spark, "marketplace")

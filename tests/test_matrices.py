@@ -1,8 +1,9 @@
-from pyspark.sql import functions as F
 import pytest
+from pyspark.sql import functions as F
 
 from tagwise.functions import measures
-from tagwise.operators import enrich, matrices
+from tagwise.operators import enrich, matrices, slicing
+from tagwise.testbed import Testbed
 from tests.frames import D0, back, list_prices, offers, tuples
 
 
@@ -15,7 +16,7 @@ def test_price_matrix_takes_the_lowest_price_of_a_cell(spark):
 
 
 def test_price_matrix_keeps_the_cheapest_shops_of_the_latest_day_with_prices(spark):
-    # Article 2 has no price on the day itself, so the day before decides.
+    # K8. Article 2 has no price on the day itself, so the day before decides.
     rows = [(D0, 1, f"s{i:02d}", float(i)) for i in range(12)] + [(back(1), 1, "s11", 0.5)]
     rows += [(back(1), 2, f"s{i:02d}", float(20 - i)) for i in range(12)]
     found = matrices.price_matrix(offers(spark, rows))
@@ -58,6 +59,7 @@ def test_price_change_matrix(spark):
 
 
 def test_price_change_counts_name_by_meaning(spark):
+    # K6 (names), K7 (strict).
     counts = {r.shop: r.asDict() for r in matrices.price_change_counts(changes(spark)).collect()}
     assert (counts["a"]["n_drops_1d"], counts["a"]["n_rises_1d"]) == (1, 1)
     assert (counts["a"]["n_drops_7d"], counts["a"]["n_rises_7d"]) == (0, 0)
@@ -67,7 +69,18 @@ def test_price_change_counts_name_by_meaning(spark):
     assert strict == {"a": 1, "b": 0}
 
 
+def test_drops_rises_and_unchanged_add_up(spark, sf_dir):
+    bed = Testbed(spark, sf_dir)
+    listed = enrich.with_list_price(slicing.market_slice(bed.all_offers, "de"), bed.list_prices)
+    matrix = matrices.price_change_matrix(listed)
+    both = {r.shop: r.n for r in matrix.groupBy("shop").agg(F.count("diff_7d").alias("n")).collect()}
+    same = {r.shop: r.n for r in matrix.groupBy("shop").agg(F.count_if(F.col("diff_7d") == 0).alias("n")).collect()}
+    counts = matrices.price_change_counts(listed).collect()
+    assert {r.shop: r.n_drops_7d + r.n_rises_7d + same[r.shop] for r in counts} == both
+
+
 def test_changes_by_name_merge_articles_and_by_article_do_not(spark):
+    # K26.
     df = offers(spark, [(D0, 1, "a", 3.0), (D0, 2, "a", 4.0), (back(1), 2, "a", 1.0)])
     named = df.withColumn("product", F.lit(None).cast("string"))
     assert tuples(matrices.price_change_matrix(named), "d0", "diff_1d") == [(3.0, -2.0)]
@@ -100,6 +113,7 @@ def test_histogram_counts_shops_apart_over_their_joint_range(spark):
 
 
 def test_discounts_of_missing_and_zero_list_prices(spark):
+    # K25.
     df = offers(spark, [(D0, 1, "a", 5.0, 6.0), (D0, 2, "a", 5.0, None), (D0, 3, "a", 5.0, 6.0)])
     names = list_prices(spark, [(1, 2024, "p", 10.0), (2, 2024, "z", 0.0), (3, 2023, "old", 10.0)])
     found = measures.with_discounts(enrich.with_list_price(df, names))

@@ -40,11 +40,17 @@ def test_price_rank_matches_brute_force(spark, seed):
 
 
 def test_ties_share_a_rank_and_a_missing_price_has_none(spark):
+    # K3.
     df = offers(spark, [(D0, 1, "a", 5.0), (D0, 1, "b", 5.0), (D0, 1, "c", 7.0), (D0, 1, "d", None)])
     assert tuples(ranking.price_rank(df), "shop", "rank") == [("a", 1), ("b", 1), ("c", 3), ("d", None)]
     assert tuples(ranking.price_rank(df, max_rank=2), "shop", "rank") == [("a", 1), ("b", 1)]
 
 
+def test_offers_without_article_stay_and_are_ranked_together(spark):
+    df = offers(spark, [(D0, None, "a", 5.0), (D0, None, "b", 7.0), (D0, 1, "a", 1.0)])
+    assert tuples(ranking.price_rank(df), "article", "shop", "rank") == [(1, "a", 1), (None, "a", 1), (None, "b", 2)]
+
+
 def test_countries_are_ranked_apart(spark):
     df = offers(spark, [(D0, 1, "a", 5.0)], "de").unionByName(offers(spark, [(D0, 1, "b", 9.0)], "fr"))
     assert tuples(ranking.price_rank(df), "country", "rank") == [("de", 1), ("fr", 1)]
@@ -97,6 +103,7 @@ def test_top_discounts(spark):
 
 
 def test_offers_without_discount_come_first(spark):
+    # K2.
     rows = [(D0, 1, f"s{i:02d}", 10.0 + i) for i in range(12)] + [(D0, 1, "null", None)]
     df = measures.with_discounts(
         enrich.with_list_price(offers(spark, rows), list_prices(spark, [(1, 2024, "p", 100.0)]))
@@ -111,6 +118,7 @@ def test_leaders_count_rows_not_shops(spark):
 
 
 def test_leaders_put_missing_prices_first_unless_skipped(spark):
+    # K1.
     rows = [(D0, 1, "a", 1.0), (D0, 1, "b", None), (D0, 1, "c", 3.0), (D0, 1, "d", 4.0)]
     assert tuples(ranking.leaders(offers(spark, rows)), "shop") == [("a",), ("b",), ("c",)]
     assert tuples(ranking.leaders(offers(spark, rows), skip_unpriced=True), "shop") == [("a",), ("c",), ("d",)]

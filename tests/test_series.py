@@ -14,6 +14,7 @@ ROWS = [
 
 
 def test_daily_min_breaks_ties_and_takes_a_missing_price_as_lowest(spark):
+    # K1.
     df = offers(spark, ROWS)
     assert tuples(series.daily_min(df), "date", "min_price", "min_price_shop") == [
         (back(1), None, "a"),
@@ -38,6 +39,7 @@ def test_min_is_not_above_mean(spark):
 
 
 def test_freshness_counts_a_missing_shop_name(spark):
+    # K5 (date over all countries), K22.
     here = offers(spark, [(back(1), 1, s, 1.0) for s in ("a", "a", None)], "de")
     df = here.unionByName(offers(spark, [(D0, 1, "z", 1.0)], "fr"))
     assert tuple(series.freshness(df, "de").first()) == (D0, 2)
@@ -58,3 +60,5 @@ def test_price_development_starts_with_default_shops_per_article(spark):
     df = offers(spark, [(D0, 1, "zz", 4.0), (D0, 1, "b", 2.0), (D0, 2, "y", 3.0), (D0, 2, "x", 3.0)])
     lines = development.price_development(df, preferred=["zz"]).filter("series not in ('min', 'mean')")
     assert tuples(lines, "article", "series") == [(1, "zz"), (2, "x")]
+    lines = development.price_development(df).filter("series not in ('min', 'mean')")
+    assert tuples(lines, "article", "series") == [(1, "b"), (2, "x")]

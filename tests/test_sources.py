@@ -64,6 +64,16 @@ def test_ingest_round_trip(spark, ingested):
     assert df.filter("country = 'fr' and article = 7").first().price == 7.0
 
 
+def test_layout_is_iv_then_cbc_blocks_with_pkcs_padding(spark):
+    # AES-128-CBC example of NIST SP 800-38A, first block, followed by its padding block.
+    key = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c")
+    iv = bytes.fromhex("000102030405060708090a0b0c0d0e0f")
+    blocks = bytes.fromhex("7649abac8119b246cee98e9b12e9197d8964e0b149c10b7b682e6e39aaeb731c")
+    df = spark.createDataFrame([(bytearray(iv + blocks),)], "content binary")
+    plain = df.select(F.aes_decrypt("content", F.lit(key), F.lit("CBC"), F.lit("PKCS"))).first()[0]
+    assert bytes(plain).hex() == "6bc1bee22e409f96e93d7e117393172a"
+
+
 def test_wrong_key_fails(spark, tmp_path):
     (tmp_path / "f").write_bytes(encrypt(spark, parquet(arrow_offers(D0, "de", 2))))
     files = spark.read.format("binaryFile").load(str(tmp_path))
