@@ -38,11 +38,18 @@ def _rank_in_window(offers: DataFrame, measure: str, max_rank: int | None) -> Da
     return cheapest.withColumn("rank", F.col("rank").cast("long"))
 
 
+def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its keys renamed, and the condition that they equal the unprefixed ones (null equals null)."""
+    renamed = df.withColumnsRenamed({key: prefix + key for key in keys})
+    return renamed, [F.col(key).eqNullSafe(F.col(prefix + key)) for key in keys]
+
+
 def _rank_by_level(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
     # A cell is spread over its prices by the join, and a single price with many offers is split by the skew join.
-    levels = price_levels(offers, measure, max_rank).drop("n")
     keys = market_keys(offers, "date", "article") + [measure]
-    return offers.join(levels, keys, "left" if max_rank is None else "inner")
+    levels, same = _prefixed(price_levels(offers, measure, max_rank).drop("n"), "level_", keys)
+    ranked = offers.join(levels, same, "left" if max_rank is None else "inner")
+    return ranked.select(*offers.columns, "rank")
 
 
 def price_rank(
@@ -56,9 +63,10 @@ def price_rank(
     of their keys; where there are none, adaptive execution drops that branch.
     """
     cell = market_keys(offers, "date", "article")
-    large = F.broadcast(offers.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell))
-    usual = _rank_in_window(offers.join(large, cell, "left_anti"), measure, max_rank)
-    apart = _rank_by_level(offers.join(large, cell, "left_semi"), measure, max_rank)
+    counted = offers.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell)
+    large, same = _prefixed(counted, "large_", cell)
+    usual = _rank_in_window(offers.join(F.broadcast(large), same, "left_anti"), measure, max_rank)
+    apart = _rank_by_level(offers.join(F.broadcast(large), same, "left_semi"), measure, max_rank)
     return usual.unionByName(apart)
 
 

@@ -48,7 +48,9 @@ def test_ties_share_a_rank_and_a_missing_price_has_none(spark):
 
 def test_offers_without_article_stay_and_are_ranked_together(spark):
     df = offers(spark, [(D0, None, "a", 5.0), (D0, None, "b", 7.0), (D0, 1, "a", 1.0)])
-    assert tuples(ranking.price_rank(df), "article", "shop", "rank") == [(1, "a", 1), (None, "a", 1), (None, "b", 2)]
+    for crowded in (0, 1, 10):
+        found = ranking.price_rank(df, crowded=crowded)
+        assert tuples(found, "article", "shop", "rank") == [(1, "a", 1), (None, "a", 1), (None, "b", 2)]
 
 
 def test_countries_are_ranked_apart(spark):
