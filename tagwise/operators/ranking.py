@@ -16,7 +16,7 @@ def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None
     Equal prices are counted before the shuffle, and the window sees one row per distinct price. Prices are quoted to
     the cent, so a cell of any number of offers has no more rows than cents between its lowest and highest price.
     """
-    cell = market_keys(offers, "date", "article")
+    cell = market_keys(offers, "article", "date")
     levels = offers.filter(F.col(measure).isNotNull()).groupBy(*cell, measure).agg(F.count("*").alias("n"))
     by_price = Window.partitionBy(*cell).orderBy(measure)
     if max_rank is not None:
@@ -29,7 +29,7 @@ def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None
 
 def _rank_in_window(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
     place = F.rank().over(
-        Window.partitionBy(*market_keys(offers, "date", "article")).orderBy(F.col(measure).asc_nulls_last())
+        Window.partitionBy(*market_keys(offers, "article", "date")).orderBy(F.col(measure).asc_nulls_last())
     )
     if max_rank is None:
         return offers.withColumn("rank", F.when(F.col(measure).isNotNull(), place).cast("long"))
@@ -46,7 +46,7 @@ def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> tuple[DataFrame, l
 
 def _rank_by_level(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
     # A cell is spread over its prices by the join, and a single price with many offers is split by the skew join.
-    keys = market_keys(offers, "date", "article") + [measure]
+    keys = market_keys(offers, "article", "date") + [measure]
     levels, same = _prefixed(price_levels(offers, measure, max_rank).drop("n"), "level_", keys)
     ranked = offers.join(levels, same, "left" if max_rank is None else "inner")
     return ranked.select(*offers.columns, "rank")
@@ -62,7 +62,7 @@ def price_rank(
     join the ranks of their prices. Such cells number at most the offers over ``crowded``, which bounds the broadcast
     of their keys; where there are none, adaptive execution drops that branch.
     """
-    cell = market_keys(offers, "date", "article")
+    cell = market_keys(offers, "article", "date")
     counted = offers.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell)
     large, same = _prefixed(counted, "large_", cell)
     usual = _rank_in_window(offers.join(F.broadcast(large), same, "left_anti"), measure, max_rank)
@@ -132,7 +132,7 @@ def leaders(
     """``shop, count``: the ``n`` shops most often among the ``depth`` cheapest offers of an article and day, over the
     last ``days`` days of the frame. Offers without a price sort first, as cheapest, unless ``skip_unpriced``.
     """
-    cell = market_keys(offers, "date", "article")
+    cell = market_keys(offers, "article", "date")
     rows = recent(offers, days)
     if skip_unpriced:
         rows = rows.filter(F.col(measure).isNotNull())

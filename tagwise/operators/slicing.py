@@ -12,8 +12,10 @@ Dates = Sequence[datetime.date | str]
 
 
 def market_keys(df: DataFrame, *keys: str) -> list[str]:
-    """``keys``, led by ``country`` where the frame still holds several markets."""
-    return (["country"] if "country" in df.columns else []) + list(keys)
+    """``keys``, and ``country`` where the frame still holds several markets. As the least selective it comes last, so
+    that sorts within a task compare the numbers first.
+    """
+    return list(keys) + (["country"] if "country" in df.columns else [])
 
 
 def latest_date(df: DataFrame) -> Column:
@@ -79,8 +81,8 @@ def resolve(assorted: DataFrame, by: str) -> DataFrame:
 
 
 def shops(offers: DataFrame) -> DataFrame:
-    keys = market_keys(offers, "shop")
-    return offers.select(*keys).distinct().orderBy(*keys)
+    market = market_keys(offers)
+    return offers.select(*market, "shop").distinct().orderBy(*market, "shop")
 
 
 def countries(offers: DataFrame) -> DataFrame:

@@ -11,14 +11,14 @@ def near_cheapest(offers: DataFrame, depth: int = 1, measure: str = "price") ->
     """One row per shop of a (date, article) cell whose lowest price has a rank up to ``depth + 1``, with that rank."""
     return (
         price_rank(offers, measure, max_rank=depth + 1)
-        .groupBy(*market_keys(offers, "date", "article"), "shop")
+        .groupBy(*market_keys(offers, "article", "date"), "shop")
         .agg(F.min(measure).alias(measure), F.min("rank").alias("rank"))
     )
 
 
 def rivals_of(near: DataFrame, base_shop: str) -> DataFrame:
     """The rows of the cells in which ``base_shop`` has rank 1."""
-    cell = market_keys(near, "date", "article")
+    cell = market_keys(near, "article", "date")
     led = near.filter((F.col("shop") == base_shop) & (F.col("rank") == 1)).select(*cell)
     return near.join(led, cell, "left_semi")
 
@@ -44,7 +44,7 @@ def min_price_gaps(
     near = near_cheapest(on_date(offers, date), depth, measure)
     # A cell holds one row per shop. In a cell with a gap at most depth offers hold rank 1, as the next rank is within
     # depth + 1; so base_shops is that short, and so are the rows per rival.
-    whole = Window.partitionBy(*market_keys(offers, "date", "article"))
+    whole = Window.partitionBy(*market_keys(offers, "article", "date"))
     is_base = F.col("rank") == 1
     if base_shop is not None:
         is_base = is_base & (F.col("shop") == base_shop)

@@ -17,7 +17,7 @@ def in_euro(offers: DataFrame, fx: DataFrame, vat: DataFrame) -> DataFrame:
 def _one_offer(catalog: DataFrame) -> DataFrame:
     """The catalogue holds one offer per article, country and date; of repeated rows the cheapest priced one is kept."""
     order = [F.col("price").asc_nulls_last(), "discount", "stock"]
-    return first_per_key(catalog, ["article", "country", "date"], order)
+    return first_per_key(catalog, ["article", "date", "country"], order)
 
 
 def _one_cost(supply: DataFrame) -> DataFrame:

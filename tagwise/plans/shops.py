@@ -27,7 +27,7 @@ def rank_lists(
         ranked = ranked.filter(F.col("shop").isin(*shops))
     listed = measures.with_discounts(with_list_price(ranked, list_prices))
     if shops is not None:
-        listed = listed.orderBy(*market_keys(offers, "shop"), "rank", *ranking.list_order(measure))
+        listed = listed.orderBy(*market_keys(offers), "shop", "rank", *ranking.list_order(measure))
     return listed.select(
         *market_keys(offers, "shop"),
         "rank",
