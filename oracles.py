@@ -1,4 +1,7 @@
-"""DuckDB twins of the registered queries, comparable without regard to row order. ``VIEWS`` builds the same price tables as ``tagwise.testbed``."""
+"""DuckDB twins of the registered queries, to be compared without regard to row order.
+
+``VIEWS`` builds the same price tables as ``tagwise.testbed``.
+"""
 
 _DAY = (
     "CAST(DATE '2023-12-01' + CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 42)"

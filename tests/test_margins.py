@@ -25,7 +25,13 @@ def test_dimension_tables(spark):
 
 def test_euro_and_net_prices(spark, dims):
     df = catalog(
-        spark, [(D0, 1, "cz", 252.0, 0.0, 1), (D0, 2, "de", 11.905, 0.0, 1), (D0, 3, "xx", 7.123, 0.0, 1), (D0, 4, "hu", None, 0.0, 1)]
+        spark,
+        [
+            (D0, 1, "cz", 252.0, 0.0, 1),
+            (D0, 2, "de", 11.905, 0.0, 1),
+            (D0, 3, "xx", 7.123, 0.0, 1),
+            (D0, 4, "hu", None, 0.0, 1),
+        ],
     )
     assert tuples(margins.in_euro(df, *dims), "article", "price_eur", "price_net") == [
         (1, 10.0, 8.26),
