@@ -48,8 +48,11 @@ def _covered(hashes: Column, window: int) -> Column:
 def repeat_words(tokens: Column, window: int = WINDOW) -> Column:
     """Words in ``window``-word windows that the text has twice or more; windows compare by a 64-bit hash."""
     zero = F.lit(0).cast("long")
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (window - 1)), lambda i: F.xxhash64(F.slice(tokens, i, window))
+    # F.get reads one element, where F.slice may copy the whole array
+    of_words = F.transform(tokens, lambda x: F.xxhash64(x))
+    starts = F.sequence(F.lit(0), F.size(tokens) - window)
+    hashes = let(
+        of_words, lambda h: F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
     )
     once = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(_covered(h, window))
     return F.when(F.size(tokens) < window, zero).otherwise(let(hashes, once))

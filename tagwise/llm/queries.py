@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagwise.llm import sql
 from tagwise.llm.common import table
+from tagwise.llm.quality_classifier import quality_scores
 from tagwise.llm.quality_rules import quality_rules
 from tagwise.llm.sharding import shard_by_bytes
+from tagwise.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality_rules(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: shard_by_bytes(table(spark, d, "documents")),
+        "op6_quality_classifier": lambda spark, d: quality_scores(
+            table(spark, d, "documents"), table(spark, d, "labels")
+        ),
     }
 
 
