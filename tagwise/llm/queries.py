@@ -10,6 +10,7 @@ from tagwise.llm import sql
 from tagwise.llm.common import table
 from tagwise.llm.quality_classifier import quality_scores
 from tagwise.llm.quality_rules import quality_rules
+from tagwise.llm.secrets import BASE, RULES, secret_spans
 from tagwise.llm.sharding import shard_by_bytes
 from tagwise.llm.simhash import near_duplicates
 
@@ -24,8 +25,13 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
         ),
+        "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_sharding": sql.SHARDING}
+    return {
+        "op2_quality_rules": sql.QUALITY_RULES,
+        "op5_sharding": sql.SHARDING,
+        "op10_secret_scans": sql.secrets(RULES, BASE),
+    }

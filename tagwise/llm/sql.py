@@ -80,3 +80,33 @@ select doc_id, size, text_crc32, 'bytes' as law, shard,
     row_number() over (partition by shard order by k2 % 64, k1, k2, doc_id) - 1 as slot, null::integer as grown_shard
 from placed
 """
+
+
+def secrets(rules: tuple, base: tuple[str, ...]) -> str:
+    """The spans of every rule, found on all texts without an index."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    each = "\nunion all\n".join(
+        f"""select doc_id, {r} as place, {quoted(rule.kind)} as kind, {rule.least} as least,
+        regexp_extract_all(text, {quoted(rule.pattern)}) as m,
+        regexp_extract_all(text, {quoted(rule.pattern)}, {rule.group}) as g,
+        string_split_regex(text, {quoted(rule.pattern)}) as between
+        from texts"""
+        for r, rule in enumerate(rules)
+    )
+    of_base = f"kind in ({', '.join(map(quoted, base))})"
+    told = "string_agg(kind || ':' || s || ':' || e, ',' order by s, place)"
+    counts = ", ".join(f"count(*) filter (kind = {quoted(k)}) as n_{k}" for k in base)
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents), found as (
+{each}
+), numbered as (
+    select *, unnest(generate_series(1, len(m))) as i from found where len(m) > 0
+), spans as (
+    select doc_id, place, kind, s, s + length(m[i]) as e from (
+        select *, (length(array_to_string(between[1:i], '')) + length(array_to_string(m[1:i - 1], '')))::bigint as s from numbered
+    ) where length(g[i]) >= least
+)
+select t.doc_id, {counts}, sha256(coalesce({told} filter ({of_base}), '')) as base_sha256,
+    coalesce({told} filter (kind is not null), '') as spans
+from texts t left join spans using (doc_id) group by t.doc_id
+"""
