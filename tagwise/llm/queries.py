@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagwise.llm import sql
 from tagwise.llm.common import table
+from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
 from tagwise.llm.quality_rules import quality_rules
 from tagwise.llm.secrets import BASE, RULES, secret_spans
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
         ),
+        "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
     }
 
