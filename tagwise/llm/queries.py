@@ -14,6 +14,7 @@ from tagwise.llm.quality_rules import quality_rules
 from tagwise.llm.secrets import BASE, RULES, secret_spans
 from tagwise.llm.sharding import shard_by_bytes
 from tagwise.llm.simhash import near_duplicates
+from tagwise.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
         ),
+        "op8_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
     }
