@@ -119,11 +119,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float,
     tell, as toxic documents rarely have just one.
     """
     start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    beta = np.zeros(x.shape[1])
-    for _ in range(15):
+    loss = lambda w: np.logaddexp(0, (1 - 2 * y) * (start + x @ w)).sum() + ridge / 2 * w @ w
+    beta, now = np.zeros(x.shape[1]), np.inf
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(start + x @ beta, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        beta -= np.linalg.solve(hessian, x.T @ (p - y) + ridge * beta)
+        step = np.linalg.solve(hessian, x.T @ (p - y) + ridge * beta)
+        while (then := loss(beta - step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        beta -= step
+        if now - then < 1e-6 * len(y):
+            break
+        now = then
     return start, beta
 
 
@@ -154,7 +161,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
 
     rows = sample.mapInArrow(present, "on array<int>, label int").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["on"], r["label"]))
-    x = np.zeros((len(rows), len(names)), np.float32)
+    x = np.zeros((len(rows), len(names)))
     for i, row in enumerate(rows):
         x[i, row["on"]] = 1
     return Scorer(model, names, *_logistic(x, np.array([r["label"] for r in rows])))
