@@ -12,6 +12,7 @@ from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
 from tagwise.llm.quality_rules import quality_rules
 from tagwise.llm.secrets import BASE, RULES, secret_spans
+from tagwise.llm.sentencepiece_bpe import round_trips
 from tagwise.llm.sharding import shard_by_bytes
 from tagwise.llm.simhash import near_duplicates
 from tagwise.llm.toxicity import toxicity_scores
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality_rules(table(spark, d, "documents")),
+        "op4_sentencepiece": lambda spark, d: round_trips(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: shard_by_bytes(table(spark, d, "documents")),
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
