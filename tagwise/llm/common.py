@@ -43,3 +43,8 @@ def words(text: Column) -> Column:
 def hex_bits(digest: Column) -> Column:
     """The first 60 bits of a hexadecimal digest, as a number."""
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A stored table of short rows with a broadcast hint, if it has no more than so many; else left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

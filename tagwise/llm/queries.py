@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwise.llm import sql
+from tagwise.llm import mixing, sql
 from tagwise.llm.common import table
 from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality_rules(table(spark, d, "documents")),
+        "op3_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents")),
         "op4_sentencepiece": lambda spark, d: round_trips(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: shard_by_bytes(table(spark, d, "documents")),
         "op6_quality_classifier": lambda spark, d: quality_scores(
@@ -38,6 +39,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": sql.QUALITY_RULES,
+        "op3_mixing": sql.mixing(mixing.WEIGHTS, mixing.BUDGET_SHARE, mixing.MAX_EPOCHS, mixing.SEED),
         "op5_sharding": sql.SHARDING,
         "op10_secret_scans": sql.secrets(RULES, BASE),
     }

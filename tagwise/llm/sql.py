@@ -110,3 +110,64 @@ select t.doc_id, {counts}, sha256(coalesce({told} filter ({of_base}), '')) as ba
     coalesce({told} filter (kind is not null), '') as spans
 from texts t left join spans using (doc_id) group by t.doc_id
 """
+
+
+def mixing(weights: dict, share: float, max_epochs: int, seed: int) -> str:
+    def weight(level: str) -> str:
+        cases = "".join(f" when '{k}' then {float(v)}" for k, v in sorted(weights[level].items()))
+        return f"case {level}{cases} else 1.0::double end" if cases else "1.0::double"
+
+    def shared(name: str, source: str, path: str, parents: str, level: str) -> str:
+        return f"""{name}_ranked as (
+    select *, {weight(level)}::double as w, capacity / ({weight(level)})::double as ratio from ({source})
+), {name}_full as (
+    select *, sum(capacity) over (partition by {parents} order by ratio)
+        + ratio * (sum(w) over (partition by {parents}) - sum(w) over (partition by {parents} order by ratio)) <= given as f
+    from {name}_ranked
+), {name} as (
+    select {path}, (case when f then capacity else floor(
+        (given - sum(case when f then capacity else 0 end) over (partition by {parents}))::double
+        / sum(case when f then 0.0 else w end) over (partition by {parents})::double * w) end)::bigint as given
+    from {name}_full
+)"""
+
+    first = f"""select *, least(sum(capacity) over (),
+        floor(sum(capacity) over ()::double / {max_epochs} * {share}::double)::bigint) as given
+        from (select domain, (sum(tokens) * {max_epochs})::bigint as capacity from leaves group by domain)"""
+    second = f"""select l.*, given from (select domain, lang, (sum(tokens) * {max_epochs})::bigint as capacity
+        from leaves group by domain, lang) l join domains using (domain)"""
+    third = f"""select l.domain, l.lang, l.source, (tokens * {max_epochs})::bigint as capacity, given
+        from leaves l join langs using (domain, lang)"""
+    return f"""
+with crc_table as (
+    select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i::bigint, generate_series(1::bigint, 8)),
+            lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c
+        from (select unnest(generate_series(0, 255)) as i)
+    )
+), sources as (
+    select source, 'domain' || (xor(list_reduce(list_prepend(4294967295::bigint,
+        [('0x' || x)::bigint for x in regexp_extract_all(hex(encode(source)), '..')]),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4)::varchar as domain
+    from (select distinct coalesce(source, '') as source from documents), crc_table
+), texts as (
+    select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens
+    from documents
+), rows as (
+    select * from texts join sources using (source)
+), leaves as (
+    select domain, lang, source, sum(n_tokens)::bigint as tokens from rows group by all
+), {shared("domains", first, "domain", "1", "domain")},
+{shared("langs", second, "domain, lang", "domain", "lang")},
+{shared("plan", third, "domain, lang, source", "domain, lang", "source")},
+keyed as (
+    select r.*, (p.given // l.tokens)::integer as epochs, p.given % l.tokens as rest,
+        ('0x' || substr(md5({seed} || ':' || (p.given // l.tokens) || ':' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as k
+    from rows r join leaves l using (domain, lang, source) join plan p using (domain, lang, source) where l.tokens > 0
+), placed as (
+    select *, sum(n_tokens) over (partition by domain, lang, source order by k) <= rest as more from keyed
+)
+select doc_id, domain, lang, source, n_tokens, unnest(generate_series(0, epochs - case when more then 0 else 1 end))::integer as epoch
+from placed
+"""
