@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwise.llm import mixing, sql
+from tagwise.llm.chat_format import formatted_conversations
 from tagwise.llm.common import table
 from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
         ),
+        "op7_chat_format": lambda spark, d: formatted_conversations(table(spark, d, "conversations")),
         "op8_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
@@ -41,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": sql.QUALITY_RULES,
         "op3_mixing": sql.mixing(mixing.WEIGHTS, mixing.BUDGET_SHARE, mixing.MAX_EPOCHS, mixing.SEED),
         "op5_sharding": sql.SHARDING,
+        "op7_chat_format": sql.CHAT_FORMAT,
         "op10_secret_scans": sql.secrets(RULES, BASE),
     }

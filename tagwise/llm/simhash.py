@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tagwise.llm.common import stored
 from tagwise.llm.components import components
+from tagwise.llm.learning import free_name
 
 SHINGLE = 4
 SEED = 42
@@ -218,15 +220,38 @@ def links(codes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataF
     return met.mapInArrow(_stars(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row; the component's id is the least doc_id that can be reached."""
-    signed = stored(signatures(docs))
+def _rooted(signed: DataFrame, distance: int) -> DataFrame:
+    """``fp, first, root``: the distinct fingerprints with their least doc_id and their component."""
     codes = signed.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(codes.select("fp"), distance))
-    rooted = codes.join(found, codes["fp"] == found["node"], "left").select(
+    return codes.join(found, codes["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row; the component's id is the least doc_id that can be reached."""
+    signed = stored(signatures(docs))
+    rooted = _rooted(signed, distance)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_code = rooted.join(named, "root").select(F.col("fp").alias("code"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return signed.join(of_code, F.col("fp") == F.col("code")).select("doc_id", hexed, "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The documents, all columns as they are, cut to the one with the least doc_id of each component."""
+    fp = free_name(docs, "fp")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
+
+    rooted = _rooted(stored(signatures(docs)), distance)
+    first = F.min(F.struct(F.col("first").isNull(), F.col("first").alias("id"), F.col("fp").alias("code")))
+    chosen = rooted.groupBy("root").agg(first.alias("kept")).select("kept.id", "kept.code")
+    signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    same = signed["doc_id"].eqNullSafe(chosen["id"]) & (signed[fp] == chosen["code"])
+    return signed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", fp]).drop(fp)

@@ -171,3 +171,47 @@ keyed as (
 select doc_id, domain, lang, source, n_tokens, unnest(generate_series(0, epochs - case when more then 0 else 1 end))::integer as epoch
 from placed
 """
+
+
+CHAT_FORMAT = r"""
+with recursive calls as (
+    select conv_id, turn, 'call_' || conv_id || '_' || turn as call_id, length(coalesce(text, '')) as n,
+        to_json(substr(coalesce(text, ''), 1, 24))::varchar as q,
+        (['lookup', 'measure', 'remind', 'dance'])[length(coalesce(text, '')) % 4 + 1] as name
+    from conversations where role = 'assistant'
+), results as (
+    select conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) as call_id, text as content
+    from conversations where role = 'user' and turn > 0
+), edges as (
+    select c.conv_id, c.call_id, p.call_id as before from calls c join calls p
+    on p.conv_id = c.conv_id and p.turn = c.turn // 2 and p.turn <> c.turn
+), depths as (
+    select conv_id, call_id, 0 as depth from calls c anti join edges e using (conv_id, call_id)
+    union all
+    select e.conv_id, e.call_id, depth + 1 from edges e join depths d on d.conv_id = e.conv_id and d.call_id = e.before
+), tools as (
+    select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.turn, r.turn) as turn,
+        coalesce(c.call_id, r.call_id) as call_id, depth::integer as depth, name, to_json(content)::varchar as content,
+        case when c.conv_id is null then 'no call' when r.conv_id is null then 'no result' else 'linked' end as status,
+        case when c.conv_id is null then null when n % 7 = 0 then 'not JSON' when name = 'dance' then 'unknown tool'
+            when name = 'remind' then 'unknown loud' when name = 'lookup' and n % 5 = 0 then 'limit is not integer' else '' end as errors,
+        case when n % 7 = 0 then null
+            when name = 'lookup' then '{"limit":' || case when n % 5 = 0 then '"all"' else n::varchar end || ',"query":' || q || '}'
+            when name = 'measure' then '{"chars":' || n || ',"unit":"m"}'
+            else '{"loud":true,"minutes":5,"note":' || q || '}' end as arguments
+    from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
+    left join depths d on d.conv_id = c.conv_id and d.call_id = c.call_id
+), nodes as (
+    select conv_id, turn, 0 as place, null::varchar as call_id, null::integer as depth, null::varchar as status,
+        null::varchar as errors, '{' || concat_ws(',', '"content":' || to_json(text)::varchar, '"role":' || to_json(role)::varchar) || '}' as json
+    from conversations
+    union all
+    select conv_id, turn, case when status = 'no call' then 2 else 1 end, call_id, depth, status, errors,
+        '{' || concat_ws(',', '"arguments":' || arguments, '"call":"' || call_id || '"', '"name":"' || name || '"',
+            '"result":' || content) || '}'
+    from tools
+)
+select conv_id, row_number() over (partition by conv_id order by turn, place, depth, call_id, json) - 1 as position, turn,
+    (['message', 'call', 'result'])[place + 1] as kind, call_id, depth, status, errors, json
+from nodes
+"""
