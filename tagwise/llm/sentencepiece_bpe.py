@@ -2,10 +2,11 @@
 
 The vocabulary of a SentencePiece BPE model is read once on the driver and travels with the job, so executors need no
 file. A text is encoded run by run, a run being letters, or other characters, with the blanks before them; no piece of
-the vocabulary reaches across a run's end, which is verified when it is read. Within a run an agenda of adjacent symbols is worked off by score, and a candidate merge is skipped where a hash keyed by
-seed, variant, run and position falls below the dropout rate. A document's variant is a hash of its id, one of a few, so
-that equal runs are segmented differently in different documents and yet can be remembered. Characters without a piece
-become byte pieces; decoding joins the pieces' bytes and gives back every text exactly, whatever was dropped.
+the vocabulary reaches across a run's end, which is verified when it is read. Within a run an agenda of adjacent symbols
+is worked off by score, and a candidate merge is skipped where its byte of a hash of the run, keyed by seed and variant,
+falls below the dropout rate. A document's variant is a hash of its id, one of a few, so that equal runs are segmented
+differently in different documents and yet can be remembered. Characters without a piece become byte pieces; decoding
+joins the pieces' bytes and gives back every text exactly, whatever was dropped.
 
 Null and empty texts have no pieces and decode to the empty text; a null id has variant 0; repeated rows are encoded
 alike; an empty table gives an empty result. ``encoded`` keeps all columns of its input under their names and puts the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,7 +36,13 @@ VARIANTS = 4
 #: Runs that a worker remembers, in two generations of which the older is forgotten when the younger is full.
 KEPT = 1 << 20
 BLANK = "▁"
-_WORD = 1 << 32
+#: Characters of a run from which its agenda is a heap; the pieces are the same.
+LONG = 64
+NONE = -math.inf
+
+
+#: The codecs of this process: a worker keeps what it remembers from task to task.
+_LIVE: dict[str, dict] = {}
 
 
 class Pieces:
@@ -42,7 +50,7 @@ class Pieces:
 
     def __init__(self, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.limit, self.seed = int(dropout * _WORD), seed
+        self.limit, self.seed = round(dropout * 256), seed
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes_of: list[bytes] = []
@@ -58,10 +66,17 @@ class Pieces:
             else:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
+        self.name = f"{xxhash.xxh3_64_hexdigest(repr(sorted(self.scores.items())))}:{self.limit}:{seed}"
         self.runs = self._run_pattern()
         self.young: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
         self.old: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {k: [{} for _ in range(VARIANTS)] for k in ("young", "old")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = _LIVE.setdefault(state["name"], state)
+
     def _run_pattern(self) -> re.Pattern:
         """Cuts where no piece does join: before blanks, and between letters and other characters."""
         mixed = "".join(p for p in map(self._cased, self.ids) if re.search(r"[^\W\d_][\W\d_]|[\W\d_][^\W\d_]", p))
@@ -74,42 +89,57 @@ class Pieces:
     def _cased(piece: str) -> str:
         return piece.lstrip(BLANK)
 
-    def _segment(self, symbols: list[str], key: int) -> list[str]:
-        """Work the agenda of adjacent symbols off, best score and then leftmost first."""
-        n, score_of, limit, push, pop = len(symbols), self.scores.get, self.limit, heapq.heappush, heapq.heappop
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
+    def _segment(self, symbols: list[str], key: bytes) -> list[str]:
+        """Work the agenda of adjacent symbols off, best score and then leftmost first.
+
+        The agenda of a short run is a list beside its symbols, searched anew for each merge; that of a long one a heap.
+        """
+        if len(symbols) > LONG:
+            return self._segment_long(symbols, key)
+        score_of, limit, at = self.scores.get, self.limit, list(range(len(symbols)))
+        agenda = [score_of(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := max(agenda)) != NONE:
+            i = agenda.index(best)
+            merged = symbols[i] + symbols[i + 1]
+            if key[at[i] * 7 + len(merged) & 63] < limit:
+                agenda[i] = NONE
+                continue
+            symbols[i] = merged
+            del symbols[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = score_of(merged + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = score_of(symbols[i - 1] + merged, NONE)
+        return symbols
+
+    def _segment_long(self, symbols: list[str], key: bytes) -> list[str]:
+        n, score_of, push = len(symbols), self.scores.get, heapq.heappush
+        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def propose(left: int, right: int) -> None:
+            if left >= 0 and right < n and (score := score_of(symbols[left] + symbols[right])) is not None:
+                push(agenda, (-score, left, right, symbols[left] + symbols[right]))
+
         for left in range(n - 1):
-            merged = symbols[left] + symbols[left + 1]
-            if (score := score_of(merged)) is not None:
-                agenda.append((-score, left, left + 1, merged))
-        heapq.heapify(agenda)
+            propose(left, left + 1)
         while agenda:
-            _, left, right, merged = pop(agenda)
+            _, left, right, merged = heapq.heappop(agenda)
             if after[left] != right or symbols[left] + symbols[right] != merged:
                 continue  # one of the two has been merged since
-            if limit:
-                mixed = (key ^ left * 0x9E3779B1 ^ len(merged) * 0x85EBCA6B) & 0xFFFFFFFF
-                mixed = (mixed ^ mixed >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-                if (mixed ^ mixed >> 13) * 0x297A2D39 % _WORD < limit:
-                    continue
+            if key[left * 7 + len(merged) & 63] < self.limit:
+                continue
             symbols[left], symbols[right] = merged, ""
-            after[left] = end = after[right]
-            if end < n:
-                before[end] = left
-                longer = merged + symbols[end]
-                if (score := score_of(longer)) is not None:
-                    push(agenda, (-score, left, end, longer))
-            if (start := before[left]) >= 0:
-                longer = symbols[start] + merged
-                if (score := score_of(longer)) is not None:
-                    push(agenda, (-score, start, left, longer))
+            after[left] = after[right]
+            if after[right] < n:
+                before[after[right]] = left
+            propose(before[left], left)
+            propose(left, after[left])
         return [s for s in symbols if s]
 
     def _run(self, run: str, variant: int) -> list[int]:
         # a blank is its piece's character; that character itself has no piece of its own
         symbols = list(run.replace(BLANK, "\0").replace(" ", BLANK))
-        key = xxhash.xxh32_intdigest(run.encode(), (self.seed * VARIANTS + variant) & 0xFFFFFFFF)
+        key = hashlib.blake2b(run.encode(), digest_size=64, key=f"{self.seed}:{variant}".encode()).digest()
         found: list[int] = []
         for piece in self._segment(symbols, key):
             if (i := self.ids.get(piece)) is not None:
