@@ -1,6 +1,7 @@
 """DuckDB twins of the registered queries, to be compared without regard to row order.
 
-``VIEWS`` builds the same price tables as ``tagwise.testbed``.
+``VIEWS`` builds the same price tables as ``tagwise.testbed``, with ``offers`` cut to one market; in ``ALL_VIEWS`` it holds
+all markets, and what is derived from it keeps them apart.
 """
 
 _DAY = (
@@ -48,6 +49,7 @@ catalog_offers AS (
   FROM catalog_rows),
 market_offers AS (SELECT date, article, country, price, year FROM catalog_offers
   WHERE country IN ('de', 'uk', 'fr', 'it', 'se', 'es', 'pl')),
+-- Fixed values: VAT and exchange rates by country, as in tagwise.model.
 vat AS (SELECT country, CAST(vat AS DOUBLE) AS vat FROM (VALUES ('de', .19), ('be', .21), ('cz', .21), ('fr', .2),
   ('it', .22), ('sk', .23), ('ro', .19), ('es', .21), ('pl', .23), ('hu', .27), ('dk', .25), ('se', .25)) t(country, vat)),
 market_vat AS (SELECT country, CAST(vat AS DOUBLE) AS vat FROM (VALUES ('de', .19), ('uk', .2), ('fr', .2), ('it', .22),
@@ -124,13 +126,33 @@ gaps AS (
 """
 
 
+# What differs in VIEWS where the offers hold all markets.
+_BY_MARKET = {
+    "SELECT date, article, shop, price, price_delivery, CAST(year(date) AS INTEGER) AS year\n"
+    "  FROM all_offers WHERE country = 'de'": "SELECT *, CAST(year(date) AS INTEGER) AS year FROM all_offers",
+    "PARTITION BY date, article ORDER BY price": "PARTITION BY country, date, article ORDER BY price",
+    "SELECT shop, product, min(price)": "SELECT country, shop, product, min(price)",
+    "FROM marked GROUP BY shop, product": "FROM marked GROUP BY country, shop, product",
+    "SELECT depth, article, shop, product": "SELECT depth, country, article, shop, product",
+    "GROUP BY depth, article, shop, product": "GROUP BY depth, country, article, shop, product",
+    "SELECT b.depth, b.shop AS base_shop": "SELECT b.depth, b.country, b.shop AS base_shop",
+    "PARTITION BY b.depth, b.shop, b.article": "PARTITION BY b.depth, b.country, b.shop, b.article",
+    "ON b.depth = r.depth AND b.article": "ON b.depth = r.depth AND b.country = r.country AND b.article",
+}
+ALL_VIEWS = VIEWS
+for _one, _all in _BY_MARKET.items():
+    assert ALL_VIEWS.count(_one) == 1, _one
+    ALL_VIEWS = ALL_VIEWS.replace(_one, _all)
+
+
 def _top_discounts(disc: str, measure: str, listed: str = "") -> str:
     return f"""
-SELECT article, date, shop, price, price_delivery, list_price, {disc} AS disc,
-  {measure} - min({measure}) OVER (PARTITION BY article) AS surplus,
-  CASE WHEN {disc} IS NOT NULL THEN format('{{:.1f}}%', round_even({disc} * 100 * 10, 0) / 10) END AS disc_label
+SELECT country, article, date, shop, price, price_delivery, list_price, {disc} AS disc,
+  {measure} - min({measure}) OVER (PARTITION BY country, article) AS surplus,
+  CASE WHEN {disc} IS NOT NULL THEN format('{{:.1f}}%', round_even({disc} * 100 * 10, 0) / 10) END AS disc_label,
+  format('{{:.1f}}', round_even({measure} * 10, 0) / 10) AS price_label
 FROM (SELECT * FROM enriched, d WHERE date = d {listed}
-  QUALIFY row_number() OVER (PARTITION BY article ORDER BY {disc} DESC NULLS FIRST, shop, price NULLS FIRST,
+  QUALIFY row_number() OVER (PARTITION BY country, article ORDER BY {disc} DESC NULLS FIRST, shop, price NULLS FIRST,
     price_delivery NULLS FIRST) <= 12)"""
 
 
@@ -153,11 +175,11 @@ def _percent(share: str) -> str:
 def _matrix(days: tuple[str, str, str, str], measure: str) -> str:
     d0, d1, d7, d30 = days
     return f"""
-SELECT article, shop, d30, d7, d1, d0 FROM (
-  SELECT article, shop, min({measure}) FILTER (date = {d0}) AS d0, min({measure}) FILTER (date = {d1}) AS d1,
+SELECT country, article, shop, d30, d7, d1, d0 FROM (
+  SELECT country, article, shop, min({measure}) FILTER (date = {d0}) AS d0, min({measure}) FILTER (date = {d1}) AS d1,
     min({measure}) FILTER (date = {d7}) AS d7, min({measure}) FILTER (date = {d30}) AS d30
-  FROM enriched, d WHERE date IN ({d0}, {d1}, {d7}, {d30}) GROUP BY article, shop)
-QUALIFY row_number() OVER (PARTITION BY article ORDER BY d0 NULLS LAST, d1 NULLS LAST, d7 NULLS LAST, d30 NULLS LAST, shop)
+  FROM enriched, d WHERE date IN ({d0}, {d1}, {d7}, {d30}) GROUP BY country, article, shop)
+QUALIFY row_number() OVER (PARTITION BY country, article ORDER BY d0 NULLS LAST, d1 NULLS LAST, d7 NULLS LAST, d30 NULLS LAST, shop)
   <= 10"""
 
 
@@ -167,6 +189,19 @@ SELECT shop, count(*) FILTER (diff_1d > 0) AS n_drops_1d, count(*) FILTER (diff_
   count(*) FILTER (diff_30d > 0) AS n_drops_30d, count(*) FILTER (diff_30d < 0) AS n_rises_30d
 FROM changes GROUP BY shop"""
 
+_DUEL = "shop IN ('shop_1', 'shop_7')"
+
+
+def _histogram(owner: str, only: str) -> str:
+    return f"""
+SELECT {owner}, bin, count(*) AS count, any_value(lo + (bin - 1) * ((hi - lo) / 10)) AS bin_lo,
+  any_value(lo + bin * ((hi - lo) / 10)) AS bin_hi
+FROM (SELECT {owner}, lo, hi, CAST(least(floor((disc1 - lo) / (hi - lo) * 10) + 1, 10) AS INTEGER) AS bin
+  FROM enriched, d, (SELECT min(disc1) AS lo, max(disc1) AS hi FROM enriched, d WHERE date = d {only})
+  WHERE date = d AND disc1 IS NOT NULL {only})
+GROUP BY {owner}, bin"""
+
+
 _SHOPS = [f"shop_{i}" for i in range(10)]
 _RIVALS = [s for s in _SHOPS if s != "shop_1"]
 _LED = (
@@ -179,22 +214,24 @@ _BODIES = {
 SELECT country, article, date, price AS min_price, shop AS min_price_shop FROM all_offers
 QUALIFY row_number() OVER (PARTITION BY country, article, date ORDER BY price NULLS FIRST, shop) = 1""",
     "daily_min_priced": """
-SELECT article, date, min(price_delivery) AS min_price, min(shop) AS min_price_shop FROM (
+SELECT country, article, date, min(price_delivery) AS min_price, min(shop) AS min_price_shop FROM (
   SELECT * FROM offers WHERE price_delivery IS NOT NULL
-  QUALIFY price_delivery = min(price_delivery) OVER (PARTITION BY article, date))
-GROUP BY article, date""",
+  QUALIFY price_delivery = min(price_delivery) OVER (PARTITION BY country, article, date))
+GROUP BY country, article, date""",
     "daily_mean": """
 SELECT country, article, date, round_even(avg(price_delivery) * 10, 0) / 10 AS mean_price
 FROM all_offers GROUP BY country, article, date""",
     "assortment": """
-SELECT DISTINCT o.article, l.product FROM offers o LEFT JOIN list_prices l USING (article)""",
+SELECT DISTINCT o.country, o.article, l.product FROM offers o LEFT JOIN list_prices l USING (article)""",
     "assortment_one_name": """
 SELECT c.article, min(s.product) AS product FROM catalog_offers c LEFT JOIN supply_prices s USING (article)
 GROUP BY c.article""",
     "resolve_product": """
-SELECT o.article, min(l.product) AS product FROM offers o LEFT JOIN list_prices l USING (article) GROUP BY o.article""",
+SELECT o.country, o.article, min(l.product) AS product FROM offers o LEFT JOIN list_prices l USING (article)
+GROUP BY o.country, o.article""",
     "resolve_article": """
-SELECT l.product, min(o.article) AS article FROM offers o JOIN list_prices l USING (article) GROUP BY l.product""",
+SELECT o.country, l.product, min(o.article) AS article FROM offers o JOIN list_prices l USING (article)
+GROUP BY o.country, l.product""",
     "shop_directory": "SELECT DISTINCT country, shop FROM all_offers ORDER BY country, shop",
     "country_directory": "SELECT DISTINCT country FROM catalog_offers ORDER BY country",
     "default_shops": """
@@ -205,21 +242,22 @@ FROM (SELECT DISTINCT country, article, shop, coalesce(pref, 9) AS pref FROM all
 QUALIFY pref < 9 AND row_number() OVER (PARTITION BY country, article ORDER BY pref, shop) <= 2
   OR row_number() OVER (PARTITION BY country, article ORDER BY pref, shop) = 1""",
     "shop_series": """
-SELECT article, date, shop, price_delivery AS value FROM offers WHERE shop IN ('shop_1', 'shop_7')""",
+SELECT country, article, date, shop, price_delivery AS value FROM offers WHERE shop IN ('shop_1', 'shop_7')""",
     "price_development": """
-SELECT o.article, date, o.shop AS series, price AS value, o.shop FROM offers o JOIN (
-  SELECT article, shop FROM (SELECT DISTINCT article, shop, coalesce(pref, 9) AS pref FROM offers LEFT JOIN
+SELECT o.country, o.article, date, o.shop AS series, price AS value, o.shop FROM offers o JOIN (
+  SELECT country, article, shop FROM (SELECT DISTINCT country, article, shop, coalesce(pref, 9) AS pref FROM offers LEFT JOIN
     (VALUES ('shop_7', 1), ('shop_3', 2), ('shop_1', 3)) p(shop, pref) USING (shop))
-  QUALIFY pref < 9 AND row_number() OVER (PARTITION BY article ORDER BY pref, shop) <= 2
-    OR row_number() OVER (PARTITION BY article ORDER BY pref, shop) = 1) c
-  ON o.article = c.article AND o.shop = c.shop
+  QUALIFY pref < 9 AND row_number() OVER (PARTITION BY country, article ORDER BY pref, shop) <= 2
+    OR row_number() OVER (PARTITION BY country, article ORDER BY pref, shop) = 1) c
+  ON o.country = c.country AND o.article = c.article AND o.shop = c.shop
 UNION ALL
-SELECT * FROM (SELECT article, date, 'min', price, shop FROM offers
-  QUALIFY row_number() OVER (PARTITION BY article, date ORDER BY price NULLS FIRST, shop) = 1)
+SELECT * FROM (SELECT country, article, date, 'min', price, shop FROM offers
+  QUALIFY row_number() OVER (PARTITION BY country, article, date ORDER BY price NULLS FIRST, shop) = 1)
 UNION ALL
-SELECT article, date, 'mean', round_even(avg(price) * 10, 0) / 10, NULL FROM offers GROUP BY article, date""",
+SELECT country, article, date, 'mean', round_even(avg(price) * 10, 0) / 10, NULL FROM offers
+GROUP BY country, article, date""",
     "recent_offers": "SELECT offers.* FROM offers, d WHERE date >= d - 10",
-    "snapshots": "SELECT date, article, shop, price, price_delivery, year, label FROM marked",
+    "snapshots": "SELECT date, country, article, shop, price, price_delivery, year, label FROM marked",
     "list_price_join": """
 SELECT o.*, l.product, l.subcategory, l.family, l.price AS list_price FROM all_offers o
 LEFT JOIN list_prices l ON o.article = l.article AND year(o.date) = l.year""",
@@ -228,7 +266,8 @@ SELECT c.*, s.product, s.price AS ancor FROM catalog_offers c LEFT JOIN supply_p
     "platform_price_join": """
 SELECT m.*, p.amz_price AS amazon FROM market_offers m LEFT JOIN platform_prices p USING (article)""",
     "vat_join": "SELECT c.*, v.vat FROM catalog_offers c LEFT JOIN vat v USING (country)",
-    "discounts": "SELECT article, date, shop, price, price_delivery, list_price, disc1, disc2 FROM enriched",
+    "discounts": """
+SELECT country, article, date, shop, price, price_delivery, list_price, disc1, disc2 FROM enriched""",
     "fx_to_eur": "SELECT article, country, date, price, price_eur FROM catalog_eur",
     "net_price": "SELECT article, country, date, price_eur, price_net FROM market_net",
     "margin": """
@@ -252,7 +291,7 @@ SELECT article, country, date, margin,
 SELECT article, country, CAST(row_number() OVER (PARTITION BY article ORDER BY country) - 1 AS INTEGER) AS country_id
 FROM comparison, cd WHERE date = d""",
     "display_columns": f"""
-SELECT CAST(article AS VARCHAR) AS article, replace(CAST(price AS VARCHAR), '.', ',') AS price_text,
+SELECT country, CAST(article AS VARCHAR) AS article, replace(CAST(price AS VARCHAR), '.', ',') AS price_text,
   {_percent_comma("disc1")} AS disc_comma, {_percent("disc2")} AS disc_point,
   strftime(date, '%d.%m.%Y') AS date_text, strftime(date, '%d %b') AS day_text
 FROM enriched""",
@@ -290,16 +329,10 @@ SELECT country, shop, article, d30 - d0 AS diff_30d, d7 - d0 AS diff_7d, d1 - d0
 SELECT c.shop, {", ".join(f"CASE WHEN n = 4 THEN {c} ELSE 0 END AS {c}" for c in (
         "n_drops_1d", "n_rises_1d", "n_drops_7d", "n_rises_7d", "n_drops_30d", "n_rises_30d"))}
 FROM ({_CHANGE_COUNTS}) c JOIN (SELECT shop, count(DISTINCT label) AS n FROM marked GROUP BY shop) USING (shop)""",
-    "discount_histogram": """
-SELECT shop, bin, count(*) AS count, any_value(lo + (bin - 1) * ((hi - lo) / 10)) AS bin_lo,
-  any_value(lo + bin * ((hi - lo) / 10)) AS bin_hi
-FROM (SELECT shop, lo, hi, CAST(least(floor((disc1 - lo) / (hi - lo) * 10) + 1, 10) AS INTEGER) AS bin
-  FROM enriched, d, (SELECT min(disc1) AS lo, max(disc1) AS hi FROM enriched, d WHERE date = d)
-  WHERE date = d AND disc1 IS NOT NULL)
-GROUP BY shop, bin""",
+    "discount_histogram": _histogram("shop", ""),
     "top_discounts": _top_discounts("disc1", "price"),
     "top_discounts_listed": _top_discounts("disc2", "price_delivery", "AND disc2 IS NOT NULL"),
-    "surplus": f"SELECT article, shop, price_delivery, surplus FROM ({_top_discounts('disc2', 'price_delivery')})",
+    "surplus": f"SELECT country, article, shop, price_delivery, surplus FROM ({_top_discounts('disc2', 'price_delivery')})",
     "price_matrix": _matrix(("d", "d - 1", "d - 7", "d - 30"), "price"),
     "price_matrix_dates": _matrix(
         ("DATE '2024-01-20'", "DATE '2024-01-15'", "DATE '2023-12-31'", "DATE '2023-12-24'"), "price_delivery"
@@ -322,11 +355,13 @@ WHERE depth = 3 AND base_shop = 'shop_1' AND diff >= 50""",
 SELECT c.*, margin * 100 AS margin_pct, {_percent("margin")} AS margin_label,
   CASE WHEN margin * 100 < 45 THEN 'low' WHEN margin * 100 > 70 THEN 'high' ELSE 'mid' END AS band,
   CAST(row_number() OVER (PARTITION BY article ORDER BY country) - 1 AS INTEGER) AS country_id,
-  format('{{:.0f}}% || {{:.1f}} €', discount, round_even(price_disc * 10, 0) / 10) AS discount_label
+  format('{{:.0f}}% || {{:.1f}} €', discount, round_even(price_disc * 10, 0) / 10) AS discount_label,
+  format('{{:.1f}}', round_even(price_eur * 10, 0) / 10) AS price_label
 FROM comparison c, cd WHERE date = d""",
     "latest_margins_market": f"""
 SELECT c.*, margin * 100 AS margin_pct, {_percent("margin")} AS margin_label,
-  CASE WHEN margin * 100 < 15 THEN 'low' WHEN margin * 100 > 30 THEN 'high' ELSE 'mid' END AS band
+  CASE WHEN margin * 100 < 15 THEN 'low' WHEN margin * 100 > 30 THEN 'high' ELSE 'mid' END AS band,
+  format('{{:.1f}}', round_even(price_eur * 10, 0) / 10) AS price_label
 FROM market_comparison c, md WHERE date = d""",
     "stock_series": "SELECT article, date, stock FROM catalog_offers, cd WHERE date >= d - 30 AND country = 'de'",
     "country_series": """
@@ -337,12 +372,31 @@ SELECT country, CAST(article AS VARCHAR) AS article, price, discount, stock, pro
 FROM low_catalog l WHERE margin < 0.4""",
     "low_margin_market": f"""
 SELECT country, CAST(article AS VARCHAR) AS article, price, product, amazon,
-  CAST(round_even(price_eur * 10, 0) / 10 AS VARCHAR) AS price_eur, {_percent("margin")} AS margin_pct_text
+  format('{{:.1f}}', round_even(price_eur * 10, 0) / 10) AS price_eur, {_percent("margin")} AS margin_pct_text
 FROM low_market l WHERE margin < 0.2""",
-    "low_margin_titles": """
-SELECT country, n_products, 'Products with margin less than 40.0% in ' || country || ' on ' || strftime(d, '%d.%m.%Y')
-  || ' (quantity of products: ' || n_products || ')' AS title
-FROM (SELECT country, count(*) AS n_products FROM low_catalog WHERE margin < 0.4 GROUP BY country), cd""",
+    "low_margin_counts": """
+SELECT country, any_value(date) AS date, CAST(40 AS DOUBLE) AS max_margin, count(*) FILTER (margin < 0.4) AS n_products
+FROM low_catalog GROUP BY country""",
+    "low_margin_counts_market": """
+SELECT country, any_value(date) AS date, CAST(20 AS DOUBLE) AS max_margin, count(*) FILTER (margin < 0.2) AS n_products
+FROM low_market GROUP BY country""",
+    "rank_counts_all": """
+SELECT country, shop, rank, count(*) AS count FROM ranked, d WHERE date = d AND rank IS NOT NULL
+GROUP BY country, shop, rank QUALIFY row_number() OVER (PARTITION BY country, shop ORDER BY rank) <= 4""",
+    "rank_list_all": "SELECT country, shop, article, product, price, disc1 FROM ranked, d WHERE date = d AND rank = 2",
+    "min_price_gaps_all": """
+SELECT country, base_shop, article, product, base_price, shop, price, diff FROM gaps WHERE depth = 1 AND largest >= 10""",
+    "price_change_counts_all": _CHANGE_COUNTS.replace("SELECT shop", "SELECT country, shop").replace("BY shop", "BY country, shop"),
+    "discount_histogram_all": _histogram("country, shop", ""),
+    "shop_report_ranks": f"""
+SELECT shop, rank, count(*) AS count FROM ranked, d WHERE date = d AND rank IS NOT NULL AND {_DUEL} GROUP BY shop, rank
+QUALIFY row_number() OVER (PARTITION BY shop ORDER BY rank) <= 4""",
+    "shop_report_lists": f"""
+SELECT shop, rank, CAST(article AS VARCHAR) AS article, product, replace(CAST(price AS VARCHAR), '.', ',') AS price,
+  {_percent_comma("disc1")} AS disc1
+FROM ranked, d WHERE date = d AND rank <= 2 AND {_DUEL}""",
+    "shop_report_histogram": _histogram("shop", f"AND {_DUEL}"),
+    "shop_report_changes": _CHANGE_COUNTS.replace("FROM changes", f"FROM changes WHERE {_DUEL}"),
     "shop_report": f"""
 SELECT shop, rank, CAST(article AS VARCHAR) AS article, product, replace(CAST(price AS VARCHAR), '.', ',') AS price,
   {_percent_comma("disc1")} AS disc1
@@ -351,5 +405,12 @@ FROM ranked, d WHERE date = d AND rank <= 2""",
 }
 
 
+_ALL_MARKETS = {
+    "assortment", "resolve_product", "resolve_article", "snapshots", "shop_series", "price_development", "daily_min_priced",
+    "discounts", "display_columns", "top_discounts", "top_discounts_listed", "surplus", "price_matrix", "price_matrix_dates",
+    "rank_counts_all", "rank_list_all", "min_price_gaps_all", "price_change_counts_all", "discount_histogram_all",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: VIEWS + body.strip() for name, body in _BODIES.items()}
+    return {name: (ALL_VIEWS if name in _ALL_MARKETS else VIEWS) + body.strip() for name, body in _BODIES.items()}

@@ -14,8 +14,10 @@ def fmt_article(article: str) -> Column:
 
 
 def fmt_price(price: str) -> Column:
-    """Decimal comma, shortest digits, no thousands separator."""
-    return F.translate(F.col(price).cast("string"), ".", ",")
+    """Decimal comma, at most ten decimals and at least one, no exponent, no thousands separator."""
+    digits = F.rtrim(F.format_string("%.10f", F.col(price)), F.lit("0"))
+    whole = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.col(price).isNotNull(), F.translate(whole, ".", ","))
 
 
 def fmt_percent(share: str, comma: bool = True) -> Column:
@@ -34,8 +36,8 @@ def fmt_label(discount: str, price: str) -> Column:
 
 
 def fmt_decimal(value: str, digits: int = 1, decimal_comma: bool = False) -> Column:
-    """The rounded number as text."""
-    text = round_even(F.col(value), digits).cast("string")
+    """The rounded number as text, with all its decimals and without an exponent; null stays null."""
+    text = F.when(F.col(value).isNotNull(), _fixed(F.col(value), digits))
     return F.translate(text, ".", ",") if decimal_comma else text
 
 

@@ -2,14 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagwise.functions.display import fmt_percent
+from tagwise.functions.display import fmt_decimal, fmt_percent
 from tagwise.functions.measures import discount_of, with_surplus
 from tagwise.operators.slicing import Day, market_keys, on_date, recent
 
-# Offers a (date, article) cell may hold to be ranked as one window group.
-CROWDED = 1_000_000
-
-
 def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None = None) -> DataFrame:
     """Distinct prices of every (date, article) cell with their ``rank`` and number of offers ``n``.
 
@@ -27,47 +23,23 @@ def price_levels(offers: DataFrame, measure: str = "price", max_rank: int | None
     return levels if max_rank is None else levels.filter(F.col("rank") <= max_rank)
 
 
-def _rank_in_window(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
-    place = F.rank().over(
-        Window.partitionBy(*market_keys(offers, "article", "date")).orderBy(F.col(measure).asc_nulls_last())
-    )
-    if max_rank is None:
-        return offers.withColumn("rank", F.when(F.col(measure).isNotNull(), place).cast("long"))
-    # The filter sits directly on the rank, so every map task passes on its cheapest offers only.
-    cheapest = offers.filter(F.col(measure).isNotNull()).withColumn("rank", place).filter(F.col("rank") <= max_rank)
-    return cheapest.withColumn("rank", F.col("rank").cast("long"))
-
-
-def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> tuple[DataFrame, list[Column]]:
+def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> tuple[DataFrame, list[Column]]:
     """``df`` with its keys renamed, and the condition that they equal the unprefixed ones (null equals null)."""
     renamed = df.withColumnsRenamed({key: prefix + key for key in keys})
     return renamed, [F.col(key).eqNullSafe(F.col(prefix + key)) for key in keys]
 
 
-def _rank_by_level(offers: DataFrame, measure: str, max_rank: int | None) -> DataFrame:
-    # A cell is spread over its prices by the join, and a single price with many offers is split by the skew join.
-    keys = market_keys(offers, "article", "date") + [measure]
-    levels, same = _prefixed(price_levels(offers, measure, max_rank).drop("n"), "level_", keys)
-    ranked = offers.join(levels, same, "left" if max_rank is None else "inner")
-    return ranked.select(*offers.columns, "rank")
-
-
-def price_rank(
-    offers: DataFrame, measure: str = "price", max_rank: int | None = None, crowded: int = CROWDED
-) -> DataFrame:
+def price_rank(offers: DataFrame, measure: str = "price", max_rank: int | None = None) -> DataFrame:
     """Add ``rank``: 1 + the number of cheaper offers of the article on the date; null without a price. With
     ``max_rank`` only offers up to that rank are returned.
 
-    A cell of up to ``crowded`` offers is ranked by a window in one shuffle. Offers of a larger cell are set apart and
-    join the ranks of their prices. Such cells number at most the offers over ``crowded``, which bounds the broadcast
-    of their keys; where there are none, adaptive execution drops that branch.
+    Offers join the ranks of their cell's distinct prices. So a cell of any size is spread over its prices, and the skew
+    join splits a single price with many offers.
     """
-    cell = market_keys(offers, "article", "date")
-    counted = offers.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell)
-    large, same = _prefixed(counted, "large_", cell)
-    usual = _rank_in_window(offers.join(F.broadcast(large), same, "left_anti"), measure, max_rank)
-    apart = _rank_by_level(offers.join(F.broadcast(large), same, "left_semi"), measure, max_rank)
-    return usual.unionByName(apart)
+    keys = market_keys(offers, "article", "date") + [measure]
+    levels, same = prefixed(price_levels(offers, measure, max_rank).drop("n"), "level_", keys)
+    ranked = offers.join(levels, same, "left" if max_rank is None else "inner")
+    return ranked.select(*offers.columns, "rank")
 
 
 def rank_counts(ranked: DataFrame, shops: list[str] | None = None, n: int = 4) -> DataFrame:
@@ -97,8 +69,8 @@ def rank_list(ranked: DataFrame, measure: str = "price", shop: str | None = None
 def top_discounts(
     df: DataFrame, date: Day = None, measure: str = "price", n: int = 12, skip_unlisted: bool = False
 ) -> DataFrame:
-    """Per article the ``n`` offers of the day with the deepest discount, their surplus over the cheapest of them and
-    the discount as text. Offers without a discount come first unless ``skip_unlisted``.
+    """Per article the ``n`` offers of the day with the deepest discount, their surplus over the cheapest of them,
+    and discount and price as text. Offers without a discount come first unless ``skip_unlisted``.
     """
     disc = discount_of(measure)
     day = on_date(df, date)
@@ -118,6 +90,7 @@ def top_discounts(
         F.col(disc).alias("disc"),
         "surplus",
         fmt_percent(disc, comma=False).alias("disc_label"),
+        fmt_decimal(measure).alias("price_label"),
     )
 
 

@@ -62,9 +62,13 @@ def snapshots(df: DataFrame, date: Day = None, dates: Dates | None = None) -> Da
     return df.filter(F.col("date").isin(*days)).withColumn("label", label)
 
 
-def assortment(offers: DataFrame, names: DataFrame, one_name: bool = False) -> DataFrame:
-    """``article, product`` of every offered article: all its names, or with ``one_name`` the first in the alphabet."""
-    articles = offers.select("article").distinct()
+def assortment(
+    offers: DataFrame, names: DataFrame, one_name: bool = False, by_market: bool = False
+) -> DataFrame:
+    """``article, product`` of every offered article: all its names, or with ``one_name`` the first in the alphabet; with
+    ``by_market`` for every country apart.
+    """
+    articles = offers.select(*(market_keys(offers, "article") if by_market else ["article"])).distinct()
     if one_name:
         named = names.groupBy("article").agg(F.min("product").alias("product"))
     else:
@@ -73,11 +77,13 @@ def assortment(offers: DataFrame, names: DataFrame, one_name: bool = False) -> D
 
 
 def resolve(assorted: DataFrame, by: str) -> DataFrame:
-    """One ``article, product`` row per article (first name) or per product name (smallest article)."""
+    """One ``article, product`` row per article (first name) or per product name (smallest article), and per country if
+    the assortment has it.
+    """
     if by not in ("article", "product"):
         raise ValueError(f"by must be 'article' or 'product', not {by!r}")
     other = "product" if by == "article" else "article"
-    return assorted.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(other).alias(other))
+    return assorted.filter(F.col(by).isNotNull()).groupBy(*market_keys(assorted, by)).agg(F.min(other).alias(other))
 
 
 def shops(offers: DataFrame) -> DataFrame:
@@ -92,10 +98,11 @@ def countries(offers: DataFrame) -> DataFrame:
 def default_shops(offers: DataFrame, preferred: Sequence[str], n: int = 2) -> DataFrame:
     """Per article the first ``n`` of the ``preferred`` shops it is offered by, else the first shop in the alphabet.
 
-    One value per preferred shop is aggregated, so an article sends at most one row per map task to the shuffle however
-    many shops offer it.
+    Equal offers are merged by hash before the text minimum, which has to sort; then one value per preferred shop is
+    aggregated.
     """
     keys = market_keys(offers, "article")
+    offers = offers.select(*keys, "shop").distinct()
     flags = [F.max(F.when(F.col("shop") == shop, F.lit(shop))).alias(f"p{i}") for i, shop in enumerate(preferred)]
     per_article = offers.groupBy(*keys).agg(F.min("shop").alias("fallback"), *flags)
     present = F.slice(F.array_compact(F.array(*[F.col(f"p{i}") for i in range(len(preferred))])), 1, n)

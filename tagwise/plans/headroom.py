@@ -1,9 +1,9 @@
 """Where a shop is cheapest and its rivals are clearly dearer."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tagwise.operators.enrich import with_product
-from tagwise.operators.ranking import price_rank
+from tagwise.operators.ranking import prefixed, price_rank
 from tagwise.operators.slicing import Day, market_keys, on_date
 
 
@@ -41,20 +41,24 @@ def min_price_gaps(
     """
     if min_diff <= 0:
         raise ValueError("min_diff must be positive")
+    cell = market_keys(offers, "article", "date")
     near = near_cheapest(on_date(offers, date), depth, measure)
-    # A cell holds one row per shop. In a cell with a gap at most depth offers hold rank 1, as the next rank is within
-    # depth + 1; so base_shops is that short, and so are the rows per rival.
-    whole = Window.partitionBy(*market_keys(offers, "article", "date"))
-    is_base = F.col("rank") == 1
+    wide = (
+        near.groupBy(*cell)
+        .agg(F.min(measure).alias("base_price"), (F.max(measure) - F.min(measure)).alias("largest"))
+        .filter(F.col("largest") >= min_diff)
+    )
+    # In a cell with a gap at most depth offers hold rank 1, as the next rank is within depth + 1.
+    bases = near.filter(F.col("rank") == 1).select(*cell, F.col("shop").alias("base_shop"))
     if base_shop is not None:
-        is_base = is_base & (F.col("shop") == base_shop)
+        bases = bases.filter(F.col("base_shop") == base_shop)
+    in_wide, same_wide = prefixed(wide, "wide_", cell)
+    led, same = prefixed(
+        bases.join(in_wide, same_wide).select(*cell, "base_shop", "base_price", "largest"), "base_", cell
+    )
     rivals = (
-        near.withColumn("base_price", F.min(measure).over(whole))
-        .withColumn("largest", F.max(measure).over(whole) - F.col("base_price"))
-        .filter(F.col("largest") >= min_diff)
-        .withColumn("base_shops", F.collect_set(F.when(is_base, F.col("shop"))).over(whole))
-        .withColumn("base_shop", F.explode("base_shops"))
-        .filter(F.col("shop") != F.col("base_shop"))
+        near.join(led, [*same, F.col("shop") != F.col("base_shop")])
+        .select(*near.columns, "base_shop", "base_price", "largest")
         .withColumn("diff", F.col(measure) - F.col("base_price"))
     )
     if only_qualifying:

@@ -1,5 +1,7 @@
 """Euro prices, margins and stock of one retailer or marketplace over its countries."""
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagwise import model
@@ -76,17 +78,19 @@ def marketplace_comparison(
     )
 
 
-def latest_margins(
-    comparison: DataFrame, date: Day = None, low: float = 45.0, high: float = 70.0
-) -> DataFrame:
-    """The report day of a comparison with the margin in percent and its band; for the catalogue, which has one row per
-    article and country, also the chart position of the country and the discount label.
+def latest_margins(comparison: DataFrame, day: datetime.date | str | Column, channel: str) -> DataFrame:
+    """One day of a comparison with the margin in percent, its band by the channel's limits and the price as text; for
+    the catalogue, which has one row per article and country, also the chart position of the country and the discount
+    label.
+
+    For the last day, take ``slicing.latest_date`` of the raw offers: that of the comparison would compute it twice.
     """
-    day = on_date(comparison, date)
+    day = on_date(comparison, day)
     columns = {
         "margin_pct": F.col("margin") * 100,
         "margin_label": display.fmt_percent("margin", comma=False),
-        "band": measures.margin_band(low, high),
+        "band": measures.margin_band(*model.MARGIN_BANDS[channel]),
+        "price_label": display.fmt_decimal("price_eur"),
     }
     if "price_disc" in comparison.columns:
         columns["country_id"] = country_index(day)
@@ -172,20 +176,15 @@ def low_margin_market(
     )
 
 
-def report_titles(report: DataFrame, day: Column, max_margin: float) -> DataFrame:
-    """``country, n_products, title`` of a low-margin report of ``day``."""
-    return (
-        report.groupBy("country")
-        .agg(F.count("*").alias("n_products"))
-        .withColumn("day", display.fmt_date(day))
-        .select(
-            "country",
-            "n_products",
-            F.format_string(
-                f"Products with margin less than {max_margin:.1f}%% in %s on %s (quantity of products: %d)",
-                "country",
-                "day",
-                "n_products",
-            ).alias("title"),
-        )
+def low_margin_counts(report: DataFrame, offers: DataFrame, max_margin: float, date: Day = None) -> DataFrame:
+    """``country, date, max_margin, n_products`` of a low-margin report: its products per country that has ``offers`` on
+    the day, also where there are none.
+    """
+    day = on_date(offers, date).groupBy("country").agg(F.first("date").alias("date"))
+    found = report.groupBy("country").agg(F.count("*").alias("n_products"))
+    return day.join(found, "country", "left").select(
+        "country",
+        "date",
+        F.lit(float(max_margin)).alias("max_margin"),
+        F.coalesce("n_products", F.lit(0)).alias("n_products"),
     )

@@ -16,8 +16,8 @@ def rank_lists(
     measure: str = "price",
     ranks: int = 2,
 ) -> DataFrame:
-    """The products of the shops at rank 1 up to ``ranks``, as display text with their rank; for given shops in list
-    order, over all shops without an order.
+    """The products of the shops at rank 1 up to ``ranks``, as display text with their rank; for a single shop in list
+    order, over several without an order.
 
     Ranks are taken among all shops of the market; only offers up to the last wanted rank meet the list prices.
     """
@@ -26,8 +26,8 @@ def rank_lists(
     if shops is not None:
         ranked = ranked.filter(F.col("shop").isin(*shops))
     listed = measures.with_discounts(with_list_price(ranked, list_prices))
-    if shops is not None:
-        listed = listed.orderBy(*market_keys(offers), "shop", "rank", *ranking.list_order(measure))
+    if shops is not None and len(shops) == 1:
+        listed = listed.orderBy(*market_keys(offers), "rank", *ranking.list_order(measure))
     return listed.select(
         *market_keys(offers, "shop"),
         "rank",

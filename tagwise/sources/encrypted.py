@@ -1,49 +1,29 @@
-"""Ingest of Parquet files that were AES-CBC encrypted as a whole (16-byte IV, then the padded ciphertext)."""
+"""Rows that travel encrypted: each as one AES-CBC ciphertext (16-byte IV first), sealed and opened by Spark itself."""
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-
-def _conform(batch: pa.RecordBatch, schema: pa.Schema) -> list[pa.RecordBatch]:
-    columns = []
-    for field in schema:
-        column = batch.column(field.name)
-        if pa.types.is_date(field.type) and pa.types.is_timestamp(column.type):
-            column = pc.floor_temporal(column, unit="day")
-        columns.append(column.cast(field.type))
-    return pa.Table.from_arrays(columns, schema=schema).to_batches()
 
 
-def _parquet_rows(schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    arrow_schema = to_arrow_schema(schema)
+def _key(key: bytes | Column) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                file = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
-                for part in file.iter_batches(columns=arrow_schema.names):
-                    yield from _conform(part, arrow_schema)
 
-    return rows
+def sealed(df: DataFrame, key: bytes | Column) -> DataFrame:
+    """``content``: every row as encrypted JSON."""
+    row = F.to_json(F.struct(*df.columns))
+    return df.select(F.aes_encrypt(row, _key(key), F.lit("CBC"), F.lit("PKCS")).alias("content"))
 
 
-def decrypt_files(files: DataFrame, key: bytes | Column, schema: T.StructType) -> DataFrame:
-    """Rows of the encrypted Parquet files in the binary column ``content``.
+def unsealed(df: DataFrame, key: bytes | Column, schema: T.StructType) -> DataFrame:
+    """The rows of ``content``; a wrong key fails.
 
-    Decryption is Spark's own; only the Parquet parsing runs in Python, one record batch at a time. A literal ``key``
-    shows in query plans: pass a column, or set ``spark.sql.redaction.string.regex``, where plans are logged.
+    A literal ``key`` shows in query plans: pass a column, or set ``spark.sql.redaction.string.regex``, where plans are
+    logged.
     """
-    key_column = key if isinstance(key, Column) else F.lit(key)
-    plain = files.select(F.aes_decrypt("content", key_column, F.lit("CBC"), F.lit("PKCS")).alias("content"))
-    return plain.mapInArrow(_parquet_rows(schema), schema)
+    plain = F.aes_decrypt("content", _key(key), F.lit("CBC"), F.lit("PKCS")).cast("string")
+    return df.select(F.from_json(plain, schema).alias("row")).select("row.*")
 
 
-def ingest_encrypted(
+def ingest(
     spark: SparkSession,
     path: str,
     key: bytes | Column,
@@ -51,14 +31,14 @@ def ingest_encrypted(
     out: str,
     partition_by: tuple[str, ...] = ("country", "date"),
 ) -> None:
-    """Decrypt every file under ``path`` into plain Parquet at ``out``, partitioned by those of ``partition_by`` it has.
+    """Open the sealed Parquet table at ``path`` into plain Parquet at ``out``, partitioned by those of ``partition_by``
+    that it has. Only partitions with new rows are replaced, so a new day leaves the history as it is.
 
-    An encrypted file cannot be split, so a file is one task (and at most 2 GB). Rows are rebalanced on the partition
-    columns before the write: few files per partition, while a hot partition is still split over several tasks.
+    Rows are rebalanced on the partition columns before the write: few files per partition, while a hot partition is
+    still split over several tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = decrypt_files(files, key, schema)
+    rows = unsealed(spark.read.parquet(path), key, schema)
     partitions = [c for c in partition_by if c in schema.names]
     if partitions:
         rows = rows.hint("rebalance", *partitions)
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(out)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(out)

@@ -16,6 +16,15 @@ def test_numbers(spark):
     assert one(df, display.fmt_decimal("price")) == ["12.5", "1234.5"]
 
 
+def test_text_has_no_exponent(spark):
+    values = [12345678.5, 1e7, 0.0005, 0.0001, 1234.5, 9.5, -3.0, 0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    prices = ["12345678,5", "10000000,0", "0,0005", "0,0001", "1234,5", "9,5", "-3,0", "0,0", None]
+    assert one(df, display.fmt_price("v")) == prices
+    decimals = ["12345678.50", "10000000.00", "0.00", "0.00", "1234.50", "9.50", "-3.00", "0.00", None]
+    assert one(df, display.fmt_decimal("v", 2)) == decimals
+
+
 def test_halves_in_text_go_to_even(spark):
     df = spark.createDataFrame([(0.0025,), (0.0075,), (-0.0025,)], "share double")
     assert one(df, display.fmt_percent("share", comma=False)) == ["0.2%", "0.8%", "-0.2%"]

@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from tagwise.functions import measures
 from tagwise.operators.dedupe import first_per_key
 from tagwise.plans import margins
@@ -87,7 +85,7 @@ def test_country_comparison(spark, dims):
 
 
 def test_latest_margins(spark, dims):
-    found = margins.latest_margins(comparison(spark, dims))
+    found = margins.latest_margins(comparison(spark, dims), D0, "catalog")
     assert tuples(found, "article", "country", "margin_label", "band", "country_id", "discount_label") == [
         (1, "cz", "51.6%", "mid", 0, "0% || 100.0 €"),
         (1, "de", "60.0%", "mid", 1, "10% || 107.1 €"),
@@ -139,10 +137,8 @@ def test_low_margin_catalog(spark, dims):
         ("de", "5", 119.0, "10.0%"),
         ("de", "1", 119.0, "20.0%"),
     ]
-    titles = margins.report_titles(found, F.lit(D0), 40.0)
-    assert tuples(titles, "country", "n_products", "title") == [
-        ("de", 2, "Products with margin less than 40.0% in de on 15.01.2024 (quantity of products: 2)")
-    ]
+    counts = margins.low_margin_counts(found, df, 40.0)
+    assert tuples(counts, "country", "date", "max_margin", "n_products") == [("de", D0, 40.0, 2), ("uk", D0, 40.0, 0)]
     everywhere = margins.low_margin_catalog(df, cost, *dims)
     assert tuples(everywhere, *found.columns) == tuples(found, *found.columns)
     assert margins.low_margin_catalog(df, cost, *dims, country="fr").count() == 0

@@ -28,11 +28,11 @@ def final_plan(df) -> str:
     return execution.executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", registry.queries())
-def test_no_cross_join_and_no_python_outside_the_ingest(name, spark, sf_dir):
+@pytest.mark.parametrize("name", registry._QUERIES)
+def test_no_cross_join_and_no_python(name, spark, sf_dir):
     plan = physical(registry.queries()[name](spark, sf_dir))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
-    assert bool(re.search(PYTHON_NODES, plan)) == (name == "encrypted_ingest")
+    assert not re.search(PYTHON_NODES, plan)
     # A window without keys would gather all rows in one task.
     assert "windowspecdefinition(specifiedwindowframe" not in plan
 
@@ -94,7 +94,7 @@ def crowded(spark, n=60_000):
 
 def test_crowded_price_is_split_in_the_rank_join(spark, skew_conf):
     df = crowded(spark)
-    ranked = ranking.price_rank(df, crowded=1000)
+    ranked = ranking.price_rank(df)
     assert "skew=true" in final_plan(ranked)
     by_price = Window.partitionBy("date", "article").orderBy("price")
     wrong = ranked.join(
@@ -105,9 +105,16 @@ def test_crowded_price_is_split_in_the_rank_join(spark, skew_conf):
     assert wrong.count() == 0
 
 
-def test_rank_takes_one_window_where_no_cell_is_crowded(spark):
-    plan = final_plan(ranking.price_rank(crowded(spark)))
-    assert plan.count("Window [") == 1 and "SortMergeJoin" not in plan and "Union" not in plan
+def test_rank_has_one_plan_without_hints(spark, sf_dir):
+    plan = physical(registry.queries()["price_rank"](spark, sf_dir))
+    assert "Union" not in plan
+    assert plan.split("== Initial Plan ==")[0].count("Window [") <= 1
+
+
+def test_latest_margins_take_the_day_from_the_raw_table(spark, sf_dir):
+    for name, windows in (("latest_margins", 3), ("latest_margins_market", 1)):
+        plan = physical(registry.queries()[name](spark, sf_dir)).split("Subquery subquery")[0]
+        assert len(re.findall(r"(?<!Running)Window \[", plan)) <= windows
 
 
 def test_crowded_article_is_split_in_the_list_price_join(spark, skew_conf):
@@ -142,6 +149,19 @@ def test_gaps_of_a_crowded_article(spark):
     assert tuples(found.select("base_shop", "diff").distinct(), "base_shop", "diff") == [("lead", 40.0)]
 
 
+def test_gaps_of_a_crowded_article_are_joined_in_parts(spark, skew_conf):
+    tied = spark.range(0, 60_000, 1, 16).selectExpr(
+        f"date'{D0}' as date", "cast(if(id < 30000, 1, id) as int) as article", "concat('s', id) as shop",
+        "90D as price", "90D as price_delivery", "2024 as year",
+    )
+    lead = spark.range(1).selectExpr(
+        f"date'{D0}' as date", "1 as article", "'lead' as shop", "50D as price", "50D as price_delivery", "2024 as year"
+    )
+    found = headroom.min_price_gaps(tied.unionByName(lead), list_prices(spark, [(1, 2024, "p", 1.0)]))
+    assert "skew=true" in final_plan(found)
+    assert found.count() == 30_000
+
+
 def test_shop_report_frames(spark, sf_dir):
     bed = Testbed(spark, sf_dir)
     german = slicing.market_slice(bed.all_offers, "de")

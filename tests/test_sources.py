@@ -1,8 +1,5 @@
 import datetime
-import io
 
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,42 +11,17 @@ from tests.frames import D0, back, offers, tuples
 KEY = b"0123456789abcdef0123456789abcdef"
 
 
-def encrypt(spark, plain: bytes) -> bytes:
-    df = spark.createDataFrame([(bytearray(plain),)], "content binary")
-    return bytes(df.select(F.aes_encrypt("content", F.lit(KEY), F.lit("CBC"), F.lit("PKCS"))).first()[0])
-
-
-def parquet(table: pa.Table, multiple_of_16: bool = False) -> bytes:
-    for padding in range(64):
-        sink = io.BytesIO()
-        pq.write_table(table.replace_schema_metadata({"note": "x" * padding}), sink)
-        if not multiple_of_16 or sink.tell() % 16 == 0:
-            return sink.getvalue()
-    raise AssertionError("no padding gives a multiple of 16")
-
-
-def arrow_offers(day: datetime.date, country: str, n: int) -> pa.Table:
-    """As a scraper may store them: timestamps, 64-bit articles, columns in another order, an extra column."""
-    return pa.table(
-        {
-            "extra": pa.array([1] * n),
-            "article": pa.array(range(n), pa.int64()),
-            "date": pa.array([datetime.datetime(day.year, day.month, day.day, 13, 30)] * n, pa.timestamp("us")),
-            "shop": pa.array([f"s{i % 3}" for i in range(n)]),
-            "country": pa.array([country] * n),
-            "price": pa.array([float(i) for i in range(n)]),
-            "price_delivery": pa.array([None] * n, pa.float64()),
-        }
-    )
+def some_offers(spark, day: datetime.date, country: str, n: int):
+    return offers(spark, [(day, i, f"s{i % 3}", float(i), None) for i in range(n)], country).drop("year")
 
 
 @pytest.fixture(scope="module")
 def ingested(spark, tmp_path_factory):
-    source, out = tmp_path_factory.mktemp("encrypted"), str(tmp_path_factory.mktemp("plain") / "offers")
-    for i, (day, country, n) in enumerate([(D0, "de", 40), (back(1), "de", 30), (D0, "fr", 20)]):
-        plain = parquet(arrow_offers(day, country, n), multiple_of_16=i == 0)
-        (source / f"part{i}.parquet").write_bytes(encrypt(spark, plain))
-    encrypted.ingest_encrypted(spark, str(source), KEY, model.OFFERS, out)
+    source, out = str(tmp_path_factory.mktemp("sealed") / "offers"), str(tmp_path_factory.mktemp("plain") / "offers")
+    for day, country, n in [(D0, "de", 40), (back(1), "de", 30), (D0, "fr", 20)]:
+        rows = some_offers(spark, day, country, n)
+        encrypted.sealed(rows, KEY).write.mode("append").parquet(source)
+    encrypted.ingest(spark, source, KEY, model.OFFERS, out)
     return out
 
 
@@ -74,17 +46,25 @@ def test_layout_is_iv_then_cbc_blocks_with_pkcs_padding(spark):
     assert bytes(plain).hex() == "6bc1bee22e409f96e93d7e117393172a"
 
 
-def test_wrong_key_fails(spark, tmp_path):
-    (tmp_path / "f").write_bytes(encrypt(spark, parquet(arrow_offers(D0, "de", 2))))
-    files = spark.read.format("binaryFile").load(str(tmp_path))
+def test_wrong_key_fails(spark):
+    sealed = encrypted.sealed(some_offers(spark, D0, "de", 2), KEY)
     with pytest.raises(Exception):
-        encrypted.decrypt_files(files, KEY[::-1], model.OFFERS).collect()
+        encrypted.unsealed(sealed, KEY[::-1], model.OFFERS).collect()
+
+
+def test_key_can_be_a_column(spark):
+    sealed = encrypted.sealed(some_offers(spark, D0, "de", 2), KEY).withColumn("key", F.lit(KEY))
+    assert encrypted.unsealed(sealed, F.col("key"), model.OFFERS).count() == 2
 
 
-def test_key_can_be_a_column(spark, tmp_path):
-    (tmp_path / "f").write_bytes(encrypt(spark, parquet(arrow_offers(D0, "de", 2))))
-    files = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("key", F.lit(KEY))
-    assert encrypted.decrypt_files(files, F.col("key"), model.OFFERS).count() == 2
+def test_a_new_day_leaves_the_history(spark, tmp_path):
+    out = str(tmp_path / "plain")
+    for i, (day, n) in enumerate([(back(1), 3), (D0, 5), (D0, 4)]):
+        source = str(tmp_path / f"sealed{i}")
+        encrypted.sealed(some_offers(spark, day, "de", n), KEY).write.parquet(source)
+        encrypted.ingest(spark, source, KEY, model.OFFERS, out)
+    counts = tables.read_offers(spark, out).groupBy("date").count()
+    assert tuples(counts, "date", "count") == [(back(1), 3), (D0, 4)]
 
 
 def test_market_and_date_prune_partitions(spark, ingested):
