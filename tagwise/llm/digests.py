@@ -75,7 +75,8 @@ def likeness(x: bytes, y: bytes) -> float:
     return 1 - difference(x, y) / WORST
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_HEX = ("edited_sha256", "fingerprint", "edited_fingerprint")  # bytes until the end, to be written small
+_RESULT = f"n_chars long, {', '.join(f'{c} binary' for c in _HEX)}, near_edited double, near_next double"
 
 
 def _compared(text: str, following: str, own: bytes, next_: bytes) -> dict:
@@ -84,9 +85,9 @@ def _compared(text: str, following: str, own: bytes, next_: bytes) -> dict:
     other = digest(edited)
     return {
         "n_chars": len(text),
-        "edited_sha256": hashlib.sha256(edited).hexdigest(),
-        "fingerprint": own.hex(),
-        "edited_fingerprint": other.hex(),
+        "edited_sha256": hashlib.sha256(edited).digest(),
+        "fingerprint": own,
+        "edited_fingerprint": other,
         "near_edited": likeness(own, other),
         "near_next": likeness(own, next_),
     }
@@ -130,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its digest, that of its edited copy, and their likeness and that to the next document's."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
-    numbers = [("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint"))]
+    numbers = [("n_chars", pa.int64()), *((c, pa.binary()) for c in _HEX)]
     numbers += [("near_edited", pa.float64()), ("near_next", pa.float64())]
     ends = [("end", pa.string()), ("part", pa.int32()), ("text", pa.string())]
     own = docs.select("doc_id", "text")
@@ -151,4 +152,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     across = lasts.join(follow, "of").join(firsts, "part").select("doc_id", "text", "next")
     bounds = across.mapInArrow(_pairs(pa.schema([("doc_id", id_type), *numbers])), f"doc_id {kind}, {_RESULT}")
     inside = seen.where("end is null").drop("end", "part", "text")
-    return inside.unionByName(bounds)
+    return inside.unionByName(bounds).withColumns({c: F.lower(F.hex(c)) for c in _HEX})
