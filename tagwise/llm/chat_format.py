@@ -8,7 +8,7 @@ topological order, each with its canonical JSON: keys sorted, no blanks. A conve
 into one row, and its rows are numbered from the counts of blocks of turns.
 
 Null texts are left out of the JSON. Repeated identifiers: the earliest call and the earliest result count, the number of
-calls is told. Rows of a null conversation or identifier are never linked. Equal turns stand in the order of their kind,
+calls is told. Rows of a null conversation or identifier stay, but are never linked. Equal turns stand in the order of their kind,
 depth, identifier and text. Empty tables give an empty result. Other columns are not read.
 """
 
@@ -68,12 +68,21 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
         calls.where(ids[0] & ids[1]).groupBy(*key)
         .agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
     )
+    loose_calls = calls.where(~(ids[0] & ids[1])).select(
+        *key, "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), "turn",
+        F.lit(None).cast("string").alias("content"), F.lit("no result").alias("status"),
+    )
+    none = [F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in ("name", "arguments", "after")]
+    loose_results = results.where(~(ids[0] & ids[1])).select(
+        *key, *none, F.lit(0).cast("long").alias("n_calls"), "turn", "content", F.lit("no call").alias("status")
+    )
     one_result = results.where(ids[0] & ids[1]).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
     status = F.when(F.col("c").isNull(), "no call").when(F.col("r").isNull(), "no result").otherwise("linked")
-    return one_call.join(one_result, key, "full").select(
+    met = one_call.join(one_result, key, "full").select(
         *key, "c.name", "c.arguments", "c.after", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("c.turn", "r.turn").alias("turn"), "r.content", status.alias("status"),
     )
+    return met.unionByName(loose_calls).unionByName(loose_results)
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas
     ``results(conv_id, turn, call_id, content)``.
     """
     links = stored(linked(calls, results))
-    made = links.where("status <> 'no call'")
+    made = links.where("status <> 'no call' and conv_id is not null and call_id is not null")
     parsed = links.join(depths(made), ["conv_id", "call_id"], "left").withColumn("parsed", F.try_parse_json("arguments"))
     is_call = F.col("status") != "no call"
     arguments = F.coalesce(F.to_json(F.struct(F.col("parsed").alias("arguments"))), F.lit("{}"))

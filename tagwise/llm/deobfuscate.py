@@ -85,10 +85,10 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: CharModel) -> list[str]:
     """The words of the cheapest path."""
-    beam = {" " * (ORDER - 1): (0.0, "")}
+    beam: dict[str, tuple[float, tuple]] = {" " * (ORDER - 1): (0.0, ())}
     for options in [*_lattice(token), [(" ", 0.0)]]:
-        reached: dict[str, tuple[float, str]] = {}
-        for context, (value, text) in beam.items():
+        reached: dict[str, tuple[float, tuple]] = {}
+        for context, (value, path) in beam.items():
             for out, price in options:
                 state, total = context, value - price
                 for char in out:
@@ -97,9 +97,13 @@ def decode(token: str, model: CharModel) -> list[str]:
                     total += model.log(state, char)
                     state = " " * (ORDER - 1) if char == " " else state[1:] + char
                 if state not in reached or total > reached[state][0]:
-                    reached[state] = total, text + out
+                    reached[state] = total, (path, out)
         beam = dict(sorted(reached.items(), key=lambda x: -x[1][0])[:BEAM])
-    return max(beam.values())[1].split()
+    path, parts = max(beam.values(), key=lambda x: x[0])[1], []
+    while path:
+        path, out = path
+        parts.append(out)
+    return "".join(reversed(parts)).split()
 
 
 def _plain(token: str) -> bool:

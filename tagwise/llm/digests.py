@@ -135,8 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     numbers += [("near_edited", pa.float64()), ("near_next", pa.float64())]
     ends = [("end", pa.string()), ("part", pa.int32()), ("text", pa.string())]
     own = docs.select("doc_id", "text")
-    parts = max(own.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = own.repartitionByRange(parts, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    ordered = own.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
     seen = stored(
         ordered.mapInArrow(
             _stream(pa.schema([("doc_id", id_type), *ends, *numbers])),

@@ -11,8 +11,8 @@ key ranges locate the range of the cut, and only that range's documents are summ
 
 Tokens are words between ASCII blanks; null text has none. Null languages and sources count as the empty name. Documents
 of one leaf with equal ids, and so with equal keys, are in or out together. Documents without tokens come with their
-leaf's whole epochs, and a leaf without tokens gives none. An empty table gives an empty result. ``mixed`` keeps the input's columns,
-whatever their names.
+leaf's whole epochs, and a leaf without tokens gives none. Weights must be positive. An empty table gives an empty result. ``mixed`` keeps the
+input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def _shared(nodes: DataFrame, parents: list[str], weight: Column) -> DataFrame:
     full = ranked.withColumn("full", at_own <= F.col("given"))
     left = F.col("given") - F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0)).over(all_)
     open_ = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(all_)
-    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(left / open_ * F.col("weight")))
+    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.try_divide(left, open_) * F.col("weight")))
     return full.withColumn("budget", budget.cast("long")).drop("weight", "ratio", "full")
 
 

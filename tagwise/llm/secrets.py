@@ -118,7 +118,7 @@ def _verified(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> Da
             spans = F.when(hit, spans)
         each.append(spans)
     found = F.sort_array(F.flatten(F.array_compact(F.array(*each))))
-    return asked.select(*(docs[c] for c in docs.columns), found.alias(name))
+    return asked.select(*(docs[f"`{c}`"] for c in docs.columns), found.alias(name))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

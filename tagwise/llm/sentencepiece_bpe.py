@@ -36,6 +36,7 @@ VARIANTS = 4
 #: Runs that a worker remembers, in two generations of which the older is forgotten when the younger is full.
 KEPT = 1 << 20
 BLANK = "▁"
+LITERAL = "\0▁\0"
 #: Characters of a run from which its agenda is a heap; the pieces are the same.
 LONG = 64
 NONE = -math.inf
@@ -137,15 +138,16 @@ class Pieces:
         return [s for s in symbols if s]
 
     def _run(self, run: str, variant: int) -> list[int]:
-        # a blank is its piece's character; that character itself has no piece of its own
-        symbols = list(run.replace(BLANK, "\0").replace(" ", BLANK))
+        symbols = list(run.replace(" ", BLANK))
+        if BLANK in run:  # the character that stands for blanks has no piece of its own
+            symbols = [LITERAL if c == BLANK else BLANK if c == " " else c for c in run]
         key = hashlib.blake2b(run.encode(), digest_size=64, key=f"{self.seed}:{variant}".encode()).digest()
         found: list[int] = []
         for piece in self._segment(symbols, key):
             if (i := self.ids.get(piece)) is not None:
                 found.append(i)
             else:
-                raw = (BLANK if piece == "\0" and BLANK in run else piece.replace(BLANK, " ")).encode()
+                raw = (BLANK if piece == LITERAL else piece.replace(BLANK, " ")).encode()
                 found.extend(self.byte_ids[b] for b in raw)
         return found
 
