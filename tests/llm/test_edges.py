@@ -1,0 +1,126 @@
+"""Every operator on rows with nulls, empty and very long texts, ties, copies, clashing columns, and on no rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagwise.llm import (
+    chat_format, digests, mixing, quality_classifier, quality_rules, secrets, sentencepiece_bpe, sharding, simhash, toxicity,
+)
+from tests.llm.frames import CLASHES, ROWS, documents, ids, labels
+
+PER_DOCUMENT = {
+    "simhash": lambda d, s: simhash.near_duplicates(d),
+    "quality_rules": lambda d, s: quality_rules.quality_rules(d),
+    "sentencepiece": lambda d, s: sentencepiece_bpe.round_trips(d),
+    "sharding": lambda d, s: sharding.shard_by_bytes(d),
+    "quality_classifier": lambda d, s: quality_classifier.quality_scores(d, labels(s)),
+    "toxicity": lambda d, s: toxicity.toxicity_scores(d, labels(s)),
+    "digests": lambda d, s: digests.fingerprints(d),
+    "secrets": lambda d, s: secrets.secret_spans(d),
+}
+KEEP_COLUMNS = {
+    "accepted": lambda d, s: quality_classifier.accepted(d, labels(s)),
+    "one_of_each": lambda d, s: simhash.one_of_each(d),
+    "redacted": lambda d, s: secrets.redacted(d),
+    "mixed": lambda d, s: mixing.mixed(d),
+}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark)
+
+
+@pytest.mark.parametrize("name", PER_DOCUMENT)
+def test_a_row_per_document(name, spark, docs):
+    found = PER_DOCUMENT[name](docs, spark)
+    assert ids(found) == ids(docs)
+    assert PER_DOCUMENT[name](docs.limit(0), spark).count() == 0
+
+
+@pytest.mark.parametrize("name", KEEP_COLUMNS)
+def test_columns_stay_as_they_are(name, spark, docs):
+    found = KEEP_COLUMNS[name](docs, spark)
+    assert found.columns == docs.columns and [f.dataType for f in found.schema] == [f.dataType for f in docs.schema]
+    rows = found.collect()
+    assert all(row[c] == f"kept {c}" for row in rows for c in CLASHES)
+    assert KEEP_COLUMNS[name](docs.limit(0), spark).count() == 0
+
+
+def test_tables_without_a_kind_of_label(spark, docs):
+    for rows in ([], [(1, 1, 1)], [(1, None, None)]):
+        schema = "doc_id long, quality int, toxic int"
+        few = spark.createDataFrame(rows, schema)
+        for scores in (quality_classifier.quality_scores(docs, few), toxicity.toxicity_scores(docs, few)):
+            assert scores.filter("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_encoded_columns(spark, docs):
+    found = sentencepiece_bpe.encoded(docs)
+    assert found.columns == [*docs.columns, "pieces_"]
+    back = sentencepiece_bpe.decoded(found, name="pieces_")
+    assert sorted(r.text for r in back.select("text").collect()) == sorted(r[1] or "" for r in ROWS)
+
+
+def test_simhash_of_the_rows(spark, docs):
+    found = simhash.near_duplicates(docs).filter("doc_id in (1, 2, 3, 4, 5)").collect()
+    assert {(r.doc_id, r.component_id) for r in found} >= {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
+    assert {r.fingerprint for r in found if r.doc_id in (3, 4, 5)} == {"0" * 16}
+    kept = simhash.one_of_each(docs)
+    assert kept.filter("doc_id in (1, 2)").count() == 1
+    # the row of a null id and no text belongs to the empty ones
+    assert kept.filter("doc_id is null").count() == 1
+
+
+def test_secrets_of_the_rows(spark, docs):
+    row = secrets.secret_spans(docs).filter("doc_id = 9").first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (1, 1, 1)
+    assert row.spans.startswith("assign:0:21,access:")
+    clean = secrets.redacted(docs).filter("doc_id = 9").first()
+    assert clean.text.count("[SECRET]") == 3 and "AKIA" not in clean.text and clean.n_chars == len(clean.text)
+    assert secrets.redacted(docs).filter("doc_id = 4 and text is null and n_chars = 0").count() == 1
+
+
+def test_chat_with_nulls_repeats_and_cycles(spark):
+    messages = spark.createDataFrame(
+        [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (None, 0, "user", "lost"), (1, 2500, "user", "late")],
+        "conv_id long, turn long, role string, text string",
+    )
+    calls = spark.createDataFrame(
+        [
+            (1, 1, "c1", "lookup", '{"limit": 1, "query": "q"}', []),
+            (1, 3, "c1", "lookup", '{"limit": 2, "query": "q"}', []),
+            (1, 1, "c2", "lookup", '{"query": 5, "x": {"b": 1, "a": [2]}}', ["c1", "gone"]),
+            (1, 2, "c3", "fly", "[1]", ["c4"]),
+            (1, 2, "c4", "lookup", None, ["c3"]),
+            (1, 1, "c0", "lookup", '{"exact": null, "limit": 1, "query": ""}', ["late"]),
+            (1, 9, "late", "measure", '{"chars": 1.5, "unit": "m"}', None),
+            (1, 4, None, "lookup", "{}", None),
+            (None, 4, "c1", "lookup", "{}", []),
+        ],
+        "conv_id long, turn long, call_id string, name string, arguments string, after array<string>",
+    )
+    results = spark.createDataFrame(
+        [(1, 5, "c1", "first"), (1, 6, "c1", "second"), (1, 7, "nobody", "stray"), (1, 8, None, None)],
+        "conv_id long, turn long, call_id string, content string",
+    )
+    found = chat_format.formatted(messages, calls, results, chat_format.SCHEMAS).collect()
+    assert len(found) == 5 + 8 + 2
+    by_id = {r.call_id: r for r in found if r.conv_id == 1 and r.kind == "call"}
+    assert by_id["c1"].json == '{"arguments":{"limit":1,"query":"q"},"call":"c1","name":"lookup","result":"first"}'
+    assert by_id["c2"].errors == "query is not string; missing limit; unknown x" and by_id["c2"].depth == 1
+    assert '{"query":5,"x":{"a":[2],"b":1}}' in by_id["c2"].json
+    assert (by_id["c3"].depth, by_id["c4"].depth, by_id["c3"].errors) == (None, None, "not an object")
+    assert by_id["c4"].errors == "not JSON" and by_id["late"].errors == "chars is not integer"
+    assert by_id["c0"].position > by_id["late"].position and by_id["c0"].errors == ""
+    assert {r.status for r in found} == {None, "linked", "no result", "no call"}
+    for conv in (1, None):
+        assert sorted(r.position for r in found if r.conv_id == conv) == list(range(sum(r.conv_id == conv for r in found)))
+    assert chat_format.formatted(messages.limit(0), calls.limit(0), results.limit(0), chat_format.SCHEMAS).count() == 0
+
+
+def test_conversations_with_nulls(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", None), (1, 2, "user", "x"), (None, 1, "assistant", "y"), (2, None, None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("k"))
+    assert chat_format.formatted_conversations(df).filter("kind = 'message'").count() == len(rows)
+    assert chat_format.formatted_conversations(df.limit(0)).count() == 0
