@@ -20,7 +20,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Rate -> slack of its fence. Rates are per mille, the word length is in tenths of a character.
-SLACK = {"symbol_rate": 60, "dup_line_rate": 300, "repeat_rate": 100, "word_length": 30}
+SLACK = {"symbol_rate": 60, "dup_line_rate": 500, "repeat_rate": 280, "word_length": 30}
 SPREAD = 3
 MIN_GROUP = 50
 #: Values below this have a bucket of their own, larger ones share half as many buckets per power of two.

@@ -37,7 +37,7 @@ with tokens as (
     from placed group by grouping sets ((rate, lang, source), (rate, lang), (rate))
 ), fence as (
     select *, q1 - 3 * (q3 - q1) - s.slack as lo, q3 + 3 * (q3 - q1) + s.slack as hi
-    from quart join (values ('symbol_rate', 60), ('dup_line_rate', 300), ('repeat_rate', 100), ('word_length', 30))
+    from quart join (values ('symbol_rate', 60), ('dup_line_rate', 500), ('repeat_rate', 280), ('word_length', 30))
         s(name, slack) on s.name = rate
 ), verdict as (
     select p.doc_id, bool_or(p.v > coalesce(a.hi, b.hi, c.hi)
