@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed values of the contracts: white space that separates words.
@@ -45,6 +46,13 @@ def hex_bits(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds few texts and what it makes of them at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """A stored table of short rows with a broadcast hint, if it has no more than so many; else left to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

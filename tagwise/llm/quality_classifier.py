@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tagwise.llm import gam
+from tagwise.llm.common import slices
 from tagwise.llm.learning import free_name, held_out, training_sample
 
 MAX_TRAINING_ROWS = 20_000
@@ -81,7 +82,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     """The model learnt from ``labels.quality`` outside the held-out fold."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = feature_matrix(_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(rows), pa.list_(pa.float64())), batch.column("label").cast(pa.float64())], ["x", "y"]
@@ -99,7 +100,7 @@ def scored(docs: DataFrame, model: gam.Model, name: str = "score") -> DataFrame:
     """``docs`` with the model's probability of good quality."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = model.score(feature_matrix(_texts(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from tagwise.llm.common import slices
 from tagwise.llm.learning import free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,7 +35,7 @@ SEED = 4
 DROPOUT = 0.1
 VARIANTS = 4
 #: Runs that a worker remembers, in two generations of which the older is forgotten when the younger is full.
-KEPT = 1 << 20
+KEPT = 1 << 19
 BLANK = "▁"
 LITERAL = "\0▁\0"
 #: Characters of a run from which its agenda is a heap; the pieces are the same.
@@ -178,7 +179,7 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
     codec, name = pieces or Pieces(), free_name(docs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             found = pa.array([codec.encode(t or "", variant_of(i)) for i, t in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
@@ -192,7 +193,7 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
     codec = pieces or Pieces()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([codec.decode(x or []) for x in batch.column(name).to_pylist()], pa.string())
             columns = [texts if c == "text" else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -209,14 +210,14 @@ def round_trips(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     byte_ids = frozenset(codec.byte_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = codec.encode(text or "", variant_of(doc_id))
                 raw = sum(map(byte_ids.__contains__, ids))
                 digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
                 rows.append((len(ids), raw, digest, codec.decode(ids) == (text or "")))
-            n, raw, digests, same = zip(*rows) if rows else ((),) * 4
+            n, raw, digests, same = zip(*rows)
             columns = [pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "lossless"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tagwise.llm.common import stored
+from tagwise.llm.common import slices, stored
 from tagwise.llm.components import components
 from tagwise.llm.learning import free_name
 
@@ -59,7 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
@@ -244,7 +244,7 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     fp = free_name(docs, "fp")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])

@@ -18,14 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagwise.llm.common import stored
+from tagwise.llm.common import slices, stored
 from tagwise.llm.deobfuscate import CharModel, decode, grams, restored, spaced_runs
 from tagwise.llm.learning import held_out, training_sample
 
 MAX_TRAINING_ROWS = 20_000
 SEED = 8
 THRESHOLD = 0.3
-STEMS = (4, 5)
+STEMS = (4, 5, 7)
+#: How many distinct words of a stem make a feature of their own.
+SEVERAL = (2, 3)
 MIN_DOCS = 5
 MAX_FEATURES = 400
 #: Tokens that a worker keeps the features of.
@@ -37,38 +39,47 @@ def tokens_of(text: str) -> set[str]:
 
 
 def _forms(words: list[str]) -> set[str]:
-    """Words and, marked by an asterisk, the stems of longer ones."""
+    """Words and, marked by an asterisk, the stems of longer ones. Letters only, so marks cannot be mistaken."""
     return {*words, *(w[:n] + "*" for w in words for n in STEMS if len(w) > n)}
 
 
+def _levels(form: str, n: int) -> list[str]:
+    """The features that ``n`` distinct words of a form make: the form, and for stems that there are several."""
+    return [form, *(f"{form}{k}" for k in SEVERAL if n >= k)] if form[-1] == "*" else [form]
+
+
 class Reader:
     """Features of texts, of which only those in ``names`` count if it is given."""
 
     def __init__(self, model: CharModel, names: dict[str, int] | None = None) -> None:
         self.model, self.names, self.seen = model, names, {}
+        self.forms = None if names is None else {n.rstrip("0123456789") if "*" in n else n for n in names}
+
+    def _forms(self, words: list[str]) -> tuple[str, ...]:
+        forms = _forms(words)
+        return tuple(forms if self.forms is None else forms & self.forms)
 
-    def _of_token(self, token: str) -> tuple:
-        forms = _forms(restored(token, self.model))
-        found = tuple(forms if self.names is None else (self.names[f] for f in forms if f in self.names))
+    def _of_token(self, token: str) -> tuple[str, ...]:
+        found = self._forms(restored(token, self.model))
         if len(self.seen) >= KEPT:
             self.seen.clear()
         self.seen[token] = found
         return found
 
     def __call__(self, text: str) -> set:
-        text, found, seen = text.lower(), set(), self.seen
+        text, seen, counts = text.lower(), self.seen, Counter()
         tokens = text.split()
         for token in set(tokens):
             got = seen.get(token)
             if got is None:
                 got = self._of_token(token)
             if got:
-                found.update(got)
+                counts.update(got)
         if sum(map((1).__eq__, map(len, tokens))) > 2:
             for run in spaced_runs(" ".join(tokens)):
-                forms = _forms(decode(run, self.model))
-                found.update(forms if self.names is None else (self.names[f] for f in forms if f in self.names))
-        return found
+                counts.update(self._forms(decode(run, self.model)))
+        found = {x for form, n in counts.items() for x in _levels(form, n)}
+        return found if self.names is None else {self.names[x] for x in found if x in self.names}
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -112,7 +123,7 @@ def _names(sample: DataFrame, model: CharModel, positive: int, negative: int) ->
     return {row["name"]: i for i, row in enumerate(best.select("name").collect())}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2) -> tuple[float, np.ndarray]:
     """Intercept and weights, by Newton steps.
 
     The intercept stays at the label's share: learnt freely it would sink until only several marked words together could
@@ -171,7 +182,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = fitted(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
