@@ -295,3 +295,15 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
             assert docs.join(before.select("doc_id", F.col("text").alias("t")), "doc_id").filter("text <> t").count() == 0
             assert docs.filter("size(pieces) = 0 and text <> ''").count() == 0
     assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4] == counts[5] > 0
+
+
+def test_training_sample_is_bounded_and_leaves_the_held_out_fold(spark):
+    from tagwise.llm.learning import training_sample
+
+    docs = documents(spark, [(i, f"t{i}", "en", "a") for i in range(4000)], clashes=False)
+    known = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    drawn = training_sample(docs, known, "quality", 500, 1).collect()
+    assert len(drawn) == 500 and all(zlib.crc32(r.text[1:].encode()) % 4 != 2 for r in drawn)
+    assert sorted(drawn) == sorted(training_sample(docs, known, "quality", 500, 1).collect())
+    everything = training_sample(docs, known, "quality", 10_000, 1).count()
+    assert everything == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(4000))
