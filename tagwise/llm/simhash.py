@@ -250,8 +250,10 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
 
     rooted = _rooted(stored(signatures(docs)), distance)
-    first = F.min(F.struct(F.col("first").isNull(), F.col("first").alias("id"), F.col("fp").alias("code")))
-    chosen = rooted.groupBy("root").agg(first.alias("kept")).select("kept.id", "kept.code")
+    first = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp").alias("code")))
+    # plain columns as keys, so that the join and the choice among repeated rows share one exchange of the texts
+    key = [fp, free_name(docs, "no_id"), free_name(docs, "known_id")]
+    of = lambda doc_id: [doc_id.isNull().alias(key[1]), F.coalesce(doc_id, F.lit(0)).alias(key[2])]
+    chosen = rooted.groupBy("root").agg(first.alias("kept")).select(F.col("kept.code").alias(fp), *of(F.col("kept.id")))
     signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(fp, LongType())]))
-    same = signed["doc_id"].eqNullSafe(chosen["id"]) & (signed[fp] == chosen["code"])
-    return signed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", fp]).drop(fp)
+    return signed.select("*", *of(F.col("doc_id"))).join(chosen, key, "left_semi").dropDuplicates(key).drop(*key)
