@@ -1,7 +1,7 @@
 """Chat formatting with tool calls: link calls to results, order them, check their arguments, write canonical JSON.
 
-Calls and results are hash-joined by conversation and identifier, after each side is reduced to one row per identifier,
-so that repeated identifiers cannot multiply. Calls may name others that must come before them; their depth in that graph
+Calls and results are joined on hash partitions of conversation and identifier, after each side is reduced to one row
+per identifier, so that repeated identifiers cannot multiply. Calls may name others that must come before them; their depth in that graph
 is found round by round, all conversations at once, and calls on a cycle get none. Arguments are parsed once and checked
 against the schema of the named tool. The result has a row per message and call, numbered within its conversation in
 topological order, each with its canonical JSON: keys sorted, no blanks. A conversation of any length is never gathered
@@ -104,8 +104,9 @@ def depths(calls: DataFrame) -> DataFrame:
         left = stored(waiting.join(met, ["conv_id", "before"], "left_anti"))
         free = waiting.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
         times = found.select("conv_id", F.col("call_id").alias("before"), "at")
-        latest = edges.join(free, key, "left_semi").join(times, ["conv_id", "before"]).groupBy(*key).agg(F.max("at").alias("at"))
-        front = stored(latest.join(nodes, key).select(*key, F.lit(depth).alias("depth"), F.greatest("at", "turn").alias("at")))
+        freed = edges.join(free, key, "left_semi").join(times, ["conv_id", "before"])
+        latest = freed.groupBy(*key).agg(F.max("at").alias("at")).join(nodes, key)
+        front = stored(latest.select(*key, F.lit(depth).alias("depth"), F.greatest("at", "turn").alias("at")))
         found, waiting = found.unionByName(front), left
     return found
 
@@ -114,10 +115,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """``position`` from 0 within each conversation; no window holds more than a block of turns."""
     blocked = rows.withColumn("block", F.floor(F.col("at") / BLOCK))
     before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-        .select(F.col("conv_id").alias("of_conv"), F.col("block").alias("of_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    counts = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("conv_id").alias("of_conv"), F.col("block").alias("of_block"), start)
     inside = Window.partitionBy("conv_id", "block").orderBy("at", "kind", F.asc_nulls_last("depth"), "call_id", "json")
     nth = blocked.withColumn("nth", F.row_number().over(inside))
     same = F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("block").eqNullSafe(F.col("of_block"))
@@ -137,15 +137,17 @@ def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas
     arguments = F.coalesce(F.to_json(F.struct(F.col("parsed").alias("arguments"))), F.lit("{}"))
     rest = F.to_json(F.struct(F.col("call_id").alias("call"), "name", F.col("content").alias("result")))
     inner = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
-    tools = (
-        parsed.withColumns({"head": arguments, "tail": rest, "errors": F.when(is_call, F.array_join(_errors(schemas), "; "))})
-        .withColumn("json", F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inner("head"), F.lit("")), inner("tail")), F.lit("}")))
-        .select("conv_id", "turn", F.coalesce("at", "turn").alias("at"), F.when(is_call, 1).otherwise(2).alias("kind"), "call_id", "depth", "status", "errors", "json")
+    joined = F.concat_ws(",", F.nullif(inner("head"), F.lit("")), inner("tail"))
+    errors = F.when(is_call, F.array_join(_errors(schemas), "; "))
+    tools = parsed.withColumns({"head": arguments, "tail": rest}).select(
+        "conv_id", "turn", F.coalesce("at", "turn").alias("at"), F.when(is_call, 1).otherwise(2).alias("kind"), "call_id",
+        "depth", "status", errors.alias("errors"), F.concat(F.lit("{"), joined, F.lit("}")).alias("json"),
     )
     none = F.lit(None).cast("string")
     said = messages.select(
-        "conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("kind"), none.alias("call_id"), F.lit(None).cast("int").alias("depth"),
-        none.alias("status"), none.alias("errors"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
+        "conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("kind"), none.alias("call_id"),
+        none.cast("int").alias("depth"), none.alias("status"), none.alias("errors"),
+        F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
     names = F.element_at(F.array(F.lit("message"), F.lit("call"), F.lit("result")), F.col("kind") + 1)
     return _numbered(said.unionByName(tools)).select(
@@ -163,15 +165,20 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.coalesce(F.substring("text", 1, 24), F.lit(""))
     tool = F.element_at(F.array(*map(F.lit, [*SCHEMAS, "dance"])), (length % 4 + 1).cast("int"))
     limit = F.when(length % 5 == 0, F.lit('"all"')).otherwise(length.cast("string"))
-    quoted = lambda c: F.expr("substring(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format(c))
+    quoted = F.expr("substring(to_json(array(first)), 2, length(to_json(array(first))) - 2)")
+    query = F.concat(F.lit('{ "query": '), F.col("quoted"))
     arguments = (
-        F.when(length % 7 == 0, F.concat(F.lit('{ "query": '), F.col("quoted")))
-        .when(tool == "lookup", F.concat(F.lit('{ "query": '), F.col("quoted"), F.lit(', "limit" : '), limit, F.lit("}")))
+        F.when(length % 7 == 0, query)  # not closed
+        .when(tool == "lookup", F.concat(query, F.lit(', "limit" : '), limit, F.lit("}")))
         .when(tool == "measure", F.concat(F.lit('{"unit":"m", "chars": '), length.cast("string"), F.lit("}")))
         .otherwise(F.concat(F.lit('{"note":'), F.col("quoted"), F.lit(', "minutes": 5, "loud": true}')))
     )
-    named = lambda turn: F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
-    calls = conversations.where("role = 'assistant'").withColumn("first", first).withColumn("quoted", quoted("first")).select(
+
+    def named(turn: Column) -> Column:
+        return F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+
+    turns = conversations.select("conv_id", "turn", "role", "text").where("role = 'assistant'")
+    calls = turns.withColumn("first", first).withColumn("quoted", quoted).select(
         "conv_id", "turn", named(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"),
         F.array(named(F.floor(F.col("turn") / 2))).alias("after"),
     )

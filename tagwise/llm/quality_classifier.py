@@ -109,9 +109,8 @@ def scored(docs: DataFrame, model: gam.Model, name: str = "score") -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored(docs.select("doc_id", "text"), fitted(docs, labels))
-    return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

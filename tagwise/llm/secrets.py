@@ -141,7 +141,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     name = free_name(docs, "found")
 
     def step(done: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= done["at"], F.concat(F.col("text").substr(done["at"] + 1, x["start"] - done["at"]), F.lit(PLACEHOLDER)))
+        before = F.col("text").substr(done["at"] + 1, x["start"] - done["at"])
+        gap = F.when(x["start"] >= done["at"], F.concat(before, F.lit(PLACEHOLDER)))
         out = F.concat(done["out"], F.coalesce(gap, F.lit("")))
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
 

@@ -218,7 +218,7 @@ def round_trips(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
                 rows.append((len(ids), raw, digest, codec.decode(ids) == (text or "")))
             n, raw, digests, same = zip(*rows)
-            columns = [pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            columns = [pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(digests), pa.array(same)]
             names = ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "lossless"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 

@@ -94,7 +94,8 @@ def _char_model(sample: DataFrame) -> CharModel:
             for word, n in words.items():
                 for gram in grams([word]).items():
                     found[gram[0]] += gram[1] * n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+            sums = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(sums, ["gram", "n"])
 
     rows = sample.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     return CharModel(dict(sorted(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist()))))
@@ -168,7 +169,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
         read = Reader(model, names)
         for batch in batches:
             found = [sorted(read(t)) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("label").cast(pa.int32())], ["on", "label"])
+            columns = [pa.array(found, pa.list_(pa.int32())), batch.column("label").cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["on", "label"])
 
     rows = sample.mapInArrow(present, "on array<int>, label int").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["on"], r["label"]))
@@ -188,6 +190,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     schema = docs.select("doc_id", F.lit(0.0).alias("score")).schema
     rows = docs.select("doc_id", "text").mapInArrow(score, schema)
-    return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
