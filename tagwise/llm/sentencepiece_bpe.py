@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
@@ -38,9 +39,10 @@ VARIANTS = 4
 KEPT = 1 << 19
 BLANK = "▁"
 LITERAL = "\0▁\0"
-#: Characters of a run from which its agenda is a heap; the pieces are the same.
-LONG = 64
-NONE = -math.inf
+#: Runs of at most so many characters are worked off together with others of their length; the pieces are the same.
+LONG = 48
+#: Numbers of characters that have no piece begin here.
+OTHER = 1 << 24
 
 
 #: The codecs of this process: a worker keeps what it remembers from task to task.
@@ -70,6 +72,7 @@ class Pieces:
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
         self.name = f"{xxhash.xxh3_64_hexdigest(repr(sorted(self.scores.items())))}:{self.limit}:{seed}"
         self.runs = self._run_pattern()
+        self._pair_table()
         self.young: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
         self.old: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
 
@@ -92,29 +95,7 @@ class Pieces:
         return piece.lstrip(BLANK)
 
     def _segment(self, symbols: list[str], key: bytes) -> list[str]:
-        """Work the agenda of adjacent symbols off, best score and then leftmost first.
-
-        The agenda of a short run is a list beside its symbols, searched anew for each merge; that of a long one a heap.
-        """
-        if len(symbols) > LONG:
-            return self._segment_long(symbols, key)
-        score_of, limit, at = self.scores.get, self.limit, list(range(len(symbols)))
-        agenda = [score_of(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := max(agenda)) != NONE:
-            i = agenda.index(best)
-            merged = symbols[i] + symbols[i + 1]
-            if key[at[i] * 7 + len(merged) & 63] < limit:
-                agenda[i] = NONE
-                continue
-            symbols[i] = merged
-            del symbols[i + 1], at[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = score_of(merged + symbols[i + 1], NONE)
-            if i:
-                agenda[i - 1] = score_of(symbols[i - 1] + merged, NONE)
-        return symbols
-
-    def _segment_long(self, symbols: list[str], key: bytes) -> list[str]:
+        """Work the agenda of adjacent symbols off, best score and then leftmost first."""
         n, score_of, push = len(symbols), self.scores.get, heapq.heappush
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
@@ -138,32 +119,118 @@ class Pieces:
             propose(left, after[left])
         return [s for s in symbols if s]
 
-    def _run(self, run: str, variant: int) -> list[int]:
-        symbols = list(run.replace(" ", BLANK))
-        if BLANK in run:  # the character that stands for blanks has no piece of its own
-            symbols = [LITERAL if c == BLANK else BLANK if c == " " else c for c in run]
-        key = hashlib.blake2b(run.encode(), digest_size=64, key=f"{self.seed}:{variant}".encode()).digest()
-        found: list[int] = []
-        for piece in self._segment(symbols, key):
-            if (i := self.ids.get(piece)) is not None:
-                found.append(i)
+    def _pair_table(self) -> None:
+        """Sorted codes of all pairs of symbols that make a piece, with the piece and its place in the order of merges."""
+        number = lambda x: self.ids.get(x, OTHER + ord(x[0]))
+        pairs = {
+            number(piece[:i]) << 32 | number(piece[i:]): i_piece
+            for piece, i_piece in self.ids.items()
+            for i in range(1, len(piece))
+            if (piece[:i] in self.ids or i == 1) and (piece[i:] in self.ids or i == len(piece) - 1)
+        }
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
+        place, size = np.zeros(len(self.bytes_of)), np.zeros(len(self.bytes_of), np.int64)
+        for piece, i in self.ids.items():
+            place[i], size[i] = -self.scores[piece], len(piece)
+        self.place, self.size = place, size
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that two symbols make, and its place; infinity if none."""
+        code = left << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        piece = self.merged[at]
+        return piece, np.where((self.pairs[at] == code) & (right >= 0), self.place[piece], np.inf)
+
+    def _segment_alike(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """``_segment`` for many runs of one length at once: rows of symbols, in the end filled up with -1."""
+        n, width = symbols.shape
+        start = np.tile(np.arange(width), (n, 1))
+        piece, agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(n)
+        while len(rows):
+            best = agenda[rows].argmin(axis=1)
+            open_ = agenda[rows, best] < np.inf
+            rows, best = rows[open_], best[open_]
+            new = piece[rows, best]
+            skip = keys[rows, start[rows, best] * 7 + self.size[new] & 63] < self.limit
+            agenda[rows[skip], best[skip]] = np.inf
+            r, i, new = rows[~skip], best[~skip], new[~skip]
+            behind = np.arange(width - 1)
+            take = behind + (behind > i[:, None])  # all but the right one of the two
+            for part in (symbols, start):
+                part[r, :-1] = np.take_along_axis(part[r], take, axis=1)
+            symbols[r, -1] = -1
+            symbols[r, i] = new
+            take = np.minimum(behind + (behind >= i[:, None]), width - 2)  # all but their own pair
+            for part in (piece, agenda):
+                part[r] = np.take_along_axis(part[r], take, axis=1)
+            agenda[r, -1] = np.inf
+            inner = i < width - 1
+            a, b = r[inner], i[inner]
+            piece[a, b], agenda[a, b] = self._looked_up(symbols[a, b], symbols[a, b + 1])
+            inner = i > 0
+            a, b = r[inner], i[inner]
+            piece[a, b - 1], agenda[a, b - 1] = self._looked_up(symbols[a, b - 1], symbols[a, b])
+        return symbols
+
+    def _symbols(self, run: str) -> list[str]:
+        """A run's characters, blanks as their piece; the character that stands for blanks has no piece of its own."""
+        if BLANK in run:
+            return [LITERAL if c == BLANK else BLANK if c == " " else c for c in run]
+        return list(run.replace(" ", BLANK))
+
+    def _bytes(self, character: str) -> list[int]:
+        return [self.byte_ids[b] for b in (BLANK if character == LITERAL else character.replace(BLANK, " ")).encode()]
+
+    def _work_off(self, runs: list[str], keys: list[bytes]) -> list[list[int]]:
+        """The pieces of runs with their keyed hashes."""
+        found: list[list[int]] = [[] for _ in runs]
+        alike: dict[int, list[int]] = {}
+        for k, run in enumerate(runs):
+            if len(run) <= LONG and BLANK not in run:
+                alike.setdefault(len(run), []).append(k)
             else:
-                raw = (BLANK if piece == LITERAL else piece.replace(BLANK, " ")).encode()
-                found.extend(self.byte_ids[b] for b in raw)
+                for symbol in self._segment(self._symbols(run), keys[k]):
+                    found[k] += [self.ids[symbol]] if symbol in self.ids else self._bytes(symbol)
+        for width, members in alike.items():
+            joined = "".join([runs[k] for k in members]).replace(" ", BLANK)
+            numbers = {c: self.ids.get(c, OTHER + ord(c)) for c in set(joined)}
+            symbols = np.array([numbers[c] for c in joined], np.int64).reshape(-1, width)
+            if width > 1:
+                drops = np.frombuffer(b"".join([keys[k] for k in members]), np.uint8).reshape(-1, 64)
+                symbols = self._segment_alike(symbols, drops)
+            sizes, strange = (symbols >= 0).sum(axis=1).tolist(), (symbols >= OTHER).any(axis=1).tolist()
+            for k, row, size, other in zip(members, symbols.tolist(), sizes, strange):
+                found[k] = row[:size]
+                if other:
+                    found[k] = [y for x in row[:size] for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))]
         return found
 
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[list[int]]:
+        """The pieces of each text in its variant."""
+        split = [self.runs.findall(" " + text) if text else [] for text in texts]
+        new: list[set[str]] = [set() for _ in range(VARIANTS)]
+        for v in range(VARIANTS):
+            if len(self.young[v]) >= KEPT // (2 * VARIANTS):
+                self.old[v], self.young[v] = self.young[v], {}
+        for runs, v in zip(split, variants):
+            new[v].update(set(runs).difference(self.young[v]))
+        for v, runs in enumerate(new):
+            again = runs & self.old[v].keys()
+            self.young[v].update({run: self.old[v][run] for run in again})
+            runs -= again
+        hashed = [
+            [hashlib.blake2b(run.encode(), digest_size=64, key=f"{self.seed}:{v}".encode()).digest() for run in runs]
+            for v, runs in enumerate(new)
+        ]
+        worked = iter(self._work_off(list(chain.from_iterable(new)), list(chain.from_iterable(hashed))))
+        for v, runs in enumerate(new):
+            self.young[v].update(zip(runs, worked))
+        return [list(chain.from_iterable(map(self.young[v].__getitem__, runs))) for runs, v in zip(split, variants)]
+
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        found: list[int] = []
-        young, old = self.young[variant], self.old[variant]
-        for run in self.runs.findall(" " + text) if text else ():
-            pieces = young.get(run)
-            if pieces is None:
-                if len(young) >= KEPT // (2 * VARIANTS):
-                    self.old[variant], self.young[variant] = young, {}
-                    young, old = self.young[variant], young
-                pieces = young[run] = old.get(run) or self._run(run, variant)
-            found += pieces
-        return found
+        return self.encode_all([text], [variant])[0]
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
@@ -180,8 +247,9 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            found = pa.array([codec.encode(t or "", variant_of(i)) for i, t in rows], pa.list_(pa.int32()))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = codec.encode_all(texts, [variant_of(i) for i in batch.column("doc_id").to_pylist()])
+            found = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))])
@@ -212,11 +280,12 @@ def round_trips(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = codec.encode(text or "", variant_of(doc_id))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            variants = [variant_of(i) for i in batch.column("doc_id").to_pylist()]
+            for text, ids in zip(texts, codec.encode_all(texts, variants)):
                 raw = sum(map(byte_ids.__contains__, ids))
                 digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                rows.append((len(ids), raw, digest, codec.decode(ids) == (text or "")))
+                rows.append((len(ids), raw, digest, codec.decode(ids) == text))
             n, raw, digests, same = zip(*rows)
             columns = [pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(digests), pa.array(same)]
             names = ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "lossless"]

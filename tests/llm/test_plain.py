@@ -211,11 +211,15 @@ def test_dropout_varies_and_stays_lossless(model):
     assert other.encode(texts[-1], 1) != seen[1][-1]
 
 
-def test_short_and_long_runs_are_worked_off_alike():
+def test_runs_are_worked_off_together_as_one_by_one():
     codec, rng = sentencepiece_bpe.Pieces(dropout=0.2), random.Random(3)
-    for _ in range(300):
-        run, key = [rng.choice("▁theinorsda") for _ in range(rng.randrange(1, 60))], rng.randbytes(64)
-        assert codec._segment(list(run), key) == codec._segment_long(list(run), key)
+    runs = ["".join(rng.choice(" theinorsdaé日") for _ in range(rng.randrange(1, 80))) for _ in range(400)]
+    keys = [rng.randbytes(64) for _ in runs]
+    for run, key, found in zip(runs, keys, codec._work_off(runs, keys)):
+        alone = []
+        for symbol in codec._segment(codec._symbols(run), key):
+            alone += [codec.ids[symbol]] if symbol in codec.ids else codec._bytes(symbol)
+        assert found == alone, run
 
 
 def test_digests():
