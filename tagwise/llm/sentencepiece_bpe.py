@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -49,6 +49,14 @@ OTHER = 1 << 24
 _LIVE: dict[str, dict] = {}
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, np.int32).tobytes()
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.int32)
+
+
 class Pieces:
     """Encoder and decoder of one model."""
 
@@ -73,8 +81,8 @@ class Pieces:
         self.name = f"{xxhash.xxh3_64_hexdigest(repr(sorted(self.scores.items())))}:{self.limit}:{seed}"
         self.runs = self._run_pattern()
         self._pair_table()
-        self.young: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {k: [{} for _ in range(VARIANTS)] for k in ("young", "old")}
@@ -183,16 +191,16 @@ class Pieces:
     def _bytes(self, character: str) -> list[int]:
         return [self.byte_ids[b] for b in (BLANK if character == LITERAL else character.replace(BLANK, " ")).encode()]
 
-    def _work_off(self, runs: list[str], keys: list[bytes]) -> list[list[int]]:
-        """The pieces of runs with their keyed hashes."""
-        found: list[list[int]] = [[] for _ in runs]
+    def _work_off(self, runs: list[str], keys: list[bytes]) -> list[bytes]:
+        """The pieces of runs with their keyed hashes, each run's ids packed as 32-bit numbers."""
+        found: list[bytes] = [b""] * len(runs)
         alike: dict[int, list[int]] = {}
         for k, run in enumerate(runs):
             if len(run) <= LONG and BLANK not in run:
                 alike.setdefault(len(run), []).append(k)
             else:
-                for symbol in self._segment(self._symbols(run), keys[k]):
-                    found[k] += [self.ids[symbol]] if symbol in self.ids else self._bytes(symbol)
+                symbols = self._segment(self._symbols(run), keys[k])
+                found[k] = _packed(y for x in symbols for y in ([self.ids[x]] if x in self.ids else self._bytes(x)))
         for width, members in alike.items():
             joined = "".join([runs[k] for k in members]).replace(" ", BLANK)
             numbers = {c: self.ids.get(c, OTHER + ord(c)) for c in set(joined)}
@@ -200,15 +208,19 @@ class Pieces:
             if width > 1:
                 drops = np.frombuffer(b"".join([keys[k] for k in members]), np.uint8).reshape(-1, 64)
                 symbols = self._segment_alike(symbols, drops)
-            sizes, strange = (symbols >= 0).sum(axis=1).tolist(), (symbols >= OTHER).any(axis=1).tolist()
-            for k, row, size, other in zip(members, symbols.tolist(), sizes, strange):
-                found[k] = row[:size]
-                if other:
-                    found[k] = [y for x in row[:size] for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))]
+            packed, step = symbols.astype(np.int32).tobytes(), 4 * width
+            ends = 4 * (symbols >= 0).sum(axis=1) + step * np.arange(len(members))
+            for k, start, end in zip(members, range(0, len(packed), step), ends.tolist()):
+                found[k] = packed[start:end]
+            for nth in np.flatnonzero((symbols >= OTHER).any(axis=1)).tolist():
+                row = [x for x in symbols[nth].tolist() if x >= 0]
+                found[members[nth]] = _packed(
+                    y for x in row for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))
+                )
         return found
 
-    def encode_all(self, texts: list[str], variants: list[int]) -> list[list[int]]:
-        """The pieces of each text in its variant."""
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        """The pieces of each text in its variant, packed."""
         split = [self.runs.findall(" " + text) if text else [] for text in texts]
         new: list[set[str]] = [set() for _ in range(VARIANTS)]
         for v in range(VARIANTS):
@@ -227,14 +239,13 @@ class Pieces:
         worked = iter(self._work_off(list(chain.from_iterable(new)), list(chain.from_iterable(hashed))))
         for v, runs in enumerate(new):
             self.young[v].update(zip(runs, worked))
-        return [list(chain.from_iterable(map(self.young[v].__getitem__, runs))) for runs, v in zip(split, variants)]
+        return [b"".join(map(self.young[v].__getitem__, runs)) for runs, v in zip(split, variants)]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        return self.encode_all([text], [variant])[0]
+        return _ids(self.encode_all([text], [variant])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])[1:].decode()
+        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
 def variant_of(doc_id: int | None) -> int:
@@ -249,7 +260,8 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = codec.encode_all(texts, [variant_of(i) for i in batch.column("doc_id").to_pylist()])
-            found = pa.array(ids, pa.list_(pa.int32()))
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_ids(b"".join(ids))))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))])
@@ -262,7 +274,9 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = pa.array([codec.decode(x or []) for x in batch.column(name).to_pylist()], pa.string())
+            pieces = batch.column(name)
+            ids, ends = pieces.values.to_numpy(), pieces.offsets.to_pylist()
+            texts = pa.array([codec.decode(ids[i:j].tolist()) for i, j in zip(ends, ends[1:])], pa.string())
             columns = [texts if c == "text" else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -273,19 +287,20 @@ _DIGEST = "n_pieces long, n_byte_pieces long, pieces_sha256 string, lossless boo
 
 
 def round_trips(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """Per document the number and digest of its pieces, and whether they decode to its text."""
+    """Per document the number and the digest (of 32-bit ids) of its pieces, and whether they decode to its text."""
     codec = pieces or Pieces()
-    byte_ids = frozenset(codec.byte_ids)
+    is_byte = np.zeros(len(codec.bytes_of), bool)
+    is_byte[codec.byte_ids] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             variants = [variant_of(i) for i in batch.column("doc_id").to_pylist()]
-            for text, ids in zip(texts, codec.encode_all(texts, variants)):
-                raw = sum(map(byte_ids.__contains__, ids))
-                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                rows.append((len(ids), raw, digest, codec.decode(ids) == text))
+            for text, packed in zip(texts, codec.encode_all(texts, variants)):
+                ids = _ids(packed)
+                digest = hashlib.sha256(packed).hexdigest()
+                rows.append((len(ids), int(is_byte[ids].sum()), digest, codec.decode(ids.tolist()) == text))
             n, raw, digests, same = zip(*rows)
             columns = [pa.array(n, pa.int64()), pa.array(raw, pa.int64()), pa.array(digests), pa.array(same)]
             names = ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "lossless"]
