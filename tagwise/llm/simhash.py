@@ -18,7 +18,7 @@ result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -239,17 +239,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return signed.join(of_code, F.col("fp") == F.col("code")).select("doc_id", hexed, "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents, all columns as they are, cut to the one with the least doc_id of each component."""
+def _codes(texts: pa.RecordBatch) -> np.ndarray:
+    found = [fingerprint(t or b"") for t in texts.column("text").cast(pa.binary()).to_pylist()]
+    return np.array(found, np.uint64).view(np.int64)
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame, codes: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The documents, cut to the one with the least doc_id of each root of ``rooted(fp, first, root)``."""
     fp = free_name(docs, "fp")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes(batch))], [*batch.schema.names, fp])
 
-    rooted = _rooted(stored(signatures(docs)), distance)
     first = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp").alias("code")))
     # plain columns as keys, so that the join and the choice among repeated rows share one exchange of the texts
     key = [fp, free_name(docs, "no_id"), free_name(docs, "known_id")]
@@ -257,3 +259,8 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     chosen = rooted.groupBy("root").agg(first.alias("kept")).select(F.col("kept.code").alias(fp), *of(F.col("kept.id")))
     signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(fp, LongType())]))
     return signed.select("*", *of(F.col("doc_id"))).join(chosen, key, "left_semi").dropDuplicates(key).drop(*key)
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The documents, all columns as they are, cut to the one with the least doc_id of each component."""
+    return first_of_each(docs, _rooted(stored(signatures(docs)), distance), _codes)
