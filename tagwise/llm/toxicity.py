@@ -1,8 +1,8 @@
 """Toxicity: words are restored from their obfuscated forms, then scored by a logistic model over a learnt word list.
 
-Three passes over a bounded sample of labelled documents learn, in this order, the character model of the noisy channel,
-the words and stems that mark toxic documents, and their weights; counts are summed by Spark, and what reaches the driver
-is bounded by the sample. One pass without a shuffle then scores every document: each distinct token is restored once per
+One pass over all documents counts the character model of the noisy channel. Two passes over a bounded sample of labelled
+documents learn the words and stems that mark toxic documents, and their weights; counts are summed by Spark, and what
+reaches the driver is bounded by the sample and the alphabets. One pass without a shuffle then scores every document: each distinct token is restored once per
 worker and kept in a bounded table.
 
 Null text counts as empty; an empty text gets the intercept's score; repeated rows are scored each; without labels all
@@ -32,6 +32,8 @@ MIN_DOCS = 5
 MAX_FEATURES = 400
 #: Tokens that a worker keeps the features of.
 KEPT = 1 << 18
+#: Grams that are fewer than one in so many characters are left out of the character model, to bound its table.
+RAREST = 1 << 24
 
 
 def tokens_of(text: str) -> set[str]:
@@ -86,18 +88,30 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def _char_model(sample: DataFrame) -> CharModel:
+def _char_model(docs: DataFrame) -> CharModel:
+    """The character model of all rows; each distinct word of a text counts once."""
+
+    def sums(words: Counter) -> pa.RecordBatch:
+        found: Counter = Counter()
+        for word, n in words.items():
+            for gram in grams([word]).items():
+                found[gram[0]] += gram[1] * n
+        columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = Counter(w for t in _texts(batch) for w in (x.strip(".,;:!?") for x in tokens_of(t)) if w.isalpha())
-            found: Counter = Counter()
-            for word, n in words.items():
-                for gram in grams([word]).items():
-                    found[gram[0]] += gram[1] * n
-            sums = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(sums, ["gram", "n"])
-
-    rows = sample.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        words: Counter = Counter()
+        for batch in slices(batches):
+            for text in _texts(batch):
+                words.update(w for w in (x.strip(".,;:!?") for x in tokens_of(text)) if w.isalpha())
+            if len(words) >= KEPT:
+                yield sums(words)
+                words.clear()
+        yield sums(words)
+
+    counts = stored(docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    whole = counts.where("char_length(gram) = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = counts.where(F.col("n") * RAREST >= whole).toArrow()
     return CharModel(dict(sorted(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist()))))
 
 
@@ -159,7 +173,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS
     """The scorer learnt from ``labels.toxic`` outside the held-out fold; copies of a text count once."""
     sample = stored(training_sample(docs, labels, "toxic", max_rows, SEED).groupBy("text").agg(F.max("label").alias("label")))
     sizes = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    model = _char_model(sample)
+    model = _char_model(docs)
     if not (sizes.get(0) and sizes.get(1)):
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Scorer(model, {}, float(np.log(share / (1 - share))), np.zeros(0))
