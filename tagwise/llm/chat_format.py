@@ -1,14 +1,14 @@
 """Chat formatting with tool calls: link calls to results, order them, check their arguments, write canonical JSON.
 
-Calls and results are joined on hash partitions of conversation and identifier, after each side is reduced to one row
-per identifier, so that repeated identifiers cannot multiply. Calls may name others that must come before them; their depth in that graph
+Calls and results are joined on hash partitions of conversation, identifier and occurrence: the occurrences of repeated
+identifiers are numbered by turn on each side, so that they neither multiply nor get lost. Calls may name others that must come before them; their depth in that graph
 is found round by round, all conversations at once, and calls on a cycle get none. Arguments are parsed once and checked
 against the schema of the named tool. The result has a row per message and call, numbered within its conversation in
 topological order, each with its canonical JSON: keys sorted, no blanks. A conversation of any length is never gathered
 into one row, and its rows are numbered from the counts of blocks of turns.
 
-Null texts are left out of the JSON. Repeated identifiers: the earliest call and the earliest result count, the number of
-calls is told. Rows of a null conversation or identifier stay, but are never linked. Equal turns stand in the order of their kind,
+Null texts are left out of the JSON. Repeated identifiers: the k-th call meets the k-th result, and what is left
+over on a side stays as a row. Rows of a null conversation or identifier stay, but are never linked. Equal turns stand in the order of their kind,
 depth, identifier and text. Empty tables give an empty result. Other columns are not read.
 """
 
@@ -60,51 +60,76 @@ def _errors(schemas: Schemas) -> Column:
     return F.array_compact(faults.otherwise(F.array(F.lit("unknown tool"))))
 
 
-def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls with their results, and results without a call: ``status`` is linked, no result or no call."""
+def _occurrences(rows: DataFrame, *order: str) -> DataFrame:
+    """``occurrence`` from 1 of each row among those of its identifier, by turn; no window holds more than a block of turns."""
     key = ["conv_id", "call_id"]
-    ids = [F.col(k).isNotNull() for k in key]
-    one_call = (
-        calls.where(ids[0] & ids[1]).groupBy(*key)
-        .agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
+    blocked = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    counts = blocked.groupBy(*key, "block").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("conv_id").alias("of_conv"), F.col("call_id").alias("of_call"), F.col("block").alias("of_block"), start)
+    inside = Window.partitionBy(*key, "block").orderBy(*order)
+    nth = blocked.withColumn("nth", F.row_number().over(inside))
+    same = (
+        (F.col("conv_id") == F.col("of_conv")) & (F.col("call_id") == F.col("of_call"))
+        & F.col("block").eqNullSafe(F.col("of_block"))
     )
-    loose_calls = calls.where(~(ids[0] & ids[1])).select(
-        *key, "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), "turn",
-        F.lit(None).cast("string").alias("content"), F.lit("no result").alias("status"),
+    return nth.join(starts, same).select(*rows.columns, (F.col("start") + F.col("nth")).alias("occurrence"))
+
+
+def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls with their results, and results without a call: ``status`` is linked, no result or no call.
+
+    The k-th call of an identifier is linked to its k-th result; ``occurrence`` tells k.
+    """
+    key = ["conv_id", "call_id"]
+    calls, results = calls.select(*key, "turn", "name", "arguments", "after"), results.select(*key, "turn", "content")
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    loose = F.lit(None).cast("long").alias("occurrence")
+    loose_calls = calls.where(~known).select(
+        *key, loose, "name", "arguments", "after", "turn", F.lit(None).cast("string").alias("content"),
+        F.lit("no result").alias("status"),
     )
     none = [F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in ("name", "arguments", "after")]
-    loose_results = results.where(~(ids[0] & ids[1])).select(
-        *key, *none, F.lit(0).cast("long").alias("n_calls"), "turn", "content", F.lit("no call").alias("status")
+    loose_results = results.where(~known).select(*key, loose, *none, "turn", "content", F.lit("no call").alias("status"))
+    each_call = _occurrences(calls.where(known), "turn", "name", "arguments", "after").select(
+        *key, "occurrence", F.struct("turn", "name", "arguments", "after").alias("c")
+    )
+    each_result = _occurrences(results.where(known), "turn", "content").select(
+        *key, "occurrence", F.struct("turn", "content").alias("r")
     )
-    one_result = results.where(ids[0] & ids[1]).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
     status = F.when(F.col("c").isNull(), "no call").when(F.col("r").isNull(), "no result").otherwise("linked")
-    met = one_call.join(one_result, key, "full").select(
-        *key, "c.name", "c.arguments", "c.after", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
-        F.coalesce("c.turn", "r.turn").alias("turn"), "r.content", status.alias("status"),
+    met = each_call.join(each_result, [*key, "occurrence"], "full").select(
+        *key, "occurrence", "c.name", "c.arguments", "c.after", F.coalesce("c.turn", "r.turn").alias("turn"), "r.content",
+        status.alias("status"),
     )
     return met.unionByName(loose_calls).unionByName(loose_results)
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, depth, at``: the longest chain of calls before each, and the turn it can come at.
+    """``conv_id, call_id, occurrence, depth, at``: the longest chain of calls before each, and the turn it can come at.
 
     That is its own turn, or a later one if a call that must come before it has a later one. Calls on or behind a cycle
-    are left out. Names that no call has are ignored. There is a round for each depth, over what is still waiting.
+    are left out. Names that no call has are ignored. Of a repeated identifier the k-th call is meant by the k-th call that
+    names it, or the last if there are fewer, and the call before by one that names its own. There is a round for each
+    depth, over what is still waiting.
     """
-    key = ["conv_id", "call_id"]
+    key, earlier = ["conv_id", "call_id", "occurrence"], ["conv_id", "before", "of"]
     nodes = calls.select(*key, "turn")
+    counts = nodes.groupBy("conv_id", F.col("call_id").alias("before")).agg(F.count("*").alias("n"))
+    again = (F.col("before") == F.col("call_id")) & (F.col("occurrence") > 1)
+    of = F.when(again, F.col("occurrence") - 1).otherwise(F.least("occurrence", "n")).alias("of")
     named = calls.select(*key, F.explode("after").alias("before")).distinct()
-    edges = stored(named.join(nodes.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]))
+    edges = stored(named.join(counts, ["conv_id", "before"]).select(*key, "before", of))
+    as_earlier = ["conv_id", F.col("call_id").alias("before"), F.col("occurrence").alias("of")]
     start = nodes.join(edges, key, "left_anti").select(*key, F.lit(0).alias("depth"), F.col("turn").alias("at"))
     front = stored(start)
     found, waiting, depth = front, edges, 0
     while not waiting.isEmpty() and not front.isEmpty():
         depth += 1
-        met = front.select("conv_id", F.col("call_id").alias("before"))
-        left = stored(waiting.join(met, ["conv_id", "before"], "left_anti"))
+        left = stored(waiting.join(front.select(*as_earlier), earlier, "left_anti"))
         free = waiting.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
-        times = found.select("conv_id", F.col("call_id").alias("before"), "at")
-        freed = edges.join(free, key, "left_semi").join(times, ["conv_id", "before"])
+        freed = edges.join(free, key, "left_semi").join(found.select(*as_earlier, "at"), earlier)
         latest = freed.groupBy(*key).agg(F.max("at").alias("at")).join(nodes, key)
         front = stored(latest.select(*key, F.lit(depth).alias("depth"), F.greatest("at", "turn").alias("at")))
         found, waiting = found.unionByName(front), left
@@ -118,21 +143,23 @@ def _numbered(rows: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     counts = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     starts = counts.select(F.col("conv_id").alias("of_conv"), F.col("block").alias("of_block"), start)
-    inside = Window.partitionBy("conv_id", "block").orderBy("at", "kind", F.asc_nulls_last("depth"), "call_id", "json")
+    inside = Window.partitionBy("conv_id", "block").orderBy("at", "kind", F.asc_nulls_last("depth"), "call_id", "occurrence", "json")
     nth = blocked.withColumn("nth", F.row_number().over(inside))
     same = F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("block").eqNullSafe(F.col("of_block"))
     return nth.join(starts, same).withColumn("position", F.col("start") + F.col("nth") - 1)
 
 
 def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """A row per message, call and stray result: ``conv_id, position, turn, kind, call_id, depth, status, errors, json``.
+    """A row per message, call and stray result.
+
+    ``conv_id, position, turn, kind, call_id, occurrence, depth, status, errors, json``.
 
     ``messages(conv_id, turn, role, text)``, ``calls(conv_id, turn, call_id, name, arguments, after)``,
     ``results(conv_id, turn, call_id, content)``.
     """
     links = stored(linked(calls, results))
     made = links.where("status <> 'no call' and conv_id is not null and call_id is not null")
-    parsed = links.join(depths(made), ["conv_id", "call_id"], "left").withColumn("parsed", F.try_parse_json("arguments"))
+    parsed = links.join(depths(made), ["conv_id", "call_id", "occurrence"], "left").withColumn("parsed", F.try_parse_json("arguments"))
     is_call = F.col("status") != "no call"
     arguments = F.coalesce(F.to_json(F.struct(F.col("parsed").alias("arguments"))), F.lit("{}"))
     rest = F.to_json(F.struct(F.col("call_id").alias("call"), "name", F.col("content").alias("result")))
@@ -141,17 +168,17 @@ def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas
     errors = F.when(is_call, F.array_join(_errors(schemas), "; "))
     tools = parsed.withColumns({"head": arguments, "tail": rest}).select(
         "conv_id", "turn", F.coalesce("at", "turn").alias("at"), F.when(is_call, 1).otherwise(2).alias("kind"), "call_id",
-        "depth", "status", errors.alias("errors"), F.concat(F.lit("{"), joined, F.lit("}")).alias("json"),
+        "occurrence", "depth", "status", errors.alias("errors"), F.concat(F.lit("{"), joined, F.lit("}")).alias("json"),
     )
     none = F.lit(None).cast("string")
     said = messages.select(
         "conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("kind"), none.alias("call_id"),
-        none.cast("int").alias("depth"), none.alias("status"), none.alias("errors"),
+        none.cast("long").alias("occurrence"), none.cast("int").alias("depth"), none.alias("status"), none.alias("errors"),
         F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
     names = F.element_at(F.array(F.lit("message"), F.lit("call"), F.lit("result")), F.col("kind") + 1)
     return _numbered(said.unionByName(tools)).select(
-        "conv_id", "position", "turn", names.alias("kind"), "call_id", "depth", "status", "errors", "json"
+        "conv_id", "position", "turn", names.alias("kind"), "call_id", "occurrence", "depth", "status", "errors", "json"
     )
 
 
@@ -192,4 +219,4 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
     calls, results = derived_calls(conversations)
-    return formatted(conversations.select("conv_id", "turn", "role", "text"), calls, results, SCHEMAS)
+    return formatted(conversations.select("conv_id", "turn", "role", "text"), calls, results, SCHEMAS).drop("occurrence")
