@@ -16,15 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder of ``spark.checkpoint.dir`` and read from there ever after.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below ``spark.checkpoint.dir``, which the driver and all executors see.
 
-    A lost executor costs no more than the unfinished tasks behind it. Only where no such folder is set, as in tests, a
-    temporary one is used.
+    Only a local master, as in tests, may leave it unset; it then gets a temporary folder. Elsewhere that is an error, as
+    every executor would write to a disk of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagwise-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagwise-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there ever after.
+
+    A lost executor costs no more than the unfinished tasks behind it.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwise.llm import mixing, sql
@@ -16,8 +17,13 @@ from tagwise.llm.secrets import BASE, RULES, secret_spans
 from tagwise.llm.sentencepiece_bpe import round_trips
 from tagwise.llm.sharding import shard_by_bytes
 from tagwise.llm.simhash import near_duplicates
+from tagwise.llm.spelling import spelling_groups
+from tagwise.llm.token_files import token_digests, write_ids
 from tagwise.llm.toxicity import toxicity_scores
 
+#: Vocabulary of the token files.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,6 +41,8 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
+        "op12_token_files": lambda spark, d: token_digests(write_ids(table(spark, d, "documents"), TOKENIZER)),
+        "op13_spelling_variants": lambda spark, d: spelling_groups(table(spark, d, "documents")),
     }
 
 
