@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagwise.llm import mixing, sql
 from tagwise.llm.chat_format import formatted_conversations
+from tagwise.llm.collocations import collocations
 from tagwise.llm.common import table
 from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
@@ -41,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
+        "op11_collocations": lambda spark, d: collocations(table(spark, d, "documents")),
         "op12_token_files": lambda spark, d: token_digests(write_ids(table(spark, d, "documents"), TOKENIZER)),
         "op13_spelling_variants": lambda spark, d: spelling_groups(table(spark, d, "documents")),
     }
@@ -53,4 +55,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": sql.SHARDING,
         "op7_chat_format": sql.CHAT_FORMAT,
         "op10_secret_scans": sql.secrets(RULES, BASE),
+        "op11_collocations": sql.COLLOCATIONS,
+        "op13_spelling_variants": sql.SPELLING,
     }

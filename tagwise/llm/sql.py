@@ -215,3 +215,89 @@ select conv_id, row_number() over (partition by conv_id order by turn, place, de
     (['message', 'call', 'result'])[place + 1] as kind, call_id, depth, status, errors, json
 from nodes
 """
+
+
+COLLOCATIONS = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), listed as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+    select lang, sum(len(w))::bigint as n from listed group by lang
+), f as (
+    select lang, size, phrase, count(*) as f from (
+        select lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase from (
+            select lang, w, size, unnest(generate_series(1, len(w) - size + 1)) as i
+            from listed, (select unnest(generate_series(1, 4)) as size) where len(w) >= size
+        )
+    ) group by lang, size, phrase
+), candidates as (
+    select *, string_split(phrase, ' ') as w, f as a from f where size > 1 and f >= 30
+), cuts as (
+    select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+    from (select *, unnest(generate_series(1, size - 1)) as k from candidates) c
+    join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+    join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+), lowest as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+    select lang, array_to_string(w[i:i + n - 1], ' ') as phrase, max(a) as longer from (
+        select lang, w, a, size, n, unnest(generate_series(1, size - n + 1)) as i
+        from candidates, (select unnest(generate_series(2, 3)) as n) where n < size
+    ) group by all
+), ranked as (
+    select x.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+    from lowest x left join inside i using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * a
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+SPELLING = r"""
+with crc_table as (
+    select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i::bigint, generate_series(1::bigint, 8)),
+            lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c
+        from (select unnest(generate_series(0, 255)) as i)
+    )
+), runs as (
+    select doc_id, run, count(*) as n from (
+        select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+        from documents
+    ) group by all
+), marked as (
+    select run, n, xor(list_reduce(list_prepend(4294967295::bigint,
+            [('0x' || x)::bigint for x in regexp_extract_all(hex(encode(coalesce(doc_id::varchar, '') || ':' || run)), '..')]),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h
+    from runs, crc_table
+), words as (
+    select word, sum(n)::bigint as n from (
+        select n, case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+        from marked
+    ) where length(word) >= 7 group by word having sum(n) >= 2
+), holes as (
+    select word, i, substr(word, 1, i - 1) as before, substr(word, i + 1) as behind
+    from (select word, unnest(generate_series(1, length(word))) as i from words)
+), shorter as (
+    select distinct h.word as long, w.word as short from holes h join words w on w.word = h.before || h.behind
+), pairs as (
+    select a.word, b.word as other from holes a join holes b using (i, before, behind) where a.word <> b.word
+    union select long, short from shorter union select short, long from shorter
+), near as (
+    select p.word, count(*) as n_near, arg_min(p.other, (-o.n, p.other)) as best, max(o.n) as best_n
+    from pairs p join words o on o.word = p.other group by p.word
+), known as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * w.n then best end as form,
+        case when best_n >= 10 * w.n then best_n end as form_n
+    from words w left join near using (word)
+), roots as (
+    with recursive up(word, root) as (
+        select word, form from known where form is not null
+        union all select up.word, k.form from up join known k on k.word = up.root where k.form is not null
+    )
+    select word, root from up where root not in (select word from known where form is not null)
+)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from known left join roots using (word)
+"""

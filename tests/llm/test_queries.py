@@ -13,7 +13,7 @@ def duck(sf_dir):
 
 def test_all_operators_are_registered():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 
