@@ -9,8 +9,8 @@ prefix sum of those counts. A document's place in the whole is its partition's b
 A task writes under names of its own and reports them only when they are complete, so that the files of lost or repeated
 attempts are never read: the manifest, which is written to the shared folder, is what counts.
 
-A text is cut at blanks, where the tokenizer's own patterns cut too, and each distinct part is encoded once and then
-remembered; the ids are those of the whole text.
+A text is cut at blanks and before marks that follow a letter, where the tokenizer's own patterns cut too, and each
+distinct part is encoded once and then remembered; the ids are those of the whole text.
 
 Ids of documents are whole numbers. Rows with equal ids stay separate and follow each other by their text's hash; null
 ids come first. A null text counts as empty and has the end id alone. An empty table gives an empty manifest and no rows.
@@ -19,7 +19,9 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,8 +38,12 @@ from tagwise.llm.common import shared_folder, slices, stored
 
 #: Fixed value of the contract: the id that ends each document.
 END = 2
-#: Parts of texts that a worker remembers, and the longest that it does.
+#: Parts of texts that a worker remembers in each of two generations, and the longest that it does.
 KEPT, LONGEST = 1 << 18, 64
+#: Parts of letters that are encoded in one string.
+TOGETHER = 256
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z alone
+_MARK = re.compile("([a-zà-öø-ÿ])([.,;:!?])")
 #: Ids that are read in one step.
 CHUNK = 1 << 20
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long, width int, ids string, docs string, offsets string"
@@ -53,14 +59,23 @@ class Encoder:
         with open(tokenizer_file, encoding="utf-8") as file:
             self.spec = file.read()
         self.name = f"{xxhash.xxh3_64_hexdigest(self.spec)}:{end}"
-        largest = max(self._tokenizer().get_vocab(with_added_tokens=True).values())
-        self.width = 2 if max(largest, end) < 1 << 16 else 4
+        vocabulary = self._tokenizer().get_vocab(with_added_tokens=True)
+        self.width = 2 if max(*vocabulary.values(), end) < 1 << 16 else 4
         self.end = np.array([end], f"<u{self.width}").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
+        spec = json.loads(self.spec)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends_word = np.array(sorted(i for x, i in vocabulary.items() if suffix and x.endswith(suffix)), np.int64)
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.model: tokenizers.Tokenizer | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {"": b""}, "model": None}
+        return self.__dict__ | {"young": {"": b""}, "old": {}, "model": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = _LIVE.setdefault(state["name"], state)
@@ -68,23 +83,53 @@ class Encoder:
     def _tokenizer(self) -> tokenizers.Tokenizer:
         return tokenizers.Tokenizer.from_str(self.spec)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _parts(self, text: str) -> list[str]:
+        """Parts whose ids, joined, are the text's; a text with the string of an added token is one part."""
+        low = text
+        if self.lowers:
+            low = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+        if any(x in low for x in self.added):
+            return [text]
+        return _MARK.sub(r"\1 \2", low).replace("\n", " ").replace("\t", " ").split(" ")
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [self._packed(x.ids) for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of distinct parts. Many of letters go as one string, to be cut behind the tokens that end words."""
         if self.model is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
             self.model = self._tokenizer()
-        found = self.model.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
+        plain = [p for p in parts if p.isalpha()] if len(self.ends_word) else []
+        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for group, joined in zip(groups, self.model.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False)):
+            ids = np.array(joined.ids)
+            cuts = (np.flatnonzero(np.isin(ids, self.ends_word)) + 1) * self.width
+            if len(cuts) == len(group):  # else some part is of several words, and all are encoded below
+                raw, ends = self._packed(joined.ids), cuts.tolist()
+                found.update(zip(group, (raw[i:j] for i, j in zip([0, *ends], ends))))
+        rest = [p for p in parts if p not in found]
+        return found | dict(zip(rest, self._each(rest)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, packed."""
-        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        if len(self.known) > KEPT:
-            self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        passing = dict(zip(new, self._ids(new)))
-        self.known.update((part, ids) for part, ids in passing.items() if len(part) <= LONGEST)
-        known = self.known | {part: ids for part, ids in passing.items() if len(part) > LONGEST}
-        return [b"".join(map(known.__getitem__, parts)) + self.end for parts in split]
+        split = list(map(self._parts, texts))
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {"": b""}
+        new = set().union(*split).difference(self.young)
+        again = new & self.old.keys()
+        self.young.update({part: self.old[part] for part in again})
+        found = self._ids(list(new - again))
+        self.young.update(found)
+        packed = [b"".join(map(self.young.__getitem__, parts)) + self.end for parts in split]
+        for part in found:
+            if len(part) > LONGEST:
+                del self.young[part]
+        return packed
 
 
 def _opened(folder: str) -> tuple[pa.fs.FileSystem, str]:

@@ -28,7 +28,7 @@ def ids_of(text):
 def test_parts_have_the_ids_of_the_whole():
     encoder = token_files.Encoder(TOKENIZER)
     assert encoder.width == 2
-    for texts in (TEXTS, TEXTS[::-1]):
+    for texts in (TEXTS, TEXTS[::-1], TRICKY, TRICKY + TEXTS):
         found = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all([t or "" for t in texts])]
         assert found == [ids_of(t) for t in texts]
 
