@@ -19,6 +19,10 @@ TEXTS = [
     "<|endoftext|>x<|startoftext|> <|endoftext|>", "ΣΑΣ ΣΑΣ. İstanbul ẞ", "12345 3.14 ½ ⅷ", "\x85a\x1cb\x0bc\x0cd\re", "日本語 テスト",
     "x" * 5000, "🙂🙂 " * 40, "tab\tnew\nline  double   blank ", "가 ᆨ", "repeated text", "repeated text",
 ]
+TRICKY = [
+    'say "no". (yes), he said,"well"...it\'s;they\'ll:', "A.B.C. e.g.,i.e.?!", "<|STARTOFTEXT|> Upper", "ÀÉÎ.ÕÜ,é;ß:ÿ! É́.",
+    "ªº.ⅷ,½;x²", "aİ.b", "<|endoftext|>", "a<|endoftext|>b.c",
+]
 
 
 def ids_of(text):
