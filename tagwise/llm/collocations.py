@@ -5,7 +5,8 @@ table; the place in the block is the position, and a gap ends a piece. Length by
 frequent phrases is merge-joined with itself at the adjacent position (a phrase and the one that begins a word later make
 the next longer), its groups are counted and the counts added up by Spark; the groups that are frequent over all blocks
 go back to the blocks that hold them, and a semi-join leaves only their occurrences before the next length. Words go
-through the same steps as phrases of length one.
+through the same steps as phrases of length one. A table of frequent phrases of a checked small size is sent to the
+blocks; a larger one meets the blocks' groups in a shuffle, and each block gets the list of its own that are frequent.
 
 Phrases are told apart by language, and compared as text, so nothing depends on hashes. A block passes on each of its
 groups once, so the rows that are shuffled for a phrase are at most one per block. Counts are added up map by map first.
@@ -16,6 +17,7 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -30,137 +32,186 @@ from tagwise.llm.common import stored
 LEAST, LONGEST, TOP, SCALE, COVERED = 30, 4, 2000, 2_000_000, 80
 _PIECE_END = re.compile(r"[.,;:!?\n-\r]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z alone
+#: Codes of what is no word: the end of a piece, and nothing between two blanks.
+END, NOTHING = -1, -2
 #: Occurrences of a block; a text is never cut, so a longer one makes a longer block.
 BLOCK = 1 << 20
 #: Rows of a batch of groups.
 BATCH = 1 << 16
-#: A table of frequent phrases is broadcast up to so many bytes of text and rows, both counted; else it is shuffled.
+#: A table of frequent phrases is sent to all tasks up to so many bytes of text and rows, both counted.
 SMALL_BYTES, SMALL_ROWS = 8 << 20, 100_000
 
-_BLOCKS = pa.schema(
-    [("block", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("lang_of", pa.binary())]
-    + [("codes", pa.binary()), ("starts", pa.binary()), ("groups", pa.binary())]
-)
-_BLOCK_KIND = (
-    "block long, langs array<string>, words array<string>, lang_of binary, codes binary, starts binary, groups binary"
-)
+_BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("langs", "words", "lang_of", "codes", "here"))])
+_BLOCK_KIND = "block long, langs binary, words binary, lang_of binary, codes binary, here binary"
 _GROUPS = pa.schema(
     [("block", pa.int64()), ("nth", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
 )
 _GROUP_KIND = "block long, nth int, lang string, phrase string, n long"
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, compressed, with their count before them."""
-    raw = numbers.astype("<i4").tobytes()
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed, with the length before it."""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _restored(packed: bytes) -> bytes:
     size = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b"", "<i4")
+    return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
 
 
-def pieces(text: str) -> Iterator[list[str]]:
-    """The lower-cased words of each piece that has any."""
-    low = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
-    for piece in _PIECE_END.split(low):
-        if found := [w for w in piece.replace("\t", " ").split(" ") if w]:
-            yield found
+def _packed(numbers: np.ndarray) -> bytes:
+    return _squeezed(numbers.astype("<i4").tobytes())
 
 
-def _occurrences(size: int):
-    """Blocks of the texts in their order: words as codes, -1 after each piece."""
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(_restored(packed), "<i4")
+
+
+class Block:
+    """Codes of words in order, negative between pieces; where frequent phrases begin; words, languages, both by code."""
+
+    def __init__(self, words: list[str], lang_of: np.ndarray, langs: list[str], codes: np.ndarray, here: np.ndarray) -> None:
+        self.words, self.lang_of, self.langs, self.codes, self.here = words, lang_of, langs, codes, here
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        texts = [json.loads(_restored(row[c])) for c in ("words", "langs")]
+        codes = _unpacked(row["codes"])
+        here = np.unpackbits(np.frombuffer(_restored(row["here"]), np.uint8), count=len(codes)).astype(bool)
+        return cls(texts[0], _unpacked(row["lang_of"]), texts[1], codes, here)
+
+    def batch(self, number: int) -> pa.RecordBatch:
+        row = {"block": number, "lang_of": _packed(self.lang_of), "codes": _packed(self.codes)}
+        row |= {c: _squeezed(json.dumps(x).encode()) for c, x in (("words", self.words), ("langs", self.langs))}
+        return pa.RecordBatch.from_pylist([row | {"here": _squeezed(np.packbits(self.here).tobytes())}], _BLOCKS)
+
+    def relation(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Position and group of each occurrence of a phrase of frequent parts: relations of one word, joined step by
+        step at the adjacent position."""
+        starts = np.flatnonzero(self.codes >= 0)
+        groups = self.codes[starts].astype(np.int64)
+        for step in range(2, length + 1):
+            follows = np.flatnonzero(starts[1:] == starts[:-1] + 1)  # sorted, so the adjacent position is the next row
+            if step == length:  # both parts are frequent
+                follows = follows[self.here[starts[follows]] & self.here[starts[follows + 1]]]
+            _, groups = np.unique(groups[follows] << 32 | groups[follows + 1], return_inverse=True)
+            starts = starts[follows]
+        return starts, groups
+
+    def texts(self, starts: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
+        """Language and phrase at the positions."""
+        words, langs = pa.array(self.words, pa.string()), pa.array(self.langs, pa.string())
+        parts = [words.take(pa.array(self.codes[starts + i])) for i in range(length)]
+        phrase = pa.compute.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
+        return langs.take(pa.array(self.lang_of[self.codes[starts]])), phrase
+
+    def cut(self, starts: np.ndarray, length: int) -> Block:
+        """What is left for longer phrases: the words of the occurrences, one gap between those that are apart."""
+        used = np.zeros(len(self.codes), bool)
+        for i in range(length):
+            used[starts + i] = True
+        stays = used | np.r_[False, used[:-1]]
+        here = np.zeros(len(self.codes), bool)
+        here[starts] = True
+        codes = np.where(used, self.codes, END)[stays]
+        left, renamed = np.unique(codes[codes >= 0], return_inverse=True)
+        codes[codes >= 0] = renamed
+        return Block([self.words[k] for k in left.tolist()], self.lang_of[left], self.langs, codes, here[stays])
 
-    def block(part: int, nth: int, known: dict[tuple[str, str], int], codes: list[int]) -> pa.RecordBatch:
-        at = np.array(codes, np.int32)
-        starts = np.flatnonzero(at >= 0)
-        langs = list(dict.fromkeys(lang for lang, _ in known))
-        place = {lang: i for i, lang in enumerate(langs)}
-        row = {"block": part << 32 | nth, "langs": langs, "words": [w for _, w in known]}
-        row |= {"lang_of": _packed(np.array([place[lang] for lang, _ in known])), "codes": _packed(at)}
-        return pa.RecordBatch.from_pylist([row | {"starts": _packed(starts), "groups": _packed(at[starts])}], _BLOCKS)
+
+def _occurrences(size: int):
+    """Blocks of the texts in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
-        known: dict[tuple[str, str], int] = {}
-        codes: list[int] = []
+        part, nth, held = TaskContext.get().partitionId(), 0, 0
+        known: dict[str, dict[str, int]] = {}
+        codes: list[np.ndarray] = []
+        n_words = 0
+
+        def block() -> pa.RecordBatch:
+            words, lang_of = [""] * n_words, np.zeros(n_words, np.int32)
+            for i, found in enumerate(known.values()):
+                for word, code in found.items():
+                    if code >= 0:
+                        words[code], lang_of[code] = word, i
+            every = np.concatenate(codes)
+            every = every[every != NOTHING]
+            return Block(words, lang_of, list(known), every, every >= 0).batch(part << 32 | nth)
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for words in pieces(text or ""):
-                    codes.extend([known.setdefault((lang, w), len(known)) for w in words])
-                    codes.append(-1)
-                if len(codes) >= size:
-                    yield block(part, nth, known, codes)
-                    known, codes, nth = {}, [], nth + 1
+                low = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+                tokens = _PIECE_END.sub(" \n ", low).replace("\t", " ").split(" ")
+                own = known.setdefault(lang, {"": NOTHING, "\n": END})
+                new = list(set(tokens).difference(own))
+                own.update(zip(new, range(n_words, n_words + len(new))))
+                n_words += len(new)
+                codes += [np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens)), np.array([END], np.int32)]
+                held += len(tokens)
+                if held >= size:
+                    yield block()
+                    known, codes, n_words, held, nth = {}, [], 0, 0, nth + 1
         if codes:
-            yield block(part, nth, known, codes)
+            yield block()
 
     return run
 
 
+def _key(lang: pa.Array, phrase: pa.Array) -> pa.Array:
+    """Language and phrase as one; phrases have no tab."""
+    return pa.compute.binary_join_element_wise(lang, phrase, "\t")
+
+
 def _grouped(length: int, most: int | None):
     """A block's groups of phrases of one length, each with its number, text and count; up to ``most`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
-            starts, groups, codes = (_unpacked(row[c]) for c in ("starts", "groups", "codes"))
-            if not len(starts):
-                continue
+            block = Block.of(row)
+            starts, groups = block.relation(length)
             nth, first, n = np.unique(groups, return_index=True, return_counts=True)
             if most is not None:
                 rare = n <= most
                 nth, first, n = nth[rare], first[rare], n[rare]
-            words, langs = pa.array(row["words"], pa.string()), pa.array(row["langs"], pa.string())
-            lang_of = _unpacked(row["lang_of"])
             for at in range(0, len(nth), BATCH):
-                begin = starts[first[at : at + BATCH]]
-                texts = [words.take(pa.array(codes[begin + i])) for i in range(length)]
-                phrase = pa.compute.binary_join_element_wise(*texts, " ") if length > 1 else texts[0]
-                lang = langs.take(pa.array(lang_of[codes[begin]]))
-                block = pa.array(np.full(len(begin), row["block"]))
-                yield pa.RecordBatch.from_arrays(
-                    [block, pa.array(nth[at : at + BATCH]), lang, phrase, pa.array(n[at : at + BATCH])], schema=_GROUPS
-                )
+                lang, phrase = block.texts(starts[first[at : at + BATCH]], length)
+                number = pa.array(np.full(len(lang), row["block"]))
+                columns = [number, pa.array(nth[at : at + BATCH].astype(np.int32)), lang, phrase, pa.array(n[at : at + BATCH])]
+                yield pa.RecordBatch.from_arrays(columns, schema=_GROUPS)
 
     return run
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The semi-join of a block's relation with its frequent groups, then the merge-join at the adjacent position.
+def _extended(length: int, frequent: pa.Array | None):
+    """The semi-join of a block's relation with its frequent groups; what no longer phrase can use goes.
 
-    Groups of ``LEAST`` or more occurrences in the block are frequent whatever the others hold; the rest are listed.
-    Occurrences that take part in no longer phrase go, so that blocks shrink.
+    Without the table of the frequent ones the block's own are listed in its row, but for those of ``LEAST`` or more
+    occurrences in the block, which are frequent whatever the others hold.
     """
-    for row in (r for batch in batches for r in batch.to_pylist()):
-        starts, groups, codes = (_unpacked(row[c]) for c in ("starts", "groups", "codes"))
-        nth, n = np.unique(groups, return_counts=True)
-        kept = (n >= LEAST) | np.isin(nth, np.array(row["listed"] or [], np.int64))
-        stays = kept[np.searchsorted(nth, groups)]
-        starts, groups = starts[stays].astype(np.int64), groups[stays].astype(np.int64)
-        follows = np.flatnonzero(starts[1:] == starts[:-1] + 1)  # sorted, so the adjacent position is the next row
-        _, groups = np.unique(groups[follows] << 32 | groups[follows + 1], return_inverse=True)
-        starts = starts[follows]
-        if not len(starts):
-            continue
-        length = row["length"] + 1
-        used = np.zeros(len(codes), bool)
-        for i in range(length):
-            used[starts + i] = True
-        gap = np.r_[False, ~used[:-1]] & ~used  # one gap is left of several
-        place = np.cumsum(~gap) - 1
-        codes = np.where(used, codes, -1)[~gap]
-        left, codes_of = np.unique(codes[codes >= 0], return_inverse=True)
-        codes = codes.copy()
-        codes[codes >= 0] = codes_of
-        row |= {"words": [row["words"][k] for k in left.tolist()], "lang_of": _packed(_unpacked(row["lang_of"])[left])}
-        row |= {"codes": _packed(codes), "starts": _packed(place[starts]), "groups": _packed(groups)}
-        yield pa.RecordBatch.from_pylist([{c: row[c] for c in _BLOCKS.names}], _BLOCKS)
-
-
-def _small(frequent: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            block = Block.of(row)
+            starts, groups = block.relation(length)
+            nth, first, which, n = np.unique(groups, return_index=True, return_inverse=True, return_counts=True)
+            if frequent is None:
+                kept = (n >= LEAST) | np.isin(nth, np.array(row["listed"] or [], np.int64))
+            else:
+                kept = pa.compute.is_in(_key(*block.texts(starts[first], length)), frequent).to_numpy(zero_copy_only=False)
+            starts = starts[kept[which]]
+            if len(starts):
+                yield block.cut(starts, length).batch(row["block"])
+
+    return run
+
+
+def _few(frequent: DataFrame) -> pa.Array | None:
+    """The frequent phrases, if they are of a small size."""
     rows, size = frequent.agg(F.count("*"), F.sum(F.octet_length("phrase") + F.octet_length("lang"))).first()
-    return F.broadcast(frequent) if rows <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else frequent
+    if rows > SMALL_ROWS or (size or 0) > SMALL_BYTES:
+        return None
+    found = frequent.select("lang", "phrase").toArrow()
+    return _key(*(found.column(c).combine_chunks() for c in ("lang", "phrase"))).cast(pa.string())
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
@@ -181,13 +232,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         found = found.unionByName(frequent)
         if length == longest or frequent.isEmpty():
             break
-        rare = blocks.mapInArrow(_grouped(length, LEAST - 1), _GROUP_KIND)
-        listed = (
-            rare.join(_small(frequent.select("lang", "phrase")), ["lang", "phrase"], "left_semi")
-            .groupBy("block").agg(F.collect_list("nth").alias("listed"))  # at most a block's groups
-        )
-        met = blocks.join(listed, "block", "left").withColumn("length", F.lit(length))
-        blocks = stored(met.mapInArrow(_extended, _BLOCK_KIND))
+        few, met = _few(frequent), blocks
+        if few is None:
+            rare = blocks.mapInArrow(_grouped(length, LEAST - 1), _GROUP_KIND)
+            listed = (
+                rare.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+                .groupBy("block").agg(F.collect_list("nth").alias("listed"))  # at most a block's groups
+            )
+            met = blocks.join(listed, "block", "left")
+        blocks = stored(met.mapInArrow(_extended(length, few), _BLOCK_KIND))
     return stored(found)
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwise.llm import mixing, sql
+from tagwise.llm import mixing, sql, vocabularies
 from tagwise.llm.chat_format import formatted_conversations
 from tagwise.llm.collocations import collocations
 from tagwise.llm.common import table
@@ -15,16 +14,13 @@ from tagwise.llm.digests import fingerprints
 from tagwise.llm.quality_classifier import quality_scores
 from tagwise.llm.quality_rules import quality_rules
 from tagwise.llm.secrets import BASE, RULES, secret_spans
-from tagwise.llm.sentencepiece_bpe import round_trips
+from tagwise.llm.sentencepiece_bpe import Pieces, round_trips
 from tagwise.llm.sharding import shard_by_bytes
 from tagwise.llm.simhash import near_duplicates
 from tagwise.llm.spelling import spelling_groups
 from tagwise.llm.token_files import token_digests, write_ids
 from tagwise.llm.toxicity import toxicity_scores
 
-#: Vocabulary of the token files.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,7 +29,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality_rules(table(spark, d, "documents")),
         "op3_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents")),
-        "op4_sentencepiece": lambda spark, d: round_trips(table(spark, d, "documents")),
+        "op4_sentencepiece": lambda spark, d: round_trips(table(spark, d, "documents"), Pieces(vocabularies.PIECES)),
         "op5_sharding": lambda spark, d: shard_by_bytes(table(spark, d, "documents")),
         "op6_quality_classifier": lambda spark, d: quality_scores(
             table(spark, d, "documents"), table(spark, d, "labels")
@@ -43,7 +39,7 @@ def queries() -> dict[str, Query]:
         "op9_fingerprints": lambda spark, d: fingerprints(table(spark, d, "documents")),
         "op10_secret_scans": lambda spark, d: secret_spans(table(spark, d, "documents")),
         "op11_collocations": lambda spark, d: collocations(table(spark, d, "documents")),
-        "op12_token_files": lambda spark, d: token_digests(write_ids(table(spark, d, "documents"), TOKENIZER)),
+        "op12_token_files": lambda spark, d: token_digests(write_ids(table(spark, d, "documents"), vocabularies.WORDS)),
         "op13_spelling_variants": lambda spark, d: spelling_groups(table(spark, d, "documents")),
     }
 

@@ -3,12 +3,16 @@
 The vocabulary of a SentencePiece BPE model is read once on the driver and travels with the job, so executors need no
 file. A text is encoded run by run, a run being letters, or other characters, with the blanks before them; no piece of
 the vocabulary reaches across a run's end, which is verified when it is read. Within a run an agenda of adjacent symbols
-is worked off by score, and a candidate merge is skipped where its byte of a hash of the run, keyed by seed and variant,
-falls below the dropout rate. A document's variant is a hash of its id, one of a few, so that equal runs are segmented
-differently in different documents and yet can be remembered. Characters without a piece become byte pieces; decoding
-joins the pieces' bytes and gives back every text exactly, whatever was dropped.
+is worked off by score, and the nth candidate merge is skipped where the nth byte of a hash falls below the dropout rate.
+The hash is keyed by the seed, the document and the run's place in it, so that every occurrence of a run is segmented for
+itself. Characters without a piece become byte pieces; decoding joins the pieces' bytes and gives back every text
+exactly, whatever was dropped.
 
-Null and empty texts have no pieces and decode to the empty text; a null id has variant 0; repeated rows are encoded
+What a run becomes depends on no more than the set of its candidates that are skipped. A worker remembers these sets as a
+tree per run: a node has the pieces, the number of candidates that were looked at on the way, and a child for each of
+them that may be skipped next. An occurrence goes down the tree by its own hash, and only new nodes are worked off.
+
+Null and empty texts have no pieces and decode to the empty text; null ids are keyed alike; repeated rows are encoded
 alike; an empty table gives an empty result. ``encoded`` keeps all columns of its input under their names and puts the
 pieces last, under a free name.
 """
@@ -18,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,18 +35,20 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from tagwise.llm.common import slices
 from tagwise.llm.learning import free_name
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 4
 DROPOUT = 0.1
-VARIANTS = 4
-#: Runs that a worker remembers, in two generations of which the older is forgotten when the younger is full.
-KEPT = 1 << 19
+#: Bytes, by estimate, that a worker's trees may take before they are forgotten.
+KEPT_BYTES = 128 << 20
 BLANK = "▁"
 LITERAL = "\0▁\0"
-#: Runs of at most so many characters are worked off together with others of their length; the pieces are the same.
+#: Runs of at most so many characters have a tree; longer ones are worked off one by one. The pieces are the same.
 LONG = 48
+#: Candidates that a tree can tell apart; an occurrence that looks at more is worked off by itself.
+WIDE = 64
 #: Numbers of characters that have no piece begin here.
 OTHER = 1 << 24
+#: Fixed values of a common 64-bit mixing function.
+_STEP, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 #: The codecs of this process: a worker keeps what it remembers from task to task.
@@ -57,10 +63,48 @@ def _ids(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.int32)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX[0])
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX[1])
+    return x ^ x >> np.uint64(31)
+
+
+class Draws:
+    """Skipped candidates of many occurrences: the nth byte of a hash that goes on as long as is asked for."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def bits(self, names: np.ndarray, words: range) -> np.ndarray:
+        """Bit n tells whether candidate n is skipped, for the candidates of some of the first eight words."""
+        found = np.zeros(len(names), np.uint64)
+        for w in words:
+            mixed = _mixed(names + np.uint64((w + 1) * _STEP & (1 << 64) - 1))
+            below = mixed.astype("<u8").view(np.uint8).reshape(-1, 8) < self.limit
+            found |= np.packbits(below, axis=1, bitorder="little").ravel().astype(np.uint64) << np.uint64(8 * w)
+        return found
+
+    def one(self, name: int) -> Callable[[int], bool]:
+        """Whether candidate n of an occurrence is skipped, for any n."""
+        words: list[bytes] = []
+
+        def skipped(n: int) -> bool:
+            while n >= 8 * len(words):
+                step = np.uint64(name + (len(words) + 1) * _STEP & (1 << 64) - 1)
+                words.append(_mixed(np.array([step])).astype("<u8").tobytes())
+            return words[n // 8][n % 8] < self.limit
+
+        return skipped
+
+
+def key_of(doc_id: int | None) -> int:
+    return xxhash.xxh64_intdigest("" if doc_id is None else str(doc_id))
+
+
 class Pieces:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> None:
+    def __init__(self, model_file: str, dropout: float = DROPOUT, seed: int = SEED) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.limit, self.seed = round(dropout * 256), seed
         self.ids: dict[str, int] = {}
@@ -81,14 +125,26 @@ class Pieces:
         self.name = f"{xxhash.xxh3_64_hexdigest(repr(sorted(self.scores.items())))}:{self.limit}:{seed}"
         self.runs = self._run_pattern()
         self._pair_table()
-        self.young: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.draws = Draws(self.limit)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        #: Of each node: pieces, candidates that were looked at, and run and skipped candidates that it stands for.
+        self.pieces_of: list[bytes] = []
+        self.looked = np.zeros(0, np.int64)
+        self.of: list[tuple[str, int]] = []
+        self.held = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {k: [{} for _ in range(VARIANTS)] for k in ("young", "old")}
+        left_out = ("roots", "children", "pieces_of", "looked", "of", "held")
+        return {k: v for k, v in self.__dict__.items() if k not in left_out}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = _LIVE.setdefault(state["name"], state)
+        if "roots" not in state:
+            self._forget()
 
     def _run_pattern(self) -> re.Pattern:
         """Cuts where no piece does join: before blanks, and between letters and other characters."""
@@ -102,8 +158,8 @@ class Pieces:
     def _cased(piece: str) -> str:
         return piece.lstrip(BLANK)
 
-    def _segment(self, symbols: list[str], key: bytes) -> list[str]:
-        """Work the agenda of adjacent symbols off, best score and then leftmost first."""
+    def _segment(self, symbols: list[str], skipped: Callable[[int], bool]) -> tuple[list[str], int]:
+        """Work the agenda of adjacent symbols off, best score and then leftmost first; also how many were looked at."""
         n, score_of, push = len(symbols), self.scores.get, heapq.heappush
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
@@ -113,11 +169,13 @@ class Pieces:
 
         for left in range(n - 1):
             propose(left, left + 1)
+        looked = 0
         while agenda:
             _, left, right, merged = heapq.heappop(agenda)
             if after[left] != right or symbols[left] + symbols[right] != merged:
                 continue  # one of the two has been merged since
-            if key[left * 7 + len(merged) & 63] < self.limit:
+            looked += 1
+            if skipped(looked - 1):
                 continue
             symbols[left], symbols[right] = merged, ""
             after[left] = after[right]
@@ -125,7 +183,7 @@ class Pieces:
                 before[after[right]] = left
             propose(before[left], left)
             propose(left, after[left])
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], looked
 
     def _pair_table(self) -> None:
         """Sorted codes of all pairs of symbols that make a piece, with the piece and its place in the order of merges."""
@@ -138,10 +196,9 @@ class Pieces:
         }
         self.pairs = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
-        place, size = np.zeros(len(self.bytes_of)), np.zeros(len(self.bytes_of), np.int64)
+        self.place = np.zeros(len(self.bytes_of))
         for piece, i in self.ids.items():
-            place[i], size[i] = -self.scores[piece], len(piece)
-        self.place, self.size = place, size
+            self.place[i] = -self.scores[piece]
 
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that two symbols make, and its place; infinity if none."""
@@ -150,10 +207,11 @@ class Pieces:
         piece = self.merged[at]
         return piece, np.where((self.pairs[at] == code) & (right >= 0), self.place[piece], np.inf)
 
-    def _segment_alike(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """``_segment`` for many runs of one length at once: rows of symbols, in the end filled up with -1."""
+    def _segment_alike(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_segment`` for many runs of one length at once, with the set of skipped candidates of each as bits; rows of
+        symbols, in the end filled up with -1, and how many candidates were looked at."""
         n, width = symbols.shape
-        start = np.tile(np.arange(width), (n, 1))
+        looked = np.zeros(n, np.int64)
         piece, agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
         rows = np.arange(n)
         while len(rows):
@@ -161,13 +219,14 @@ class Pieces:
             open_ = agenda[rows, best] < np.inf
             rows, best = rows[open_], best[open_]
             new = piece[rows, best]
-            skip = keys[rows, start[rows, best] * 7 + self.size[new] & 63] < self.limit
+            nth = looked[rows]
+            skip = (skips[rows] >> np.minimum(nth, WIDE - 1).astype(np.uint64) & np.uint64(1) > 0) & (nth < WIDE)
+            looked[rows] += 1
             agenda[rows[skip], best[skip]] = np.inf
             r, i, new = rows[~skip], best[~skip], new[~skip]
             behind = np.arange(width - 1)
             take = behind + (behind > i[:, None])  # all but the right one of the two
-            for part in (symbols, start):
-                part[r, :-1] = np.take_along_axis(part[r], take, axis=1)
+            symbols[r, :-1] = np.take_along_axis(symbols[r], take, axis=1)
             symbols[r, -1] = -1
             symbols[r, i] = new
             take = np.minimum(behind + (behind >= i[:, None]), width - 2)  # all but their own pair
@@ -180,7 +239,7 @@ class Pieces:
             inner = i > 0
             a, b = r[inner], i[inner]
             piece[a, b - 1], agenda[a, b - 1] = self._looked_up(symbols[a, b - 1], symbols[a, b])
-        return symbols
+        return symbols, looked
 
     def _symbols(self, run: str) -> list[str]:
         """A run's characters, blanks as their piece; the character that stands for blanks has no piece of its own."""
@@ -191,23 +250,29 @@ class Pieces:
     def _bytes(self, character: str) -> list[int]:
         return [self.byte_ids[b] for b in (BLANK if character == LITERAL else character.replace(BLANK, " ")).encode()]
 
-    def _work_off(self, runs: list[str], keys: list[bytes]) -> list[bytes]:
-        """The pieces of runs with their keyed hashes, each run's ids packed as 32-bit numbers."""
+    def _alone(self, run: str, skipped: Callable[[int], bool]) -> tuple[bytes, int]:
+        symbols, looked = self._segment(self._symbols(run), skipped)
+        return _packed(y for x in symbols for y in ([self.ids[x]] if x in self.ids else self._bytes(x))), looked
+
+    def _work_off(self, runs: list[str], skips: list[int]) -> tuple[list[bytes], list[int]]:
+        """The pieces of runs, packed as 32-bit numbers, and how many candidates each looked at."""
         found: list[bytes] = [b""] * len(runs)
+        looked = [0] * len(runs)
         alike: dict[int, list[int]] = {}
         for k, run in enumerate(runs):
-            if len(run) <= LONG and BLANK not in run:
-                alike.setdefault(len(run), []).append(k)
+            if BLANK in run:
+                bits = skips[k]
+                found[k], looked[k] = self._alone(run, lambda n: n < WIDE and bool(bits >> n & 1))  # noqa: B023
             else:
-                symbols = self._segment(self._symbols(run), keys[k])
-                found[k] = _packed(y for x in symbols for y in ([self.ids[x]] if x in self.ids else self._bytes(x)))
+                alike.setdefault(len(run), []).append(k)
         for width, members in alike.items():
             joined = "".join([runs[k] for k in members]).replace(" ", BLANK)
             numbers = {c: self.ids.get(c, OTHER + ord(c)) for c in set(joined)}
             symbols = np.array([numbers[c] for c in joined], np.int64).reshape(-1, width)
             if width > 1:
-                drops = np.frombuffer(b"".join([keys[k] for k in members]), np.uint8).reshape(-1, 64)
-                symbols = self._segment_alike(symbols, drops)
+                symbols, n = self._segment_alike(symbols, np.array([skips[k] for k in members], np.uint64))
+                for k, m in zip(members, n.tolist()):
+                    looked[k] = m
             packed, step = symbols.astype(np.int32).tobytes(), 4 * width
             ends = 4 * (symbols >= 0).sum(axis=1) + step * np.arange(len(members))
             for k, start, end in zip(members, range(0, len(packed), step), ends.tolist()):
@@ -217,49 +282,87 @@ class Pieces:
                 found[members[nth]] = _packed(
                     y for x in row for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))
                 )
-        return found
-
-    def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """The pieces of each text in its variant, packed."""
+        return found, looked
+
+    def _grow(self, runs: list[str], skips: list[int]) -> range:
+        """New nodes for runs and their skipped candidates."""
+        packed, looked = self._work_off(runs, skips)
+        first = len(self.pieces_of)
+        self.pieces_of += packed
+        self.of += zip(runs, skips)
+        if len(self.looked) < len(self.of):
+            self.looked = np.r_[self.looked, np.zeros(max(len(self.of), 1 << 12), np.int64)]
+        self.looked[first : len(self.of)] = looked
+        self.held += sum(map(len, packed)) + 260 * len(runs)
+        return range(first, len(self.of))
+
+    def _nodes(self, runs: list[str], names: np.ndarray) -> np.ndarray:
+        """The node of each occurrence of a run of at most ``LONG`` characters."""
+        new = list(set(runs).difference(self.roots))
+        self.roots.update(zip(new, self._grow(new, [0] * len(new))))
+        node = np.fromiter(map(self.roots.__getitem__, runs), np.int64, len(runs))
+        one = np.uint64(1)
+        open_, bits, drawn = np.arange(len(runs)), self.draws.bits(names, range(2)), np.full(len(runs), 16)
+        while len(open_):
+            more = (self.looked[node[open_]] > drawn) & (drawn < WIDE)
+            if more.any():
+                bits[more] |= self.draws.bits(names[open_[more]], range(2, WIDE // 8))
+                drawn[more] = WIDE
+            seen = self.looked[node[open_]]
+            below = np.where(seen < WIDE, (one << np.minimum(seen, WIDE - 1).astype(np.uint64)) - one, ~np.uint64(0))
+            on = bits & below != 0  # later bits are kept, as more may be looked at further down
+            open_, bits, drawn = open_[on], bits[on], drawn[on]
+            if not len(open_):
+                break
+            lowest = bits & (~bits + one)
+            nth = np.bitwise_count(lowest - one).astype(np.int64)
+            step, which = np.unique(node[open_] * WIDE + nth, return_inverse=True)
+            steps = step.tolist()
+            if missing := [x for x in steps if x not in self.children]:
+                parents = [self.of[x // WIDE] for x in missing]
+                grown = self._grow([run for run, _ in parents], [s | 1 << x % WIDE for (_, s), x in zip(parents, missing)])
+                self.children.update(zip(missing, grown))
+            node[open_] = np.array([self.children[x] for x in steps], np.int64)[which]
+            bits ^= lowest
+        return node
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """The pieces of each text, packed, with its document's key."""
+        if self.held > KEPT_BYTES:
+            self._forget()
         split = [self.runs.findall(" " + text) if text else [] for text in texts]
-        new: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for v in range(VARIANTS):
-            if len(self.young[v]) >= KEPT // (2 * VARIANTS):
-                self.old[v], self.young[v] = self.young[v], {}
-        for runs, v in zip(split, variants):
-            new[v].update(set(runs).difference(self.young[v]))
-        for v, runs in enumerate(new):
-            again = runs & self.old[v].keys()
-            self.young[v].update({run: self.old[v][run] for run in again})
-            runs -= again
-        hashed = [
-            [hashlib.blake2b(run.encode(), digest_size=64, key=f"{self.seed}:{v}".encode()).digest() for run in runs]
-            for v, runs in enumerate(new)
-        ]
-        worked = iter(self._work_off(list(chain.from_iterable(new)), list(chain.from_iterable(hashed))))
-        for v, runs in enumerate(new):
-            self.young[v].update(zip(runs, worked))
-        return [b"".join(map(self.young[v].__getitem__, runs)) for runs, v in zip(split, variants)]
-
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        return _ids(self.encode_all([text], [variant])[0]).tolist()
+        sizes = np.array(list(map(len, split)), np.int64)
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        names = _mixed(np.repeat(np.array(keys, np.uint64), sizes) + np.uint64(self.seed))
+        names = _mixed(names + place.astype(np.uint64) * np.uint64(_STEP))
+        runs = list(chain.from_iterable(split))
+        long = {k: runs[k] for k in np.flatnonzero(np.fromiter(map(len, runs), np.int64, len(runs)) > LONG).tolist()}
+        for k in long:
+            runs[k] = " "
+        node = self._nodes(runs, names)
+        found = list(map(self.pieces_of.__getitem__, node.tolist()))
+        for k in np.flatnonzero(self.looked[node] > WIDE).tolist():
+            long.setdefault(k, runs[k])
+        for k, run in long.items():
+            found[k] = self._alone(run, self.draws.one(int(names[k])))[0]
+        return [b"".join(found[j - n : j]) for j, n in zip(ends.tolist(), sizes.tolist())]
+
+    def encode(self, text: str, doc_id: int | None = 0) -> list[int]:
+        return _ids(self.encode_all([text], [key_of(doc_id)])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
-def variant_of(doc_id: int | None) -> int:
-    return 0 if doc_id is None else xxhash.xxh32_intdigest(str(doc_id)) % VARIANTS
-
-
-def encoded(docs: DataFrame, pieces: Pieces | None = None, name: str = "pieces") -> DataFrame:
+def encoded(docs: DataFrame, codec: Pieces, name: str = "pieces") -> DataFrame:
     """``docs`` with the ids of their texts' pieces."""
-    codec, name = pieces or Pieces(), free_name(docs, name)
+    name = free_name(docs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = codec.encode_all(texts, [variant_of(i) for i in batch.column("doc_id").to_pylist()])
+            ids = codec.encode_all(texts, list(map(key_of, batch.column("doc_id").to_pylist())))
             ends = np.cumsum([0, *map(len, ids)]) // 4
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_ids(b"".join(ids))))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
@@ -268,9 +371,8 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
     return docs.mapInArrow(run, schema)
 
 
-def decoded(rows: DataFrame, pieces: Pieces | None = None, name: str = "pieces") -> DataFrame:
+def decoded(rows: DataFrame, codec: Pieces, name: str = "pieces") -> DataFrame:
     """``rows`` with ``text`` restored from their pieces."""
-    codec = pieces or Pieces()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -283,21 +385,38 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None, name: str = "pieces")
     return rows.mapInArrow(run, rows.schema)
 
 
+def recoded(docs: DataFrame, codec: Pieces, name: str = "pieces") -> DataFrame:
+    """``docs`` encoded and with ``text`` as decoded from the pieces, in one pass of one worker."""
+    name = free_name(docs, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = codec.encode_all(texts, list(map(key_of, batch.column("doc_id").to_pylist())))
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_ids(b"".join(ids))))
+            back = pa.array([codec.decode(_ids(x).tolist()) for x in ids], pa.string())
+            columns = [back if c == "text" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, found], [*batch.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))])
+    return docs.mapInArrow(run, schema)
+
+
 _DIGEST = "n_pieces long, n_byte_pieces long, pieces_sha256 string, lossless boolean"
 
 
-def round_trips(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+def round_trips(docs: DataFrame, codec: Pieces) -> DataFrame:
     """Per document the number and the digest (of 32-bit ids) of its pieces, and whether they decode to its text."""
-    codec = pieces or Pieces()
     is_byte = np.zeros(len(codec.bytes_of), bool)
     is_byte[codec.byte_ids] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            variants = [variant_of(i) for i in batch.column("doc_id").to_pylist()]
-            for text, packed in zip(texts, codec.encode_all(texts, variants)):
+            keys = list(map(key_of, batch.column("doc_id").to_pylist()))
+            for text, packed in zip(texts, codec.encode_all(texts, keys)):
                 ids = _ids(packed)
                 digest = hashlib.sha256(packed).hexdigest()
                 rows.append((len(ids), int(is_byte[ids].sum()), digest, codec.decode(ids.tolist()) == text))

@@ -18,7 +18,7 @@ result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -232,35 +232,37 @@ def _rooted(signed: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row; the component's id is the least doc_id that can be reached."""
     signed = stored(signatures(docs))
-    rooted = _rooted(signed, distance)
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = stored(_rooted(signed, distance))
+    # stored, so that the join has a plain exchange on either side and the skew join can split a hot root
+    named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     of_code = rooted.join(named, "root").select(F.col("fp").alias("code"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return signed.join(of_code, F.col("fp") == F.col("code")).select("doc_id", hexed, "component_id")
 
 
-def _codes(texts: pa.RecordBatch) -> np.ndarray:
-    found = [fingerprint(t or b"") for t in texts.column("text").cast(pa.binary()).to_pylist()]
-    return np.array(found, np.uint64).view(np.int64)
-
-
-def first_of_each(docs: DataFrame, rooted: DataFrame, codes: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """The documents, cut to the one with the least doc_id of each root of ``rooted(fp, first, root)``."""
-    fp = free_name(docs, "fp")
+def _signed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with their fingerprint in one more column."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes(batch))], [*batch.schema.names, fp])
+            found = [fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            codes = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, name])
 
+    return docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The documents, all columns as they are, cut to the one with the least doc_id of each component.
+
+    Of repeated rows of that id one stays. An empty table gives an empty result.
+    """
+    fp = free_name(docs, "fp")
+    rooted = _rooted(stored(signatures(docs)), distance)
     first = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp").alias("code")))
     # plain columns as keys, so that the join and the choice among repeated rows share one exchange of the texts
     key = [fp, free_name(docs, "no_id"), free_name(docs, "known_id")]
     of = lambda doc_id: [doc_id.isNull().alias(key[1]), F.coalesce(doc_id, F.lit(0)).alias(key[2])]
     chosen = rooted.groupBy("root").agg(first.alias("kept")).select(F.col("kept.code").alias(fp), *of(F.col("kept.id")))
-    signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(fp, LongType())]))
-    return signed.select("*", *of(F.col("doc_id"))).join(chosen, key, "left_semi").dropDuplicates(key).drop(*key)
-
-
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents, all columns as they are, cut to the one with the least doc_id of each component."""
-    return first_of_each(docs, _rooted(stored(signatures(docs)), distance), _codes)
+    signed = _signed(docs, fp).select("*", *of(F.col("doc_id")))
+    return signed.join(chosen, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -4,14 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagwise.llm import (
-    chat_format, digests, mixing, quality_classifier, quality_rules, secrets, sentencepiece_bpe, sharding, simhash, toxicity,
+    chat_format, digests, mixing, quality_classifier, quality_rules, secrets, sentencepiece_bpe, sharding, simhash,
+    toxicity, vocabularies,
 )
 from tests.llm.frames import CLASHES, ROWS, documents, ids, labels
 
+PIECES = sentencepiece_bpe.Pieces(vocabularies.PIECES)
 PER_DOCUMENT = {
     "simhash": lambda d, s: simhash.near_duplicates(d),
     "quality_rules": lambda d, s: quality_rules.quality_rules(d),
-    "sentencepiece": lambda d, s: sentencepiece_bpe.round_trips(d),
+    "sentencepiece": lambda d, s: sentencepiece_bpe.round_trips(d, PIECES),
     "sharding": lambda d, s: sharding.shard_by_bytes(d),
     "quality_classifier": lambda d, s: quality_classifier.quality_scores(d, labels(s)),
     "toxicity": lambda d, s: toxicity.toxicity_scores(d, labels(s)),
@@ -56,10 +58,13 @@ def test_tables_without_a_kind_of_label(spark, docs):
 
 
 def test_encoded_columns(spark, docs):
-    found = sentencepiece_bpe.encoded(docs)
+    found = sentencepiece_bpe.encoded(docs, PIECES)
     assert found.columns == [*docs.columns, "pieces_"]
-    back = sentencepiece_bpe.decoded(found, name="pieces_")
+    back = sentencepiece_bpe.decoded(found, PIECES, name="pieces_")
     assert sorted(r.text for r in back.select("text").collect()) == sorted(r[1] or "" for r in ROWS)
+    both = sentencepiece_bpe.recoded(docs, PIECES)
+    assert both.columns == found.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, back.select(both.columns).collect()))
 
 
 def test_simhash_of_the_rows(spark, docs):
@@ -105,8 +110,10 @@ def test_chat_with_nulls_repeats_and_cycles(spark):
         "conv_id long, turn long, call_id string, content string",
     )
     found = chat_format.formatted(messages, calls, results, chat_format.SCHEMAS).collect()
-    assert len(found) == 5 + 8 + 2
-    by_id = {r.call_id: r for r in found if r.conv_id == 1 and r.kind == "call"}
+    assert len(found) == len(messages.collect()) + calls.count() + 2  # and two results without a call
+    by_id = {r.call_id: r for r in found if r.conv_id == 1 and r.kind == "call" and r.occurrence in (1, None)}
+    again = [r for r in found if r.conv_id == 1 and r.call_id == "c1" and r.occurrence == 2]
+    assert [r.json for r in again] == ['{"arguments":{"limit":2,"query":"q"},"call":"c1","name":"lookup","result":"second"}']
     assert by_id["c1"].json == '{"arguments":{"limit":1,"query":"q"},"call":"c1","name":"lookup","result":"first"}'
     assert by_id["c2"].errors == "query is not string; missing limit; unknown x" and by_id["c2"].depth == 1
     assert '{"query":5,"x":{"a":[2],"b":1}}' in by_id["c2"].json

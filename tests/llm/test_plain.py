@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagwise.llm import (
-    digests, gam, mixing, quality_classifier, secrets, sentencepiece_bpe, sharding, simhash, toxicity, trigrams,
+    digests, gam, mixing, quality_classifier, secrets, sentencepiece_bpe, sharding, simhash, toxicity, trigrams, vocabularies,
 )
 from tagwise.llm.common import table
 from tagwise.llm.deobfuscate import CharModel, decode, grams, restored
@@ -185,41 +185,114 @@ def test_prefix_of_the_epoch_is_cut_at_the_rest(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
+    return sentencepiece.SentencePieceProcessor(model_file=vocabularies.PIECES)
 
 
 TEXTS = ["", "a", "  two  spaces \n\n tabs\t x ", "日本語 ß 😀 €", "    indented", "x   ", "Hello, world. It's 2024!", "²." * 5, "ab" * 200]
 
 
+def pieces(**parameters):
+    return sentencepiece_bpe.Pieces(vocabularies.PIECES, **parameters)
+
+
 def test_pieces_without_dropout_are_the_library_s(model):
-    codec = sentencepiece_bpe.Pieces(dropout=0)
+    codec = pieces(dropout=0)
     for text in [*TEXTS, prose(1, 500)]:
         assert codec.encode(text) == model.encode(text)
 
 
 def test_dropout_varies_and_stays_lossless(model):
-    codec = sentencepiece_bpe.Pieces(dropout=0.3)
+    codec = pieces(dropout=0.3)
     texts = [*TEXTS, "▁lit▁ x\x00▁", "\x00\x00", prose(2, 500)]
-    seen = {v: [codec.encode(t, v) for t in texts] for v in range(sentencepiece_bpe.VARIANTS)}
+    seen = {v: [codec.encode(t, v) for t in texts] for v in range(9)}
     for found in seen.values():
         assert [codec.decode(x) for x in found] == texts
-    assert len({tuple(f[-1]) for f in seen.values()}) == sentencepiece_bpe.VARIANTS
+    assert len({tuple(f[-1]) for f in seen.values()}) == 9
     assert all(len(f[-1]) > len(model.encode(texts[-1])) for f in seen.values())
-    again = sentencepiece_bpe.Pieces(dropout=0.3)
+    again = pieces(dropout=0.3)
     assert [again.encode(t, 1) for t in texts] == seen[1]
-    other = sentencepiece_bpe.Pieces(dropout=0.3, seed=9)
+    other = pieces(dropout=0.3, seed=9)
     assert other.encode(texts[-1], 1) != seen[1][-1]
 
 
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31
+
+
+def plain_dropout(model, runs, doc_id, seed, limit):
+    """Pieces of runs: in each the best pair is looked for again and again among those not skipped before."""
+    golden, found = 0x9E3779B97F4A7C15, []
+    key = plain_mix(xxhash.xxh64_intdigest(str(doc_id)) + seed & 2**64 - 1)
+    for place, run in enumerate(runs):
+        name = plain_mix(key + place * golden & 2**64 - 1)
+        symbols = [[i, c] for i, c in enumerate(run.replace(" ", "▁"))]
+        out, n = set(), 0
+        while True:
+            best = None
+            for (i, a), (j, b) in zip(symbols, symbols[1:]):
+                number = model.piece_to_id(a + b)
+                if number and (i, j, a + b) not in out and (best is None or model.get_score(number) > best[0]):
+                    best = model.get_score(number), i, j, a + b
+            if best is None:
+                break
+            word = plain_mix(name + (n // 8 + 1) * golden & 2**64 - 1)
+            if word >> 8 * (n % 8) & 255 < limit:
+                out.add(best[1:])
+            else:
+                at = next(k for k, (i, _) in enumerate(symbols) if i == best[1])
+                symbols[at : at + 2] = [[best[1], best[3]]]
+            n += 1
+        for _, s in symbols:
+            number = model.piece_to_id(s)
+            found += [number] if number else [model.piece_to_id(f"<0x{b:02X}>") for b in s.encode()]
+    return found
+
+
+def test_dropout_is_the_plain_one_for_every_occurrence(model):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("theinorsdaé日") for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    words += ["".join(rng.choice("theinors") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    codec = pieces(dropout=0.2, seed=5)
+    for doc_id in range(4):
+        text = " ".join(rng.choices(words, k=300))
+        runs = codec.runs.findall(" " + text)
+        assert codec.encode(text, doc_id) == plain_dropout(model, runs, doc_id, 5, round(0.2 * 256))
+
+
+def test_documents_and_occurrences_are_segmented_for_themselves():
+    codec = pieces(dropout=0.3)
+    word = "internationalisation"
+    alone = {tuple(codec.encode(word, i)) for i in range(200)}
+    assert len(alone) > 20
+    ids, cut = codec.encode(" ".join([word] * 200), 1), set()
+    at = 0
+    for _ in range(200):
+        part, size = [], 0
+        while size < len(word) + 1:
+            part.append(ids[at])
+            size, at = size + len(codec.bytes_of[ids[at]]), at + 1
+        cut.add(tuple(part))
+    assert len(cut) > 20
+
+
 def test_runs_are_worked_off_together_as_one_by_one():
-    codec, rng = sentencepiece_bpe.Pieces(dropout=0.2), random.Random(3)
-    runs = ["".join(rng.choice(" theinorsdaé日") for _ in range(rng.randrange(1, 80))) for _ in range(400)]
-    keys = [rng.randbytes(64) for _ in runs]
-    for run, key, found in zip(runs, keys, codec._work_off(runs, keys)):
-        alone = []
-        for symbol in codec._segment(codec._symbols(run), key):
-            alone += [codec.ids[symbol]] if symbol in codec.ids else codec._bytes(symbol)
-        assert np.frombuffer(found, np.int32).tolist() == alone, run
+    codec, rng = pieces(dropout=0.2), random.Random(3)
+    runs = ["".join(rng.choice(" theinorsdaé日") for _ in range(rng.randrange(1, 48))) for _ in range(400)]
+    skips = [rng.getrandbits(64) & rng.getrandbits(64) for _ in runs]
+    for run, bits, found, looked in zip(runs, skips, *codec._work_off(runs, skips)):
+        alone, n = codec._segment(codec._symbols(run), lambda k: k < 64 and bits >> k & 1)
+        ids = [i for x in alone for i in ([codec.ids[x]] if x in codec.ids else codec._bytes(x))]
+        assert (np.frombuffer(found, np.int32).tolist(), looked) == (ids, n), run
+
+
+def test_trees_that_are_forgotten_give_the_same(monkeypatch):
+    texts = [prose(i, 200) for i in range(20)]
+    expected = [pieces().encode(t, i) for i, t in enumerate(texts)]
+    monkeypatch.setattr(sentencepiece_bpe, "KEPT_BYTES", 0)
+    codec = pieces()
+    assert [codec.encode(t, i) for i, t in enumerate(texts)] == expected
 
 
 def test_digests():
@@ -284,7 +357,7 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, sf_dir).cache()
         counts.append(docs.count())
-        if name == "near duplicates":
+        if name == "simhash near-dedup":
             roots = simhash.near_duplicates(before).select("component_id").distinct().count()
             assert counts[-1] == roots
         if name == "secret scan":

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tagwise.llm import token_files
 from tagwise.llm.common import table
-from tagwise.llm.queries import TOKENIZER, queries
+from tagwise.llm.queries import queries
+from tagwise.llm.vocabularies import WORDS as TOKENIZER
 
 MODEL = tokenizers.Tokenizer.from_file(TOKENIZER)
 TEXTS = [
