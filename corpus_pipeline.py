@@ -5,6 +5,10 @@ the next: the classifier's rejects, all but one of each group of near duplicates
 placeholder), and what exceeds the target weights of domains and languages. The last stage gives each text as piece ids
 and as decoded from them.
 
+Null texts and ids, empty and very long texts and repeated rows pass through every stage as its operator's module says: a
+null text counts as empty, and of equal texts one stays. Columns beside those of ``documents`` are carried along under their
+names. An empty table gives an empty result.
+
 The stages have no SQL form, as a trained model and piece merges take part; the tests compare them with plain versions.
 """
 
@@ -12,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwise.llm import mixing, near_copies, quality_classifier, secrets, sentencepiece_bpe
+from tagwise.llm import mixing, quality_classifier, secrets, sentencepiece_bpe, simhash, vocabularies
 from tagwise.llm.common import stored, table
 
 #: Share of the tokens that reach the mixing stage to be kept, each document at most once.
@@ -24,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +40,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    codec = sentencepiece_bpe.Pieces()
-    return sentencepiece_bpe.decoded(sentencepiece_bpe.encoded(docs, codec), codec)
+    return sentencepiece_bpe.recoded(docs, sentencepiece_bpe.Pieces(vocabularies.PIECES))
 
 
 STAGES = [
     ("quality classifier", quality),
-    ("near duplicates", near_dedup),
+    ("simhash near-dedup", near_dedup),
     ("secret scan", secret_scan),
     ("mixing", mix),
     ("sentencepiece", encode),
