@@ -25,6 +25,8 @@ LEET = {
 SEPARATORS = " .-_~'·​‌‍﻿"
 ANY = "*#%"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Every other letter is one class to the character model, so its tables have at most 28 ** ORDER entries.
+OTHER = "\x7f"
 #: Log-prices: a look-alike, an any-letter mark, a dropped separator, a kept word end, a shortened run, an odd character,
 #: a letter written twice that is meant once.
 LEET_COST, ANY_COST, DROP_COST, END_COST, RUN_COST, ODD_COST, TWICE_COST = 1.0, 2.5, 0.3, 2.0, 0.3, 7.0, 2.5
@@ -34,19 +36,25 @@ TRIM = ".,;:?!\"'()[]{}<>&%#*/\\=_-~`"
 OUTER = "".join(c for c in TRIM if c not in ANY)
 #: Log-probability of a character of a token without letters that is meant as it stands.
 LITERAL = math.log(1 / 64)
+_NOT_ASCII = re.compile("[^\x00-\x7f]")
 _RUN = re.compile(r"([^\W\d_])\1")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
 
-def grams(words: Iterable[str]) -> Counter:
-    """Counts of all character n-grams up to ``ORDER`` of words between word ends."""
+def folded(word: str) -> str:
+    """The word as the character model reads it."""
+    return word if word.isascii() else _NOT_ASCII.sub(OTHER, word)
+
+
+def grams(words: Iterable[str] | dict[str, int]) -> Counter:
+    """Counts of all character n-grams up to ``ORDER`` of words between word ends; words may come with their counts."""
     found: Counter = Counter()
-    for word in words:
-        padded = " " * (ORDER - 1) + word + " "
-        for i in range(ORDER - 1, len(padded)):
-            for n in range(1, ORDER + 1):
-                found[padded[i - n + 1 : i + 1]] += 1
+    for word, n in words.items() if isinstance(words, dict) else Counter(words).items():
+        padded = " " * (ORDER - 1) + folded(word) + " "
+        for end in range(ORDER, len(padded) + 1):
+            for start in range(end - ORDER, end):
+                found[padded[start:end]] += n
     return found
 
 
@@ -110,7 +118,9 @@ def _search(steps: list, model: CharModel, beam: int = 0, least: float = -math.i
                 if total < floor:
                     break  # the options come by price
                 for char in out:
-                    if char == " " and state[-1] == " ":
+                    if char > "z":
+                        char = OTHER
+                    elif char == " " and state[-1] == " ":
                         continue
                     total += log(state, char)
                     state = start if char == " " else state[1:] + char
@@ -146,7 +156,7 @@ def _shortened(word: str, model: CharModel) -> list[str]:
         return decode(word, model)
 
     def value(reading: str) -> float:  # of what differs
-        padded = " " * (ORDER - 1) + reading + " "
+        padded = " " * (ORDER - 1) + folded(reading) + " "
         return sum(model.log(padded[i : i + ORDER - 1], padded[i + ORDER - 1]) for i in range(at, len(reading) + 1))
 
     once = word[:at] + word[at + 1 :]

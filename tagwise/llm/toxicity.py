@@ -1,9 +1,10 @@
 """Toxicity: words are restored from their obfuscated forms, then scored by a logistic model over a learnt word list.
 
-One pass over all documents counts the character model of the noisy channel. Two passes over a bounded sample of labelled
-documents learn the words and stems that mark toxic documents, and their weights; counts are summed by Spark, and what
-reaches the driver is bounded by the sample and the alphabets. One pass without a shuffle then scores every document: each distinct token is restored once per
-worker and kept in a bounded table.
+One pass over all documents counts their words, and the distinct ones give the character model of the noisy channel. Two
+passes over a bounded sample of labelled documents learn the words and stems that mark toxic documents, and their weights;
+counts are summed by Spark, and what reaches the driver is bounded by the sample and the model's 28 letters. One pass
+without a shuffle then scores every document: a worker restores each distinct token once, and keeps what it found in a
+bounded table from task to task.
 
 Null text counts as empty; an empty text gets the intercept's score; repeated rows are scored each; without labels all
 scores are 0.5; an empty table gives an empty result. Other columns are not read.
@@ -11,6 +12,7 @@ scores are 0.5; an empty table gives an empty result. Other columns are not read
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +32,12 @@ STEMS = (4, 5, 7)
 SEVERAL = (2, 3)
 MIN_DOCS = 5
 MAX_FEATURES = 400
-#: Tokens that a worker keeps the features of.
-KEPT = 1 << 18
-#: Grams that are fewer than one in so many characters are left out of the character model, to bound its table.
-RAREST = 1 << 24
+#: Tokens that a worker keeps the features of, and the longest that it does.
+KEPT, LONGEST = 1 << 19, 64
+#: Distinct words that a task counts before it passes the counts on.
+COUNTED = 1 << 18
+#: What this process's readers have restored, by the reader's name.
+_LIVE: dict[str, dict[str, tuple[str, ...]]] = {}
 
 
 def tokens_of(text: str) -> set[str]:
@@ -54,18 +58,26 @@ class Reader:
     """Features of texts, of which only those in ``names`` count if it is given."""
 
     def __init__(self, model: CharModel, names: dict[str, int] | None = None) -> None:
-        self.model, self.names, self.seen = model, names, {}
+        self.model, self.names = model, names
+        self.name = uuid.uuid4().hex
         self.forms = None if names is None else {n.rstrip("0123456789") if "*" in n else n for n in names}
 
+    @property
+    def seen(self) -> dict[str, tuple[str, ...]]:
+        if self.name not in _LIVE:
+            _LIVE.clear()  # an earlier reader is not needed any more
+        return _LIVE.setdefault(self.name, {})
+
     def _forms(self, words: list[str]) -> tuple[str, ...]:
         forms = _forms(words)
         return tuple(forms if self.forms is None else forms & self.forms)
 
-    def _of_token(self, token: str) -> tuple[str, ...]:
+    def _of_token(self, token: str, seen: dict) -> tuple[str, ...]:
         found = self._forms(restored(token, self.model))
-        if len(self.seen) >= KEPT:
-            self.seen.clear()
-        self.seen[token] = found
+        if len(seen) >= KEPT:
+            seen.clear()
+        if len(token) <= LONGEST:
+            seen[token] = found
         return found
 
     def __call__(self, text: str) -> set:
@@ -74,7 +86,7 @@ class Reader:
         for token in set(tokens):
             got = seen.get(token)
             if got is None:
-                got = self._of_token(token)
+                got = self._of_token(token, seen)
             if got:
                 counts.update(got)
         if sum(map((1).__eq__, map(len, tokens))) > 2:
@@ -91,28 +103,28 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def _char_model(docs: DataFrame) -> CharModel:
     """The character model of all rows; each distinct word of a text counts once."""
 
-    def sums(words: Counter) -> pa.RecordBatch:
-        found: Counter = Counter()
-        for word, n in words.items():
-            for gram in grams([word]).items():
-                found[gram[0]] += gram[1] * n
-        columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "n"])
+    def rows(counts: Counter, name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], [name, "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for batch in slices(batches):
             for text in _texts(batch):
-                words.update(w for w in (x.strip(".,;:!?") for x in tokens_of(text)) if w.isalpha())
-            if len(words) >= KEPT:
-                yield sums(words)
-                words.clear()
-        yield sums(words)
-
-    counts = stored(docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    whole = counts.where("char_length(gram) = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = counts.where(F.col("n") * RAREST >= whole).toArrow()
-    return CharModel(dict(sorted(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist()))))
+                found.update(w for w in {x.strip(".,;:!?") for x in tokens_of(text)} if w.isalpha())
+            if len(found) >= COUNTED:
+                yield rows(found, "word")
+                found = Counter()
+        yield rows(found, "word")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            found.update(grams(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()))))
+        yield rows(found, "gram")
+
+    distinct = docs.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = distinct.mapInArrow(parts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return CharModel(dict(sorted(zip(counts.column("gram").to_pylist(), counts.column("n").to_pylist()))))
 
 
 def _names(sample: DataFrame, model: CharModel, positive: int, negative: int) -> dict[str, int]:
