@@ -39,7 +39,7 @@ BLOCK = 1 << 20
 #: Rows of a batch of groups.
 BATCH = 1 << 16
 #: A table of frequent phrases is sent to all tasks up to so many bytes of text and rows, both counted.
-SMALL_BYTES, SMALL_ROWS = 8 << 20, 100_000
+SMALL_BYTES, SMALL_ROWS = 32 << 20, 1_000_000
 
 _BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("langs", "words", "lang_of", "codes", "here"))])
 _BLOCK_KIND = "block long, langs binary, words binary, lang_of binary, codes binary, here binary"
