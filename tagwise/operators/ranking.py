@@ -101,12 +101,13 @@ def leaders(
     depth: int = 3,
     n: int = 5,
     skip_unpriced: bool = False,
+    date: Day = None,
 ) -> DataFrame:
     """``shop, count``: the ``n`` shops most often among the ``depth`` cheapest offers of an article and day, over the
-    last ``days`` days of the frame. Offers without a price sort first, as cheapest, unless ``skip_unpriced``.
+    last ``days`` days up to ``date`` or to the last of the frame. Offers without a price sort first, as cheapest, unless ``skip_unpriced``.
     """
     cell = market_keys(offers, "article", "date")
-    rows = recent(offers, days)
+    rows = recent(offers, days, date)
     if skip_unpriced:
         rows = rows.filter(F.col(measure).isNotNull())
     place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col(measure).asc_nulls_first(), "shop"))

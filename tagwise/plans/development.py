@@ -23,6 +23,26 @@ def shop_series(
     return offers.select(*market_keys(offers, "article", "date"), "shop", F.col(measure).alias("value"))
 
 
+def min_line(daily: DataFrame) -> DataFrame:
+    """The daily minimum as a series, with the shop that has it."""
+    return daily.select(
+        *market_keys(daily, "article", "date"),
+        F.lit("min").alias("series"),
+        F.col("min_price").alias("value"),
+        F.col("min_price_shop").alias("shop"),
+    )
+
+
+def mean_line(daily: DataFrame) -> DataFrame:
+    """The daily mean as a series, without a shop."""
+    return daily.select(
+        *market_keys(daily, "article", "date"),
+        F.lit("mean").alias("series"),
+        F.col("mean_price").alias("value"),
+        F.lit(None).cast("string").alias("shop"),
+    )
+
+
 def _point(series: str, value: Column, shop: Column) -> Column:
     return F.struct(F.lit(series).alias("series"), value.alias("value"), shop.alias("shop"))
 
