@@ -94,42 +94,62 @@ def discount_histogram(
 ) -> DataFrame:
     """``shop, bin, bin_lo, bin_hi, count`` of discounts in equal bins over the shops' joint range (or ``lo..hi``).
 
-    The range comes from a scalar subquery; the top edge belongs to the last bin. Values outside a given range are not
-    counted.
+    Equal discounts of a shop are counted first; the range, a scalar subquery, and the bins both come from these counts,
+    whose exchange is made once. The top edge belongs to the last bin. Values outside a given range are not counted.
     """
     if shops is not None:
         df = df.filter(F.col("shop").isin(*shops))
-    disc = F.col(discount_of(measure))
-    df = df.filter(disc.isNotNull())
+    owner = market_keys(df, "shop")
+    disc = F.col("disc")
+    inside = disc.isNotNull()
+    if lo is not None:
+        inside = inside & (disc >= float(lo))
+    if hi is not None:
+        inside = inside & (disc <= float(hi))
+    counts = (
+        df.select(*owner, F.col(discount_of(measure)).alias("disc")).filter(inside)
+        .groupBy(*owner, "disc").agg(F.count("*").alias("n"))
+    )
     if lo is None or hi is None:
-        span = df.select(F.struct(F.min(disc).alias("lo"), F.max(disc).alias("hi"))).scalar()
+        # the number of rows is not used; without it the subquery's counts would be pruned and be others than the bins'
+        span = counts.select(F.struct(F.min(disc).alias("lo"), F.max(disc).alias("hi"), F.sum("n").alias("rows"))).scalar()
     low = F.lit(float(lo)) if lo is not None else span["lo"]
     high = F.lit(float(hi)) if hi is not None else span["hi"]
     place = F.floor((disc - low) / F.nullif(high - low, F.lit(0.0)) * bins) + 1
-    counts = (
-        df.filter(disc.between(low, high))
-        .select(*market_keys(df, "shop"), F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
-        .groupBy(*market_keys(df, "shop"), "bin")
-        .agg(F.count("*").alias("count"))
+    binned = (
+        counts.select(*owner, "n", F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
+        .groupBy(*owner, "bin")
+        .agg(F.sum("n").alias("count"))
     )
     width = (high - low) / bins
-    return counts.withColumns({"bin_lo": low + (F.col("bin") - 1) * width, "bin_hi": low + F.col("bin") * width})
+    return binned.withColumns({"bin_lo": low + (F.col("bin") - 1) * width, "bin_hi": low + F.col("bin") * width})
+
+
+def competitor_prices(near: DataFrame, measure: str = "price") -> DataFrame:
+    """``article, product, prices``: the lowest price of each shop as a map, whatever shops there are.
+
+    A map is as large as the number of shops near the cheapest of the article. Offers without a shop's name are left out,
+    as a matrix has no column for them.
+    """
+    keys = [*market_keys(near, "article"), "product"]
+    lowest = near.groupBy(*keys, "shop").agg(F.min(measure).alias("price"))
+    named = F.filter(F.collect_list(F.struct("shop", "price")), lambda x: x["shop"].isNotNull())
+    return lowest.groupBy(*keys).agg(F.map_from_entries(named).alias("prices"))
 
 
 def competitor_matrix(near: DataFrame, base_shop: str, shops: list[str], measure: str = "price") -> DataFrame:
     """``article, product``, the base shop and the other ``shops`` as columns, lowest price of each."""
-    others = [shop for shop in shops if shop != base_shop]
-    return (
-        near.groupBy(*market_keys(near, "article"), "product").pivot("shop", [base_shop, *others]).agg(F.min(measure))
+    columns = [base_shop, *(shop for shop in shops if shop != base_shop)]
+    keys = [*market_keys(near, "article"), "product"]
+    return competitor_prices(near, measure).select(
+        *keys, *[F.try_element_at("prices", F.lit(shop)).alias(shop) for shop in columns]
     )
 
 
-def unpivot_competitors(matrix: DataFrame, base_shop: str, shops: list[str]) -> DataFrame:
-    """The matrix as ``article, product, base_price, shop, price`` rows without empty cells."""
-    others = [shop for shop in shops if shop != base_shop]
-    keys = market_keys(matrix, "article", "product")
-    return (
-        matrix.withColumnRenamed(base_shop, "base_price")
-        .unpivot([*keys, "base_price"], others, "shop", "price")
-        .filter(F.col("price").isNotNull())
-    )
+def unpivot_competitors(prices: DataFrame, base_shop: str) -> DataFrame:
+    """``competitor_prices`` as ``article, product, base_price, shop, price`` rows of the other shops, without missing
+    prices."""
+    keys = market_keys(prices, "article", "product")
+    base = F.try_element_at("prices", F.lit(base_shop)).alias("base_price")
+    rows = prices.select(*keys, base, F.explode("prices").alias("shop", "price"))
+    return rows.filter((F.col("shop") != base_shop) & F.col("price").isNotNull())

@@ -1,0 +1,57 @@
+"""Joins of bucketed tables: no exchange, and the rows of the plain join."""
+
+import random
+import uuid
+
+import pytest
+
+from tagwise.operators import enrich
+from tagwise.sources import bucketed, metadata
+from tests.frames import D0, back, list_prices, offers, supply
+from tests.test_plans import physical
+
+
+@pytest.fixture(scope="module")
+def price_tables(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([D0, back(20)]), rng.choice([1, 7, 7, 7, rng.randrange(300), None]), "a", float(i)) for i in range(2000)]
+    named = [(a, y, f"p{a}", a + y / 10) for a in range(290) for y in (2023, 2024)]
+    frames = {
+        "offers": offers(spark, rows, "de"),
+        "lists": list_prices(spark, named),
+        "supplies": supply(spark, [(a, y, p, price * 0.3) for a, y, p, price in named]),
+        "platform": spark.createDataFrame([(a, a * 0.4) for a in range(290)], "article int, amz_price double"),
+    }
+    names = {key: f"{key}_{uuid.uuid4().hex[:8]}" for key in frames}
+    for key, df in frames.items():
+        bucketed.write_bucketed(df, names[key], 4)
+    yield frames, names
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
+
+
+JOINS = {
+    "lists": enrich.with_list_price,
+    "supplies": enrich.with_supply_price,
+    "platform": enrich.with_platform_price,
+}
+
+
+@pytest.mark.parametrize("side", JOINS)
+def test_bucketed_tables_join_without_an_exchange(spark, price_tables, side):
+    frames, names = price_tables
+    with metadata.settings(spark, bucketed.JOIN_SETTINGS | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        joined = JOINS[side](spark.table(names["offers"]), spark.table(names[side]))
+        plan = physical(joined)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert plan.count("Bucketed: true") == 2
+        expected = JOINS[side](frames["offers"], frames[side])
+        assert sorted(map(str, joined.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_plain_reads_of_bucketed_tables_exchange(spark, price_tables):
+    frames, names = price_tables
+    rows = bucketed.plain(spark, names["offers"])
+    assert sorted(map(str, rows.select(frames["offers"].columns).collect())) == sorted(map(str, frames["offers"].collect()))
+    with metadata.settings(spark, bucketed.JOIN_SETTINGS | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert "Exchange" in physical(enrich.with_list_price(rows, bucketed.plain(spark, names["lists"])))

@@ -99,7 +99,7 @@ def test_matrix_and_back_equals_the_report(spark):
     product = near.selectExpr("*", "cast(null as string) as product")
     matrix = matrices.competitor_matrix(product, "s0", shops)
     assert matrix.columns == ["article", "product", "s0", "s1", "s2", "s3", "s4"]
-    long = matrices.unpivot_competitors(matrix, "s0", shops).selectExpr("*", "price - base_price as diff")
+    long = matrices.unpivot_competitors(matrices.competitor_prices(product), "s0").selectExpr("*", "price - base_price as diff")
     widest = long.groupBy("article").agg({"diff": "max"}).filter("`max(diff)` >= 10").select("article")
     report = headroom.min_price_gaps(df, names(spark), base_shop="s0", depth=2)
     columns = ("article", "base_price", "shop", "price", "diff")

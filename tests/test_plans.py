@@ -189,3 +189,9 @@ def test_testbed_tables_have_the_declared_schemas(spark, sf_dir):
         (bed.market_offers.drop("year"), model.MARKET_OFFERS),
     ):
         assert [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in schema]
+
+
+@pytest.mark.parametrize("name", ["discount_histogram", "discount_histogram_all"])
+def test_histogram_counts_once(name, spark, sf_dir):
+    plan = final_plan(registry.queries()[name](spark, sf_dir))
+    assert re.search(r"ReusedExchange \[(country#\d+, )?shop", plan)  # the counts of the range are those of the bins
