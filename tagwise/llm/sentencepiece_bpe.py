@@ -10,7 +10,8 @@ exactly, whatever was dropped.
 
 What a run becomes depends on no more than the set of its candidates that are skipped. A worker remembers these sets as a
 tree per run: a node has the pieces, the number of candidates that were looked at on the way, and a child for each of
-them that may be skipped next. An occurrence goes down the tree by its own hash, and only new nodes are worked off.
+them that may be skipped next. An occurrence goes down the tree by its own hash, and only new nodes are worked off. A run
+gets a tree when it is seen for the second time.
 
 Null and empty texts have no pieces and decode to the empty text; null ids are keyed alike; repeated rows are encoded
 alike; an empty table gives an empty result. ``encoded`` keeps all columns of its input under their names and puts the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -47,6 +49,8 @@ LONG = 48
 WIDE = 64
 #: Numbers of characters that have no piece begin here.
 OTHER = 1 << 24
+#: Value of what is not in the agenda.
+NEVER = np.iinfo(np.int64).max
 #: Fixed values of a common 64-bit mixing function.
 _STEP, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -130,6 +134,7 @@ class Pieces:
 
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
+        self.once: set[str] = set()
         self.children: dict[int, int] = {}
         #: Of each node: pieces, candidates that were looked at, and run and skipped candidates that it stands for.
         self.pieces_of: list[bytes] = []
@@ -138,7 +143,7 @@ class Pieces:
         self.held = 0
 
     def __getstate__(self) -> dict:
-        left_out = ("roots", "children", "pieces_of", "looked", "of", "held")
+        left_out = ("roots", "once", "children", "pieces_of", "looked", "of", "held")
         return {k: v for k, v in self.__dict__.items() if k not in left_out}
 
     def __setstate__(self, state: dict) -> None:
@@ -186,7 +191,7 @@ class Pieces:
         return [s for s in symbols if s], looked
 
     def _pair_table(self) -> None:
-        """Sorted codes of all pairs of symbols that make a piece, with the piece and its place in the order of merges."""
+        """All pairs of symbols that make a piece, hashed, each with its value in the agenda: place and piece in one."""
         number = lambda x: self.ids.get(x, OTHER + ord(x[0]))
         pairs = {
             number(piece[:i]) << 32 | number(piece[i:]): i_piece
@@ -194,51 +199,84 @@ class Pieces:
             for i in range(1, len(piece))
             if (piece[:i] in self.ids or i == 1) and (piece[i:] in self.ids or i == len(piece) - 1)
         }
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
-        self.place = np.zeros(len(self.bytes_of))
+        scores = {self.scores[piece] for piece in self.ids if len(piece) > 1}
+        place = {score: k for k, score in enumerate(sorted(scores, reverse=True))}
+        value_of = {i: place[self.scores[piece]] << 32 | i for piece, i in self.ids.items() if len(piece) > 1}
+        codes = np.array(sorted(pairs), np.int64)
+        values = np.array([value_of[pairs[x]] for x in codes.tolist()], np.int64)
+        #: Tables of codes and values, each half as large as the one before; a pair is in the first with a free slot.
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        bits = max(8, len(codes).bit_length() + 2)
+        while len(codes):
+            slot = self._slots(codes, bits)
+            _, first = np.unique(slot, return_index=True)
+            keys, found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int64)
+            keys[slot[first]], found[slot[first]] = codes[first], values[first]
+            self.tables.append((bits, keys, found))
+            rest = np.ones(len(codes), bool)
+            rest[first] = False
+            codes, values, bits = codes[rest], values[rest], max(8, bits - 1)
+        self.symbol = np.arange(OTHER, OTHER + 0x110000, dtype=np.int64)
         for piece, i in self.ids.items():
-            self.place[i] = -self.scores[piece]
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
 
-    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The piece that two symbols make, and its place; infinity if none."""
-        code = left << 32 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        piece = self.merged[at]
-        return piece, np.where((self.pairs[at] == code) & (right >= 0), self.place[piece], np.inf)
+    @staticmethod
+    def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
+        mixed = codes.view(np.uint64) * np.uint64(_MIX[bits % 2] + 2 * bits)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The agenda's value of two symbols that make a piece; ``NEVER`` if they make none."""
+        shape = left.shape
+        code = (left << 32 | right).ravel()
+        code[right.ravel() < 0] = -2
+        found = np.full(len(code), NEVER, np.int64)
+        open_ = None
+        for bits, keys, values in self.tables:
+            some = code if open_ is None else code[open_]
+            slot = self._slots(some, bits)
+            hit = keys[slot] == some
+            if open_ is None:
+                found[hit] = values[slot[hit]]
+                open_ = np.flatnonzero(~hit)
+            else:
+                found[open_[hit]] = values[slot[hit]]
+                open_ = open_[~hit]
+        return found.reshape(shape)
 
     def _segment_alike(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``_segment`` for many runs of one length at once, with the set of skipped candidates of each as bits; rows of
         symbols, in the end filled up with -1, and how many candidates were looked at."""
         n, width = symbols.shape
         looked = np.zeros(n, np.int64)
-        piece, agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
-        rows = np.arange(n)
+        agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
+        rows, behind = np.arange(n), np.arange(width - 1)
         while len(rows):
-            best = agenda[rows].argmin(axis=1)
-            open_ = agenda[rows, best] < np.inf
-            rows, best = rows[open_], best[open_]
-            new = piece[rows, best]
+            own = agenda[rows]
+            best = (own >> 32).argmin(axis=1)  # the leftmost of the best place
+            value = own[np.arange(len(rows)), best]
+            open_ = value < NEVER
+            rows, best, value = rows[open_], best[open_], value[open_]
             nth = looked[rows]
             skip = (skips[rows] >> np.minimum(nth, WIDE - 1).astype(np.uint64) & np.uint64(1) > 0) & (nth < WIDE)
             looked[rows] += 1
-            agenda[rows[skip], best[skip]] = np.inf
-            r, i, new = rows[~skip], best[~skip], new[~skip]
-            behind = np.arange(width - 1)
+            agenda[rows[skip], best[skip]] = NEVER
+            r, i = rows[~skip], best[~skip]
             take = behind + (behind > i[:, None])  # all but the right one of the two
-            symbols[r, :-1] = np.take_along_axis(symbols[r], take, axis=1)
-            symbols[r, -1] = -1
-            symbols[r, i] = new
+            line = symbols[r]
+            each = np.arange(len(r))
+            shifted = line[each[:, None], take]
+            shifted[each, i] = value[~skip] & 0xFFFFFFFF
+            symbols[r, :-1], symbols[r, -1] = shifted, -1
             take = np.minimum(behind + (behind >= i[:, None]), width - 2)  # all but their own pair
-            for part in (piece, agenda):
-                part[r] = np.take_along_axis(part[r], take, axis=1)
-            agenda[r, -1] = np.inf
-            inner = i < width - 1
-            a, b = r[inner], i[inner]
-            piece[a, b], agenda[a, b] = self._looked_up(symbols[a, b], symbols[a, b + 1])
-            inner = i > 0
-            a, b = r[inner], i[inner]
-            piece[a, b - 1], agenda[a, b - 1] = self._looked_up(symbols[a, b - 1], symbols[a, b])
+            moved = agenda[r][each[:, None], take]
+            moved[:, -1] = NEVER
+            inner = np.flatnonzero(i < width - 2)
+            moved[inner, i[inner]] = self._looked_up(shifted[inner, i[inner]], shifted[inner, i[inner] + 1])
+            inner = np.flatnonzero(i > 0)
+            moved[inner, i[inner] - 1] = self._looked_up(shifted[inner, i[inner] - 1], shifted[inner, i[inner]])
+            agenda[r] = moved
         return symbols, looked
 
     def _symbols(self, run: str) -> list[str]:
@@ -254,39 +292,38 @@ class Pieces:
         symbols, looked = self._segment(self._symbols(run), skipped)
         return _packed(y for x in symbols for y in ([self.ids[x]] if x in self.ids else self._bytes(x))), looked
 
-    def _work_off(self, runs: list[str], skips: list[int]) -> tuple[list[bytes], list[int]]:
+    def _work_off(self, runs: list[str], skips: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The pieces of runs, packed as 32-bit numbers, and how many candidates each looked at."""
         found: list[bytes] = [b""] * len(runs)
-        looked = [0] * len(runs)
-        alike: dict[int, list[int]] = {}
-        for k, run in enumerate(runs):
-            if BLANK in run:
-                bits = skips[k]
-                found[k], looked[k] = self._alone(run, lambda n: n < WIDE and bool(bits >> n & 1))  # noqa: B023
-            else:
-                alike.setdefault(len(run), []).append(k)
-        for width, members in alike.items():
-            joined = "".join([runs[k] for k in members]).replace(" ", BLANK)
-            numbers = {c: self.ids.get(c, OTHER + ord(c)) for c in set(joined)}
-            symbols = np.array([numbers[c] for c in joined], np.int64).reshape(-1, width)
+        looked = np.zeros(len(runs), np.int64)
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        for k in [k for k, run in enumerate(runs) if BLANK in run]:
+            bits, size[k] = int(skips[k]), 0
+            found[k], looked[k] = self._alone(runs[k], lambda n: n < WIDE and bool(bits >> n & 1))  # noqa: B023
+        order = np.argsort(size, kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            width = int(size[members[0]]) if len(members) else 0
+            if not width:
+                continue
+            nths = members.tolist()
+            joined = "".join([runs[k] for k in nths]).replace(" ", BLANK)
+            symbols = self.symbol[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")].reshape(-1, width)
             if width > 1:
-                symbols, n = self._segment_alike(symbols, np.array([skips[k] for k in members], np.uint64))
-                for k, m in zip(members, n.tolist()):
-                    looked[k] = m
+                symbols, looked[members] = self._segment_alike(symbols, skips[members])
             packed, step = symbols.astype(np.int32).tobytes(), 4 * width
             ends = 4 * (symbols >= 0).sum(axis=1) + step * np.arange(len(members))
-            for k, start, end in zip(members, range(0, len(packed), step), ends.tolist()):
+            for k, start, end in zip(nths, range(0, len(packed), step), ends.tolist()):
                 found[k] = packed[start:end]
             for nth in np.flatnonzero((symbols >= OTHER).any(axis=1)).tolist():
                 row = [x for x in symbols[nth].tolist() if x >= 0]
-                found[members[nth]] = _packed(
+                found[nths[nth]] = _packed(
                     y for x in row for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))
                 )
         return found, looked
 
     def _grow(self, runs: list[str], skips: list[int]) -> range:
         """New nodes for runs and their skipped candidates."""
-        packed, looked = self._work_off(runs, skips)
+        packed, looked = self._work_off(runs, np.array(skips, np.uint64))
         first = len(self.pieces_of)
         self.pieces_of += packed
         self.of += zip(runs, skips)
@@ -296,6 +333,14 @@ class Pieces:
         self.held += sum(map(len, packed)) + 260 * len(runs)
         return range(first, len(self.of))
 
+    def _rare(self, runs: list[str]) -> set[str]:
+        """Runs that occur once here and were not seen before; they get a tree only when they are seen again."""
+        new = set(runs).difference(self.roots)
+        rare = {run for run, n in Counter(filter(new.__contains__, runs)).items() if n == 1} - self.once
+        self.once |= rare
+        self.held += 130 * len(rare)
+        return rare
+
     def _nodes(self, runs: list[str], names: np.ndarray) -> np.ndarray:
         """The node of each occurrence of a run of at most ``LONG`` characters."""
         new = list(set(runs).difference(self.roots))
@@ -340,8 +385,18 @@ class Pieces:
         long = {k: runs[k] for k in np.flatnonzero(np.fromiter(map(len, runs), np.int64, len(runs)) > LONG).tolist()}
         for k in long:
             runs[k] = " "
+        rare = self._rare(runs)
+        alone = np.array([k for k, run in enumerate(runs) if run in rare], np.int64)
+        rare_runs = [runs[k] for k in alone.tolist()]
+        for k in alone.tolist():
+            runs[k] = " "
         node = self._nodes(runs, names)
         found = list(map(self.pieces_of.__getitem__, node.tolist()))
+        packed, looked = self._work_off(rare_runs, self.draws.bits(names[alone], range(WIDE // 8)))
+        for k, run, ids, n in zip(alone.tolist(), rare_runs, packed, looked.tolist()):
+            found[k] = ids
+            if n > WIDE:
+                long[k] = run
         for k in np.flatnonzero(self.looked[node] > WIDE).tolist():
             long.setdefault(k, runs[k])
         for k, run in long.items():

@@ -281,7 +281,7 @@ def test_runs_are_worked_off_together_as_one_by_one():
     codec, rng = pieces(dropout=0.2), random.Random(3)
     runs = ["".join(rng.choice(" theinorsdaé日") for _ in range(rng.randrange(1, 48))) for _ in range(400)]
     skips = [rng.getrandbits(64) & rng.getrandbits(64) for _ in runs]
-    for run, bits, found, looked in zip(runs, skips, *codec._work_off(runs, skips)):
+    for run, bits, found, looked in zip(runs, skips, *codec._work_off(runs, np.array(skips, np.uint64))):
         alone, n = codec._segment(codec._symbols(run), lambda k: k < 64 and bits >> k & 1)
         ids = [i for x in alone for i in ([codec.ids[x]] if x in codec.ids else codec._bytes(x))]
         assert (np.frombuffer(found, np.int32).tolist(), looked) == (ids, n), run
