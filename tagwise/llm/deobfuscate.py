@@ -37,7 +37,7 @@ OUTER = "".join(c for c in TRIM if c not in ANY)
 #: Log-probability of a character of a token without letters that is meant as it stands.
 LITERAL = math.log(1 / 64)
 _NOT_ASCII = re.compile("[^\x00-\x7f]")
-_RUN = re.compile(r"([^\W\d_])\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
@@ -151,8 +151,8 @@ def decode(token: str, model: CharModel) -> list[str]:
 
 def _shortened(word: str, model: CharModel) -> list[str]:
     """What ``decode`` finds for letters of which some come twice; if only two do, by comparing the two readings."""
-    at = _RUN.search(word).start()
-    if _RUN.search(word, at + 1):
+    at = DOUBLE.search(word).start()
+    if DOUBLE.search(word, at + 1):
         return decode(word, model)
 
     def value(reading: str) -> float:  # of what differs
@@ -173,7 +173,7 @@ def restored(token: str, model: CharModel) -> list[str]:
         found = [word]
         if outer[0] in ANY or outer[-1] in ANY:
             found = decode(outer, model)
-        elif _RUN.search(word):
+        elif DOUBLE.search(word):
             found = _shortened(word, model)
         return found if word in found or _THRICE.search(word) else [*found, word]
     if outer[0] in ANY or outer[-1] in ANY:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagwise.llm.common import slices, stored
-from tagwise.llm.deobfuscate import CharModel, decode, grams, restored, spaced_runs
+from tagwise.llm.deobfuscate import DOUBLE, CharModel, decode, grams, restored, spaced_runs
 from tagwise.llm.learning import held_out, training_sample
 
 MAX_TRAINING_ROWS = 20_000
@@ -61,6 +61,7 @@ class Reader:
         self.model, self.names = model, names
         self.name = uuid.uuid4().hex
         self.forms = None if names is None else {n.rstrip("0123456789") if "*" in n else n for n in names}
+        self.starts = None if names is None else [(n, {f[:n] for f in self.forms if f[n:] == "*"}) for n in STEMS]
 
     @property
     def seen(self) -> dict[str, tuple[str, ...]]:
@@ -72,8 +73,19 @@ class Reader:
         forms = _forms(words)
         return tuple(forms if self.forms is None else forms & self.forms)
 
+    def _hopeless(self, token: str) -> bool:
+        """Whether a token of letters has no feature in either of its readings, which is soon told."""
+        if self.forms is None or not token.isalpha():
+            return False
+        readings = [token]
+        if double := DOUBLE.search(token):
+            readings.append(token[: double.start()] + token[double.start() + 1 :])
+            if DOUBLE.search(token, double.start() + 1):
+                return False
+        return not any(w in self.forms or any(w[:n] in starts for n, starts in self.starts) for w in readings)
+
     def _of_token(self, token: str, seen: dict) -> tuple[str, ...]:
-        found = self._forms(restored(token, self.model))
+        found = () if self._hopeless(token.rstrip(".,;:")) else self._forms(restored(token, self.model))
         if len(seen) >= KEPT:
             seen.clear()
         if len(token) <= LONGEST:

@@ -48,3 +48,16 @@ def test_the_search_is_exact():
                 total += sum(model.log(padded[i : i + 3], padded[i + 3]) for i in range(len(word) + 1))
             best = max(best, total)
         assert abs(value - best) < 1e-9, token
+
+
+def test_tokens_without_hope_have_no_feature():
+    rng = random.Random(2)
+    model = CharModel(grams(WORDS))
+    names = {n: i for i, n in enumerate(["idiot", "ass", "stup*", "loser", "worth*2", "moron"])}
+    quick, plain = toxicity.Reader(model, names), toxicity.Reader(model, names)
+    plain._hopeless = lambda token: False
+    words = ["".join(rng.choice("idotasupe") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    words += [w + rng.choice(["", "s", "ss", "."]) for w in WORDS] + ["iidiot", "asss", "stupp", "worthh", "st", "stup"]
+    assert any(map(quick._hopeless, words)) and not all(map(quick._hopeless, words))
+    for word in words:
+        assert quick._of_token(word, {}) == plain._of_token(word, {}), word
