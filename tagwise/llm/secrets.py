@@ -2,8 +2,8 @@
 
 Each rule's expression gives a Boolean query over lower-case trigrams. The index holds a posting (trigram, document) for
 every trigram that any rule asks for. Postings meet the rules' queries, a bounded table, are intersected per document
-with bit masks, and leave candidates (document, rules). Texts join their candidate rules and are verified there; a rule
-without mandatory trigrams is verified on every text. Verification alone decides, so the index only saves work.
+with bit masks, and leave candidates (document, rules). Texts join their candidate rules by id and hash and are verified
+there; a rule without mandatory trigrams is verified on every text. Verification alone decides, so the index only saves work.
 
 Null text counts as empty; null and repeated ids are safe, as rows of one id share candidates and are verified each;
 documents without a secret have counts of 0 and empty spans; an empty table gives an empty result. ``redacted`` keeps all
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagwise.llm.common import let, text_of
+from tagwise.llm.common import broadcast_if_small, let, stored, text_of
 from tagwise.llm.learning import free_name
 from tagwise.llm.trigrams import query_of
 
@@ -32,14 +32,13 @@ class Rule:
 
 
 #: What follows a private key's first line: all up to its last line; where that is missing the headers, the base64 and what
-#: may be its shorter last line. Only what the expressions of Java, DuckDB and Python have in common. Groups repeat a fixed
-#: number of times, as Java takes a stack frame for each: plain lines are one class without a limit, indented ones are 300
-#: at most, where the largest RSA keys have about 200, and lines parted by blanks alone 51.
+#: may be its shorter last line, each of any number. Repeats are possessive (``*+``), so that Java's matcher loops where it
+#: would take a stack frame for each; nothing that follows them can begin within them, so they match as greedy ones do.
 KEY_BODY = (
-    r"(?:[A-Za-z0-9+/=:,.\\\x20\x09-\x0D]*(?:-[A-Za-z0-9+/=:,.\\\x20\x09-\x0D]+){0,16}-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[\\\x20\x09-\x0D]*[A-Z][A-Za-z]*-[A-Z][A-Za-z]*: [^\x0A\x0D]*){0,8}"
-    r"(?:[\\\x20\x09-\x0D]*[A-Za-z0-9+/=]{20,}(?:[\x20\x09]+[A-Za-z0-9+/=]{20,}){0,50}(?:[\x20\x09]+[A-Za-z0-9+/]+={1,2})?"
-    r"(?:[\x20\x09]*[\\\x0A\x0D]+[\x20\x09]+[A-Za-z0-9+/=]+){0,300}[A-Za-z0-9+/=\\\x0A\x0D]*)?)"
+    r"(?:[A-Za-z0-9+/=:,.\\\x20\x09-\x0D]*+(?:-[A-Za-z0-9+/=:,.\\\x20\x09-\x0D]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\\\x20\x09-\x0D]*+[A-Z][A-Za-z]*+-[A-Z][A-Za-z]*+: [^\x0A\x0D]*+)*+"
+    r"(?:[\\\x20\x09-\x0D]*+[A-Za-z0-9+/=]{20,}+(?:[\x20\x09]++[A-Za-z0-9+/=]{20,}+)*+(?:[\x20\x09]++[A-Za-z0-9+/]++={1,2})?+"
+    r"(?:[\x20\x09]*+[\\\x0A\x0D]++[\x20\x09]++[A-Za-z0-9+/=]++)*+[A-Za-z0-9+/=\\\x0A\x0D]*+)?)"
 )
 #: The first three are fixed by the contract, the others added; spans list them in this order.
 RULES = (
@@ -56,6 +55,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 PLACEHOLDER = "[SECRET]"
+#: Candidates (three numbers each) that may be broadcast.
+FEW = 500_000
 
 
 def _query_rows(rules: tuple[Rule, ...]) -> list[tuple[str, int, int, int, int, int]]:
@@ -68,27 +69,33 @@ def _query_rows(rules: tuple[Rule, ...]) -> list[tuple[str, int, int, int, int,
     return rows
 
 
+def _hash(text: Column) -> Column:
+    """Beside the id, so that rows without one are spread over the tasks by their texts."""
+    return F.xxhash64(text_of(text))
+
+
 def postings(docs: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
-    """The inverted index: ``trigram, doc_id`` for the given lower-case trigrams."""
+    """The inverted index: ``trigram, doc_id, text_hash`` for the given lower-case trigrams."""
     present = let(F.lower(text_of(text)), lambda t: F.filter(F.lit(grams), lambda g: F.contains(t, g)))
-    return docs.select("doc_id", F.explode(present).alias("trigram"))
+    return docs.select("doc_id", _hash(docs[text]).alias("text_hash"), F.explode(present).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``of_id, rules``: a bit per rule whose query the document's postings satisfy."""
+    """``of_id, of_hash, rules``: a bit per rule whose query the document's postings satisfy."""
     rows = _query_rows(rules)
     plan = docs.sparkSession.createDataFrame(rows, "trigram string, rule int, run int, alt int, bit long, all long")
     index = postings(docs, sorted({r[0] for r in rows}))
     alternatives = (
         index.join(F.broadcast(plan), "trigram")  # as many rows as the rules have trigrams
-        .groupBy("doc_id", "rule", "run", "alt", "all").agg(F.bit_or("bit").alias("bits"))
+        .groupBy("doc_id", "text_hash", "rule", "run", "alt", "all").agg(F.bit_or("bit").alias("bits"))
         .where(F.col("bits") == F.col("all"))
     )
     runs = {r: len(query_of(rule.pattern)) for r, rule in enumerate(rules)}
     needed = F.create_map(*(F.lit(x) for pair in runs.items() for x in pair))[F.col("rule")]
-    met = alternatives.groupBy("doc_id", "rule").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("runs"))
+    met = alternatives.groupBy("doc_id", "text_hash", "rule").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("runs"))
     whole = met.where(F.bit_count("runs") == needed)
-    return whole.groupBy(F.col("doc_id").alias("of_id")).agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    document = [F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")]
+    return whole.groupBy(*document).agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def _matches(text: Column, rule: Rule, order: int) -> Column:
@@ -116,9 +123,13 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
 
 
 def _verified(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the sorted spans of all rules."""
-    chosen = candidates(docs, rules)
-    asked = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of_id"]), "left")
+    """``docs`` with the sorted spans of all rules.
+
+    The candidates are stored: a few go to the texts, and many meet them over an exchange of which a hot part can be split.
+    """
+    chosen = broadcast_if_small(stored(candidates(docs, rules)), FEW)
+    same = docs["doc_id"].eqNullSafe(chosen["of_id"]) & (_hash(docs["text"]) == chosen["of_hash"])
+    asked = docs.join(chosen, same, "left")
     text = text_of(docs["text"])
     each = []
     for r, rule in enumerate(rules):

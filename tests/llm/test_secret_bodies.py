@@ -25,6 +25,10 @@ def test_nothing_of_a_secret_is_left(spark):
         " ".join([HEAD, *BODY, END]), "\n    ".join([HEAD, *BODY, END]), "\n".join([HEAD, *ENCRYPTED, *BODY, END]),
         "\n".join([HEAD, *BODY]), "\n".join([HEAD, *ENCRYPTED, *BODY]), "\n  ".join([HEAD, *BODY]), " ".join([HEAD, *BODY]),
         "\n".join([HEAD, *(line(64) for _ in range(3000))]),
+        "\n".join([HEAD, *(f"X-H{'abcdefghi'[i]}: a-b" for i in range(9)), "", *BODY, END]),
+        "\n".join([HEAD, *(f"X-H{'abcdefghi'[i]}: a-b" for i in range(9)), "", *BODY]),
+        "\n    ".join([HEAD, *(line(64) for _ in range(400))]), "\n\t".join([HEAD, *(line(64) for _ in range(20_000))]),
+        " ".join([HEAD, *(line(64) for _ in range(20_000))]), "\n    ".join([HEAD, *(line(64) for _ in range(20_000)), END]),
     ]
     logins = [f"https://me:{LONG}@host", f"https://{LONG}:x@host", f"redis://:{LONG}@host", f"ftp://me:a:{LONG}@host"]
     texts = [f"é before {x} \n\n after, all this." for x in [*keys, *logins]]
@@ -41,3 +45,21 @@ def test_a_header_alone_takes_no_prose(spark):
     assert sorted(r.text for r in found) == sorted(
         ["[SECRET] is how a key begins, in short lines of text.", "[SECRET]\nThe text goes on.", "[SECRET] and so on"]
     )
+
+
+def test_keys_are_found_as_by_greedy_repeats(spark):
+    """The possessive repeats against another engine's greedy ones, on keys, broken keys and prose."""
+    import duckdb
+    import pyarrow as pa
+
+    from tagwise.llm import sql
+
+    parts = [HEAD, END, *BODY[:4], line(11) + "=", line(20), line(19), "X-H: a-b", "Comment: x", "-", "\\n", "\n", "\n  ", " ", "\t", "word", "é."]
+    texts = ["".join(RNG.choice(parts) for _ in range(RNG.randrange(1, 30))) for _ in range(600)]
+    texts = [RNG.choice(["", HEAD, HEAD + "\n"]) + t for t in texts]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)], clashes=False)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    expected = {r[0]: r[-1] for r in con.sql(sql.secrets(secrets.RULES, secrets.BASE)).fetchall()}
+    found = {r.doc_id: r.spans for r in secrets.secret_spans(docs).collect()}
+    assert found == expected
