@@ -1,10 +1,12 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Each document gets integer rates. Per (lang, source) and rate, a sketch counts values in buckets of at most 3 % relative
-width; sketches merge by adding counts, so a language's sketch is the sum of its sources' and the corpus' that of all
-languages. The rates' quartiles, read from the sketch, give a fence: upper quartile plus three interquartile ranges plus
-a fixed slack. A source with few documents takes its language's fences, a language with few the corpus'. Documents join
-the fences of their group; those outside any fence are not kept.
+Each document gets integer rates. Per (lang, source) and rate, a sketch counts the values of the documents that pass the
+base rules in buckets of at most 3 % relative width; sketches merge by adding counts, so a language's sketch is the sum of
+its sources' and the corpus' that of all languages. Fences are read from the sketch. Where most values of a rate are zero,
+the fence is a high quantile of the others; else it is the upper (and for the word length the lower) quartile and three
+interquartile ranges. A source with too few values for a rate takes its language's fence, a language the corpus'. Documents
+join the fences of their group; those outside any fence are not kept. No fence is a fixed number: what is unusual in one
+source may be usual in another.
 
 Null text counts as empty; null language or source is a group of its own; repeated rows count each time; an empty table
 gives an empty result; other columns of the input are not read, so their names cannot clash.
@@ -19,10 +21,14 @@ from tagwise.llm.common import BLANKS, let, stored, text_of, words
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rate -> slack of its fence. Rates are per mille, the word length is in tenths of a character.
-SLACK = {"symbol_rate": 60, "dup_line_rate": 500, "repeat_rate": 280, "word_length": 30}
-SPREAD = 3
-MIN_GROUP = 50
+#: Rates are per mille, the word length is in tenths of a character.
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
+#: Interquartile ranges beyond the quartiles, and the one step beyond that where all values are tied.
+SPREAD, TIE = 3, 1
+#: Percentile of the values that are not zero, where most are.
+HIGH = 95
+#: Values that a group needs for quartiles, and values other than zero for the high percentile.
+MIN_GROUP, MIN_OTHERS = 50, 40
 #: Values below this have a bucket of their own, larger ones share half as many buckets per power of two.
 FINE = 64
 
@@ -103,7 +109,7 @@ def lowest_of(bucket: Column) -> Column:
 def sketches(rates: DataFrame, keys: list[str]) -> DataFrame:
     """Counts ``n`` by ``keys``, rate and bucket."""
     long = rates.select(
-        *keys, F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bucket_of(F.col(r)).alias("bucket")) for r in SLACK)))
+        *keys, F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bucket_of(F.col(r)).alias("bucket")) for r in RATES)))
     )
     return long.groupBy(*keys, "col.rate", "col.bucket").agg(F.count("*").alias("n"))
 
@@ -113,47 +119,62 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Per group of ``keys`` a struct ``name`` of its number of documents and, per rate, the two fences."""
+    """Per group of ``keys`` a struct ``name`` that has for each rate ``enough, low, high``."""
     group = Window.partitionBy(*keys, "rate")
-    seen = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("of", F.sum("n").over(group))
+    total = lambda n: F.coalesce(F.sum(n).over(group), F.lit(0))
+    seen = (
+        sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("of", total("n"))
+        .withColumn("zeros", total(F.when(F.col("bucket") == 0, F.col("n"))))
+    )
     at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("of") * percent, F.col("bucket")))
-    slack = F.create_map(*(F.lit(x) for pair in SLACK.items() for x in pair))[F.col("rate")]
-    quartiles = (
+    others = (F.col("bucket") > 0) & ((F.col("upto") - F.col("zeros")) * 100 >= (F.col("of") - F.col("zeros")) * HIGH)
+    reach = SPREAD * (F.col("q3") - F.col("q1")) + TIE
+    found = (
         seen.groupBy(*keys, "rate")
-        .agg(F.max("of").alias("of"), lowest_of(at(25)).alias("q1"), lowest_of(at(75)).alias("q3"))
-        .withColumn("low", F.col("q1") - SPREAD * (F.col("q3") - F.col("q1")) - slack)
-        .withColumn("high", F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + slack)
-    )
-    pick = lambda rate, x: F.max(F.when(F.col("rate") == rate, F.col(x)))
-    both = [pick(r, x).alias(f"{r}_{x}") for r in SLACK for x in ("low", "high")]
-    one = quartiles.groupBy(*keys).agg(F.max("of").alias("of"), *both)
-    return one.select(*keys, F.struct(*(c for c in one.columns if c not in keys)).alias(name))
+        .agg(
+            F.max("of").alias("of"), (F.max("of") - F.max("zeros")).alias("others"), lowest_of(at(25)).alias("q1"),
+            lowest_of(at(75)).alias("q3"), lowest_of(F.min(F.when(others, F.col("bucket")))).alias("top"),
+        )
+        .withColumn("dense", 2 * F.col("others") > F.col("of"))
+        .select(
+            *keys, "rate",
+            F.when(F.col("dense"), F.col("of") >= MIN_GROUP).otherwise(F.col("others") >= MIN_OTHERS).alias("enough"),
+            F.when(F.col("dense") & (F.col("rate") == "word_length"), F.col("q1") - reach).alias("low"),
+            F.when(F.col("dense"), F.col("q3") + reach).otherwise(F.col("top")).alias("high"),
+        )
+    )
+    pick = lambda rate: F.max(F.when(F.col("rate") == rate, F.struct("enough", "low", "high"))).alias(rate)
+    one = found.groupBy(*keys).agg(*map(pick, RATES))
+    return one.select(*keys, F.struct(*RATES).alias(name))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document with its statistics, ``base_failed`` and ``kept``."""
-    rates = stored(measured(docs))
-    by_source = sketches(rates, ["lang", "source"]).withColumn("corpus", F.lit(0))
+    base_failed = (F.col("n_words") < MIN_WORDS) | (
+        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    )
+    rates = stored(measured(docs).withColumn("base_failed", base_failed))
+    by_source = sketches(rates.where("not base_failed"), ["lang", "source"]).withColumn("corpus", F.lit(0))
     by_lang = merged(by_source, ["corpus", "lang"])
     corpus = fences(merged(by_lang, ["corpus"]), ["corpus"], "of_corpus")
     langs = fences(by_lang, ["corpus", "lang"], "of_lang").join(corpus, "corpus").drop("corpus")
     groups = fences(by_source, ["lang", "source"], "of_source").withColumnRenamed("lang", "of_lang_name")
-    enough = lambda c: F.when(F.col(c)["of"] >= MIN_GROUP, F.col(c))
+
+    def limit(rate: str) -> Column:
+        own = [F.when(F.col(g)[rate]["enough"], F.col(g)[rate]) for g in ("of_source", "of_lang")]
+        return F.coalesce(*own, F.col("of_corpus")[rate]).alias(f"{rate}_limit")
+
     limits = groups.join(langs, F.col("of_lang_name").eqNullSafe(F.col("lang"))).select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        F.coalesce(enough("of_source"), enough("of_lang"), "of_corpus").alias("limit"),
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *map(limit, RATES)
     )
     joined = rates.join(
         limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left"
     )
-    base_failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
-    outside = F.col("word_length") < F.col("limit.word_length_low")
-    for rate in SLACK:
-        outside = outside | (F.col(rate) > F.col(f"limit.{rate}_high"))
-    return joined.withColumn("base_failed", base_failed).select(
+    outside = F.lit(False)
+    for rate in RATES:
+        value, of = lowest_of(bucket_of(F.col(rate))), F.col(f"{rate}_limit")
+        outside = outside | F.coalesce(value > of["high"], F.lit(False)) | F.coalesce(value < of["low"], F.lit(False))
+    return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~outside).alias("kept"), *SLACK,
+        (~F.col("base_failed") & ~outside).alias("kept"), *RATES,
     )

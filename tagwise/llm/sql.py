@@ -29,26 +29,28 @@ with tokens as (
         n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
     from base
 ), long as (
-    select doc_id, lang, source, rate, v from rates
+    select doc_id, lang, source, base_failed, rate, v from rates
     unpivot (v for rate in (symbol_rate, dup_line_rate, repeat_rate, word_length))
 ), placed as (
     select *, case when v < 64 then v else ((v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6)) end as low from long
 ), quart as (
-    select rate, lang, source, count(*) as n,
-        quantile_disc(low, 0.25) as q1, quantile_disc(low, 0.75) as q3, grouping(lang, source) as lvl
-    from placed group by grouping sets ((rate, lang, source), (rate, lang), (rate))
+    select rate, lang, source, count(*) as n, count(*) filter (low > 0) as others,
+        quantile_disc(low, 0.25) as q1, quantile_disc(low, 0.75) as q3,
+        quantile_disc(low, 0.95) filter (low > 0) as top, grouping(lang, source) as lvl
+    from placed where not base_failed group by grouping sets ((rate, lang, source), (rate, lang), (rate))
 ), fence as (
-    select *, q1 - 3 * (q3 - q1) - s.slack as lo, q3 + 3 * (q3 - q1) + s.slack as hi
-    from quart join (values ('symbol_rate', 60), ('dup_line_rate', 500), ('repeat_rate', 280), ('word_length', 30))
-        s(name, slack) on s.name = rate
+    select *, case when 2 * others > n then n >= 50 else others >= 40 end as enough,
+        case when 2 * others > n and rate = 'word_length' then q1 - 3 * (q3 - q1) - 1 end as lo,
+        case when 2 * others > n then q3 + 3 * (q3 - q1) + 1 else top end as hi
+    from quart
 ), verdict as (
-    select p.doc_id, bool_or(p.v > coalesce(a.hi, b.hi, c.hi)
-        or p.rate = 'word_length' and p.v < coalesce(a.lo, b.lo, c.lo)) as out
+    select p.doc_id, bool_or(coalesce(p.low > case when a.enough then a.hi when b.enough then b.hi else c.hi end, false)
+        or coalesce(p.low < case when a.enough then a.lo when b.enough then b.lo else c.lo end, false)) as out
     from placed p
-    left join fence a on a.lvl = 0 and a.n >= 50 and a.rate = p.rate
+    left join fence a on a.lvl = 0 and a.rate = p.rate
         and a.lang is not distinct from p.lang and a.source is not distinct from p.source
-    left join fence b on b.lvl = 1 and b.n >= 50 and b.rate = p.rate and b.lang is not distinct from p.lang
-    join fence c on c.lvl = 3 and c.rate = p.rate
+    left join fence b on b.lvl = 1 and b.rate = p.rate and b.lang is not distinct from p.lang
+    left join fence c on c.lvl = 3 and c.rate = p.rate
     group by p.doc_id
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
