@@ -9,6 +9,12 @@ from tagwise.sources import encrypted, tables
 from tests.frames import D0, back, offers, tuples
 
 KEY = b"0123456789abcdef0123456789abcdef"
+OTHER = b"fedcba9876543210"
+
+
+@pytest.fixture(scope="module")
+def keys(spark):
+    return encrypted.key_table(spark, {0: KEY, 7: OTHER})
 
 
 def some_offers(spark, day: datetime.date, country: str, n: int):
@@ -16,12 +22,14 @@ def some_offers(spark, day: datetime.date, country: str, n: int):
 
 
 @pytest.fixture(scope="module")
-def ingested(spark, tmp_path_factory):
+def ingested(spark, keys, tmp_path_factory):
     source, out = str(tmp_path_factory.mktemp("sealed") / "offers"), str(tmp_path_factory.mktemp("plain") / "offers")
     for day, country, n in [(D0, "de", 40), (back(1), "de", 30), (D0, "fr", 20)]:
         rows = some_offers(spark, day, country, n)
-        encrypted.sealed(rows, KEY).write.mode("append").parquet(source)
-    encrypted.ingest(spark, source, KEY, model.OFFERS, out)
+        number = F.lit(7) if country == "fr" else F.col("article") % 2 * 7
+        encrypted.sealed(rows, keys, number).write.mode("append").parquet(source)
+    assert {r.key_no for r in spark.read.parquet(source).select("key_no").distinct().collect()} == {0, 7}
+    encrypted.ingest(spark, source, keys, model.OFFERS, out)
     return out
 
 
@@ -46,23 +54,33 @@ def test_layout_is_iv_then_cbc_blocks_with_pkcs_padding(spark):
     assert bytes(plain).hex() == "6bc1bee22e409f96e93d7e117393172a"
 
 
-def test_wrong_key_fails(spark):
-    sealed = encrypted.sealed(some_offers(spark, D0, "de", 2), KEY)
-    with pytest.raises(Exception):
-        encrypted.unsealed(sealed, KEY[::-1], model.OFFERS).collect()
+def test_wrong_and_missing_keys_fail(spark, keys):
+    sealed = encrypted.sealed(some_offers(spark, D0, "de", 2), keys)
+    for other in ({0: KEY[::-1]}, {7: KEY}):
+        with pytest.raises(Exception):
+            encrypted.unsealed(sealed, encrypted.key_table(spark, other), model.OFFERS).collect()
+    with pytest.raises(Exception, match="no key 3"):
+        encrypted.sealed(some_offers(spark, D0, "de", 2), keys, F.lit(3)).collect()
 
 
-def test_key_can_be_a_column(spark):
-    sealed = encrypted.sealed(some_offers(spark, D0, "de", 2), KEY).withColumn("key", F.lit(KEY))
-    assert encrypted.unsealed(sealed, F.col("key"), model.OFFERS).count() == 2
+def test_rows_of_two_keys_open_together(spark, keys, tmp_path):
+    rows = some_offers(spark, D0, "de", 9)
+    path = str(tmp_path / "mixed")
+    encrypted.sealed(rows, keys, F.col("article") % 2 * 7).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.columns == ["key_no", "content"] and stored.groupBy("key_no").count().count() == 2
+    found = encrypted.read_sealed(spark, path, keys, model.OFFERS)
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.select(model.OFFERS.names).collect()))
+    alone = encrypted.unsealed(stored.filter("key_no = 7"), encrypted.key_table(spark, {7: OTHER}), model.OFFERS)
+    assert tuples(alone, "article") == [(1,), (3,), (5,), (7,)]
 
 
-def test_a_new_day_leaves_the_history(spark, tmp_path):
+def test_a_new_day_leaves_the_history(spark, keys, tmp_path):
     out = str(tmp_path / "plain")
     for i, (day, n) in enumerate([(back(1), 3), (D0, 5), (D0, 4)]):
         source = str(tmp_path / f"sealed{i}")
-        encrypted.sealed(some_offers(spark, day, "de", n), KEY).write.parquet(source)
-        encrypted.ingest(spark, source, KEY, model.OFFERS, out)
+        encrypted.sealed(some_offers(spark, day, "de", n), keys).write.parquet(source)
+        encrypted.ingest(spark, source, keys, model.OFFERS, out)
     counts = tables.read_offers(spark, out).groupBy("date").count()
     assert tuples(counts, "date", "count") == [(back(1), 3), (D0, 4)]
 
