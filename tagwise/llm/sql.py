@@ -180,23 +180,45 @@ from placed
 
 CHAT_FORMAT = r"""
 with recursive calls as (
-    select conv_id, turn, 'call_' || conv_id || '_' || turn as call_id, length(coalesce(text, '')) as n,
-        to_json(substr(coalesce(text, ''), 1, 24))::varchar as q,
-        (['lookup', 'measure', 'remind', 'dance'])[length(coalesce(text, '')) % 4 + 1] as name
-    from conversations where role = 'assistant'
+    select *, row_number() over (partition by conv_id, call_id order by turn) as occ,
+        count(*) over (partition by conv_id, call_id) as same
+    from (
+        select conv_id, turn, length(coalesce(text, '')) as n, mark, to_json(coalesce(text, ''))::varchar as q,
+            case when mark % 5 = 0 then 'call_' || conv_id || '_s' else 'call_' || conv_id || '_' || turn end as call_id,
+            (['lookup', 'measure', 'remind', 'dance'])[length(coalesce(text, '')) % 4 + 1] as name
+        from (select *, ('0x' || substr(md5(coalesce(text, '')), 1, 4))::bigint as mark from conversations where role = 'assistant')
+    )
 ), results as (
-    select conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) as call_id, text as content
-    from conversations where role = 'user' and turn > 0
+    select *, row_number() over (partition by conv_id, call_id order by turn) as occ from (
+        select r.conv_id, r.turn, coalesce(c.call_id, 'call_' || r.conv_id || '_' || (r.turn - 1)) as call_id, r.text as content
+        from conversations r left join calls c on c.conv_id = r.conv_id and c.turn = r.turn - 1
+        where r.role = 'user' and r.turn > 0
+    )
+), named as (
+    select distinct conv_id, call_id, occ, before from (
+        select conv_id, call_id, occ, 'call_' || conv_id || '_' || (turn // 2) as before from calls where turn // 2 <> turn
+        union all select conv_id, call_id, occ, 'call_' || conv_id || '_' || (turn + 2) from calls where mark % 3 = 0
+        union all select conv_id, call_id, occ, 'call_' || conv_id || '_s' from calls where mark % 4 = 1
+        union all select conv_id, call_id, occ, 'call_' || conv_id || '_' || turn from calls where mark % 11 = 0
+    )
 ), edges as (
-    select c.conv_id, c.call_id, p.call_id as before from calls c join calls p
-    on p.conv_id = c.conv_id and p.turn = c.turn // 2 and p.turn <> c.turn
-), depths as (
-    select conv_id, call_id, 0 as depth from calls c anti join edges e using (conv_id, call_id)
+    select x.conv_id, x.call_id, x.occ, p.call_id as p_id, p.occ as p_occ, p.turn as p_turn from named x join calls p
+    on p.conv_id = x.conv_id and p.call_id = x.before
+        and p.occ = case when x.before = x.call_id and x.occ > 1 then x.occ - 1 else least(x.occ, p.same) end
+), walks as (
+    select conv_id, call_id, occ, call_id as to_id, occ as to_occ, 0 as steps, turn as latest, [call_id || ' ' || occ] as path,
+        false as again
+    from calls
     union all
-    select e.conv_id, e.call_id, depth + 1 from edges e join depths d on d.conv_id = e.conv_id and d.call_id = e.before
+    select w.conv_id, w.call_id, w.occ, e.p_id, e.p_occ, steps + 1, greatest(latest, e.p_turn),
+        list_append(path, e.p_id || ' ' || e.p_occ), list_contains(path, e.p_id || ' ' || e.p_occ)
+    from walks w join edges e on e.conv_id = w.conv_id and e.call_id = w.to_id and e.occ = w.to_occ where not again
+), depths as (
+    select conv_id, call_id, occ, max(steps) as depth, max(latest) as due from walks group by all having not bool_or(again)
 ), tools as (
-    select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.turn, r.turn) as turn,
-        coalesce(c.call_id, r.call_id) as call_id, depth::integer as depth, name, to_json(content)::varchar as content,
+    select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.turn, r.turn) as turn, coalesce(c.call_id, r.call_id) as call_id,
+        coalesce(c.occ, r.occ) as occ, coalesce(d.due, c.turn, r.turn) as due, depth::integer as depth, name,
+        to_json(content)::varchar as content,
         case when c.conv_id is null then 'no call' when r.conv_id is null then 'no result' else 'linked' end as status,
         case when c.conv_id is null then null when n % 7 = 0 then 'not JSON' when name = 'dance' then 'unknown tool'
             when name = 'remind' then 'unknown loud' when name = 'lookup' and n % 5 = 0 then 'limit is not integer' else '' end as errors,
@@ -204,20 +226,22 @@ with recursive calls as (
             when name = 'lookup' then '{"limit":' || case when n % 5 = 0 then '"all"' else n::varchar end || ',"query":' || q || '}'
             when name = 'measure' then '{"chars":' || n || ',"unit":"m"}'
             else '{"loud":true,"minutes":5,"note":' || q || '}' end as arguments
-    from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
-    left join depths d on d.conv_id = c.conv_id and d.call_id = c.call_id
+    from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id and r.occ = c.occ
+    left join depths d on d.conv_id = c.conv_id and d.call_id = c.call_id and d.occ = c.occ
 ), nodes as (
-    select conv_id, turn, 0 as place, null::varchar as call_id, null::integer as depth, null::varchar as status,
-        null::varchar as errors, '{' || concat_ws(',', '"content":' || to_json(text)::varchar, '"role":' || to_json(role)::varchar) || '}' as json
+    select conv_id, turn, turn as due, 0 as place, null::varchar as call_id, null::bigint as occurrence, null::integer as depth,
+        null::varchar as status, null::varchar as errors,
+        '{' || concat_ws(',', '"content":' || to_json(text)::varchar, '"role":' || to_json(role)::varchar) || '}' as json
     from conversations
     union all
-    select conv_id, turn, case when status = 'no call' then 2 else 1 end, call_id, depth, status, errors,
+    select conv_id, turn, due, case when status = 'no call' then 2 else 1 end, call_id, occ, depth, status, errors,
         '{' || concat_ws(',', '"arguments":' || arguments, '"call":"' || call_id || '"', '"name":"' || name || '"',
             '"result":' || content) || '}'
     from tools
 )
-select conv_id, row_number() over (partition by conv_id order by turn, place, depth, call_id, json) - 1 as position, turn,
-    (['message', 'call', 'result'])[place + 1] as kind, call_id, depth, status, errors, json
+select conv_id, row_number() over (partition by conv_id
+        order by due, place, depth nulls last, md5(json), json, turn, call_id, occurrence) - 1 as position, turn,
+    (['message', 'call', 'result'])[place + 1] as kind, call_id, occurrence, depth, status, errors, json
 from nodes
 """
 
