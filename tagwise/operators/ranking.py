@@ -34,11 +34,13 @@ def price_rank(offers: DataFrame, measure: str = "price", max_rank: int | None =
     ``max_rank`` only offers up to that rank are returned.
 
     Offers join the ranks of their cell's distinct prices. So a cell of any size is spread over its prices, and the skew
-    join splits a single price with many offers.
+    join splits a single price with many offers. A hash of the keys leads them, so that the join sorts by one number and
+    compares the keys themselves only where it is equal.
     """
     keys = market_keys(offers, "article", "date") + [measure]
     levels, same = prefixed(price_levels(offers, measure, max_rank).drop("n"), "level_", keys)
-    ranked = offers.join(levels, same, "left" if max_rank is None else "inner")
+    lead = F.xxhash64(*keys) == F.xxhash64(*(f"level_{key}" for key in keys))
+    ranked = offers.join(levels, [lead, *same], "left" if max_rank is None else "inner")
     return ranked.select(*offers.columns, "rank")
 
 
