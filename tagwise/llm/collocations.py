@@ -3,13 +3,14 @@
 The occurrences of words, in the order of piece and position, are kept in blocks of about ``BLOCK`` rows as a stored
 table; the place in the block is the position, and a gap ends a piece. Length by length, each block's relation of
 frequent phrases is merge-joined with itself at the adjacent position (a phrase and the one that begins a word later make
-the next longer), its groups are counted and the counts added up by Spark; the groups that are frequent over all blocks
-go back to the blocks that hold them, and a semi-join leaves only their occurrences before the next length. Words go
-through the same steps as phrases of length one. A table of frequent phrases of a checked small size is sent to the
+the next longer) and its groups are counted. What moves is a 48-bit hash and a count per group and task, sorted and packed
+by ranges of hashes; each range is added up, and hashes with enough occurrences go back to the blocks, where a semi-join
+leaves only their occurrences before the next length. Of what is left the phrases themselves are counted, as text, and
+those that are frequent are the result: hashes only save work, and two phrases that share one cost a little of it. Words
+go through the same steps as phrases of length one. A table of frequent hashes of a checked small size is sent to the
 blocks; a larger one meets the blocks' groups in a shuffle, and each block gets the list of its own that are frequent.
 
-Phrases are told apart by language, and compared as text, so nothing depends on hashes. A block passes on each of its
-groups once, so the rows that are shuffled for a phrase are at most one per block. Counts are added up map by map first.
+Phrases are told apart by language. No task holds more than a block, ``HELD`` groups of its own, or the groups of a range.
 
 Null text counts as empty, a null language as ``und``; repeated rows count as often as they occur; ids and other columns
 are not read; an empty table gives an empty result.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -38,15 +40,19 @@ END, NOTHING = -1, -2
 BLOCK = 1 << 20
 #: Rows of a batch of groups.
 BATCH = 1 << 16
-#: A table of frequent phrases is sent to all tasks up to so many bytes of text and rows, both counted.
-SMALL_BYTES, SMALL_ROWS = 32 << 20, 1_000_000
+#: Groups that a task gathers before it passes their counts on.
+HELD = 1 << 22
+#: Frequent hashes that may be sent to all tasks (eight bytes each).
+SMALL = 4_000_000
+#: Bits of a hash, and the fixed values of a common 64-bit mixing function.
+BITS = 48
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 _BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("langs", "words", "lang_of", "codes", "here"))])
 _BLOCK_KIND = "block long, langs binary, words binary, lang_of binary, codes binary, here binary"
-_GROUPS = pa.schema(
-    [("block", pa.int64()), ("nth", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
-)
-_GROUP_KIND = "block long, nth int, lang string, phrase string, n long"
+_PACKED = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_LISTED = pa.schema([("block", pa.int64()), ("nth", pa.int32()), ("hash", pa.int64())])
+_GROUPS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -67,6 +73,34 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(_restored(packed), "<i4")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers, compressed byte by byte."""
+    kind = "<u4" if not len(numbers) or numbers.max() < 1 << 32 else "<u8"
+    raw = numbers.astype(kind).view(np.uint8).reshape(len(numbers), int(kind[-1])).T.tobytes()
+    return kind[-1].encode() + _squeezed(raw)
+
+
+def _of_planes(packed: bytes) -> np.ndarray:
+    width = int(packed[:1])
+    planes = np.frombuffer(_restored(packed[1:]), np.uint8)
+    return np.frombuffer(planes.reshape(width, len(planes) // width).T.tobytes(), f"<u{width}").astype(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * _MIX[0]
+    x = (x ^ x >> np.uint64(27)) * _MIX[1]
+    return x ^ x >> np.uint64(31)
+
+
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order with the sums of their counts."""
+    hashes, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
+    return hashes[start], np.add.reduceat(counts[order], start) if len(start) else counts
+
+
 class Block:
     """Codes of words in order, negative between pieces; where frequent phrases begin; words, languages, both by code."""
 
@@ -98,6 +132,15 @@ class Block:
             starts = starts[follows]
         return starts, groups
 
+    def hashes(self, starts: np.ndarray, length: int, bits: int) -> np.ndarray:
+        """A hash of so many bits of language and phrase at the positions."""
+        each = [f"{self.langs[k]}\t{w}".encode("utf-8", "surrogatepass") for k, w in zip(self.lang_of.tolist(), self.words)]
+        of_word = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+        found = np.zeros(len(starts), np.uint64)
+        for i in range(length):
+            found = _mixed(found * np.uint64(0x9E3779B97F4A7C15) + of_word[self.codes[starts + i]])
+        return (found >> np.uint64(64 - bits)).astype(np.int64)
+
     def texts(self, starts: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
         """Language and phrase at the positions."""
         words, langs = pa.array(self.words, pa.string()), pa.array(self.langs, pa.string())
@@ -157,35 +200,80 @@ def _occurrences(size: int):
     return run
 
 
-def _key(lang: pa.Array, phrase: pa.Array) -> pa.Array:
-    """Language and phrase as one; phrases have no tab."""
-    return pa.compute.binary_join_element_wise(lang, phrase, "\t")
+def _hashed(length: int, ranges: int, bits: int):
+    """The hashes and counts of a task's groups of phrases of one length, packed by ranges of hashes."""
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, counts = _added_up(parts)
+        cuts = np.searchsorted(hashes, [(r << bits) // ranges for r in range(ranges + 1)])
+        rows = [
+            {"range": r, "hashes": _planes(np.diff(hashes[i:j], prepend=0)), "counts": _planes(counts[i:j])}
+            for r, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()))
+            if i < j
+        ]
+        return pa.RecordBatch.from_pylist(rows, _PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            block = Block.of(row)
+            starts, groups = block.relation(length)
+            _, first, n = np.unique(groups, return_index=True, return_counts=True)
+            parts.append((block.hashes(starts[first], length, bits), n))
+            if sum(len(x) for x, _ in parts) > HELD:
+                parts = [_added_up(parts)]
+                if len(parts[0][0]) > HELD // 2:
+                    yield packed(parts)
+                    parts = []
+        if parts:
+            yield packed(parts)
+
+    return run
+
+
+def _frequent(least: int):
+    """The hashes of each range that have enough occurrences, from batches ordered by range."""
+
+    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, counts = _added_up(parts)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[counts >= least], pa.int64())], ["hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if row["range"] != now and parts:
+                yield told(parts)
+                parts = []
+            now = row["range"]
+            parts.append((np.cumsum(_of_planes(row["hashes"])), _of_planes(row["counts"])))
+            if sum(len(x) for x, _ in parts) > HELD:
+                parts = [_added_up(parts)]
+        if parts:
+            yield told(parts)
+
+    return run
 
 
-def _grouped(length: int, most: int | None):
-    """A block's groups of phrases of one length, each with its number, text and count; up to ``most`` occurrences."""
+def _rare(length: int, bits: int):
+    """A block's groups with fewer than ``LEAST`` occurrences: only others can make them frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             block = Block.of(row)
             starts, groups = block.relation(length)
             nth, first, n = np.unique(groups, return_index=True, return_counts=True)
-            if most is not None:
-                rare = n <= most
-                nth, first, n = nth[rare], first[rare], n[rare]
-            for at in range(0, len(nth), BATCH):
-                lang, phrase = block.texts(starts[first[at : at + BATCH]], length)
-                number = pa.array(np.full(len(lang), row["block"]))
-                columns = [number, pa.array(nth[at : at + BATCH].astype(np.int32)), lang, phrase, pa.array(n[at : at + BATCH])]
-                yield pa.RecordBatch.from_arrays(columns, schema=_GROUPS)
+            nth, first = nth[n < LEAST], first[n < LEAST]
+            number = pa.array(np.full(len(nth), row["block"]))
+            columns = [number, pa.array(nth.astype(np.int32)), pa.array(block.hashes(starts[first], length, bits))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_LISTED)
 
     return run
 
 
-def _extended(length: int, frequent: pa.Array | None):
+def _extended(length: int, bits: int, frequent: np.ndarray | None):
     """The semi-join of a block's relation with its frequent groups; what no longer phrase can use goes.
 
-    Without the table of the frequent ones the block's own are listed in its row, but for those of ``LEAST`` or more
+    Without the sorted frequent hashes the block's own are listed in its row, but for those of ``LEAST`` or more
     occurrences in the block, which are frequent whatever the others hold.
     """
 
@@ -194,10 +282,12 @@ def _extended(length: int, frequent: pa.Array | None):
             block = Block.of(row)
             starts, groups = block.relation(length)
             nth, first, which, n = np.unique(groups, return_index=True, return_inverse=True, return_counts=True)
+            kept = n >= LEAST
             if frequent is None:
-                kept = (n >= LEAST) | np.isin(nth, np.array(row["listed"] or [], np.int64))
-            else:
-                kept = pa.compute.is_in(_key(*block.texts(starts[first], length)), frequent).to_numpy(zero_copy_only=False)
+                kept |= np.isin(nth, np.array(row["listed"] or [], np.int64))
+            elif len(frequent):
+                hashes = block.hashes(starts[first], length, bits)
+                kept |= frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
             starts = starts[kept[which]]
             if len(starts):
                 yield block.cut(starts, length).batch(row["block"])
@@ -205,42 +295,69 @@ def _extended(length: int, frequent: pa.Array | None):
     return run
 
 
-def _few(frequent: DataFrame) -> pa.Array | None:
-    """The frequent phrases, if they are of a small size."""
-    rows, size = frequent.agg(F.count("*"), F.sum(F.octet_length("phrase") + F.octet_length("lang"))).first()
-    if rows > SMALL_ROWS or (size or 0) > SMALL_BYTES:
+def _counted(length: int):
+    """The phrases of what is left in a block, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            block = Block.of(row)
+            starts = np.flatnonzero(block.here)
+            key = block.codes[starts].astype(np.int64)
+            for i in range(1, length):
+                _, key = np.unique(key << 32 | block.codes[starts + i], return_inverse=True)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            for at in range(0, len(first), BATCH):
+                lang, phrase = block.texts(starts[first[at : at + BATCH]], length)
+                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(n[at : at + BATCH])], schema=_GROUPS)
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All words of each language."""
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        block = Block.of(row)
+        n = np.bincount(block.lang_of[block.codes[block.codes >= 0]], minlength=len(block.langs))
+        yield pa.RecordBatch.from_arrays([pa.array(block.langs, pa.string()), pa.array(n)], ["lang", "f"])
+
+
+def _few(hashes: DataFrame) -> np.ndarray | None:
+    """The frequent hashes in ascending order, if they are of a small number."""
+    if hashes.count() > SMALL:
         return None
-    found = frequent.select("lang", "phrase").toArrow()
-    return _key(*(found.column(c).combine_chunks() for c in ("lang", "phrase"))).cast(pa.string())
+    return np.sort(hashes.toArrow().column("hash").to_numpy())
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+def frequent_phrases(
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, bits: int = BITS
+) -> DataFrame:
     """``lang, phrase, size, f``: the phrases of up to ``longest`` words with at least ``least`` occurrences, and
     all words of each language under a null phrase."""
     assert least >= LEAST  # a block takes groups of LEAST occurrences for frequent
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     blocks = stored(texts.mapInArrow(_occurrences(block), _BLOCK_KIND))
-    found = None
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks.mapInArrow(_totals, "lang string, f long").groupBy("lang").agg(F.sum("f").alias("f")).select(
+        "lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("size"), "f"
+    )
     for length in range(1, longest + 1):
-        sums = blocks.mapInArrow(_grouped(length, None), _GROUP_KIND).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        if length == 1:
-            sums = stored(sums)
-            found = sums.groupBy("lang").agg(F.sum("f").alias("f")).select(
-                "lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("size"), "f"
-            )
-        frequent = stored(sums.where(F.col("f") >= least).select("lang", "phrase", F.lit(length).alias("size"), "f"))
-        found = found.unionByName(frequent)
-        if length == longest or frequent.isEmpty():
-            break
-        few, met = _few(frequent), blocks
+        parts = blocks.mapInArrow(_hashed(length, ranges, bits), "range int, hashes binary, counts binary")
+        dealt = parts.repartition("range").sortWithinPartitions("range")
+        hashes = stored(dealt.mapInArrow(_frequent(least), "hash long"))
+        few, met = _few(hashes), blocks
         if few is None:
-            rare = blocks.mapInArrow(_grouped(length, LEAST - 1), _GROUP_KIND)
+            rare = blocks.mapInArrow(_rare(length, bits), "block long, nth int, hash long")
             listed = (
-                rare.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-                .groupBy("block").agg(F.collect_list("nth").alias("listed"))  # at most a block's groups
+                rare.join(hashes, "hash", "left_semi").groupBy("block")
+                .agg(F.collect_list("nth").alias("listed"))  # at most a block's groups
             )
             met = blocks.join(listed, "block", "left")
-        blocks = stored(met.mapInArrow(_extended(length, few), _BLOCK_KIND))
+        blocks = stored(met.mapInArrow(_extended(length, bits, few), _BLOCK_KIND))
+        sums = blocks.mapInArrow(_counted(length), "lang string, phrase string, n long").groupBy("lang", "phrase")
+        frequent = stored(sums.agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        found = found.unionByName(frequent.select("lang", "phrase", F.lit(length).alias("size"), "f"))
+        if frequent.isEmpty():
+            break
     return stored(found)
 
 
@@ -267,9 +384,9 @@ def _inside(candidates: DataFrame) -> DataFrame:
     )
 
 
-def collocations(docs: DataFrame, top: int = TOP, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's best phrases."""
-    known = frequent_phrases(docs, block=block)
+    known = frequent_phrases(docs, block=block, bits=bits)
     totals = known.where("size = 0").select("lang", F.col("f").alias("n"))
     counts = known.where("size > 0").select("lang", F.col("phrase").alias("part"), "f")
     candidates = known.where("size > 1").withColumnRenamed("f", "a")

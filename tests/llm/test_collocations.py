@@ -90,7 +90,7 @@ def test_odd_texts_in_blocks_of_any_size(spark, odd, block):
 
 
 def test_shuffled_frequent_phrases_give_the_same(spark, odd, monkeypatch):
-    monkeypatch.setattr(collocations, "SMALL_ROWS", -1)
+    monkeypatch.setattr(collocations, "SMALL", -1)
     docs = spark.createDataFrame(odd, "lang string, text string")
     assert found(collocations.collocations(docs, block=50)) == sorted(plain(odd))
 
@@ -105,6 +105,19 @@ def test_nothing_to_find(spark, rows):
     assert collocations.collocations(spark.createDataFrame(rows, "lang string, text string")).isEmpty()
 
 
+def test_hashes_that_clash_change_nothing(spark, odd):
+    docs = spark.createDataFrame(odd, "lang string, text string")
+    assert found(collocations.collocations(docs, block=200, bits=3)) == sorted(plain(odd))
+
+
+def test_counts_that_are_passed_on_early_add_up(spark, odd, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 40)
+    docs = spark.createDataFrame(odd, "lang string, text string")
+    assert found(collocations.collocations(docs, block=50)) == sorted(plain(odd))
+
+
 def test_packing():
+    for numbers in ([], [0], [5, 0, 300], [1 << 40, 7], list(range(70_000))):
+        assert collocations._of_planes(collocations._planes(np.array(numbers, np.int64))).tolist() == numbers
     for numbers in (np.empty(0, np.int32), np.array([-1, 5, 2**31 - 1])):
         assert collocations._unpacked(collocations._packed(numbers)).tolist() == numbers.tolist()
