@@ -6,8 +6,9 @@ their weights. Only what all siblings together cannot take is a shortage of thei
 siblings: capacities are summed from the leaves up, so a parent never asks for more than its leaves can give.
 
 A leaf's budget is a number of whole epochs over its documents and a rest. The rest is a prefix, by tokens, of the
-documents in the order of a hash seeded with the next epoch. The cut is found without ordering a leaf: token sums of 4096
-key ranges locate the range of the cut, and only that range's documents are summed in order.
+documents in the order of a hash seeded with the next epoch. The cut is found without ordering a leaf: token sums of 64
+key ranges locate the range of the cut, which is cut in 64 again until no leaf's range holds more than ``RANGE_ROWS``
+documents, and only those are summed in order.
 
 Tokens are words between ASCII blanks; null text has none. Null languages and sources count as the empty name. Documents
 of one leaf with equal ids, and so with equal keys, are in or out together. Documents without tokens come with their
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagwise.llm.common import broadcast_if_small, hex_bits, stored, text_of, words
 
 LEAF = ["domain", "lang", "source"]
-RANGE_BITS = 12
+DIGIT_BITS = 6
 KEY_BITS = 60
+RANGE_ROWS = 4096
 #: Target weights; names that are not listed weigh 1.
 WEIGHTS = {
     "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
@@ -101,23 +103,35 @@ def cuts(rows: DataFrame, budget: DataFrame, seed: int) -> DataFrame:
             )
         )
     )
-    keyed = rows.join(leaf, LEAF).select(
-        *LEAF, "epochs", "rest", "n_tokens", _key(F.col("epochs"), F.col("doc_id"), seed).alias("key")
-    ).withColumn("span", F.shiftright("key", KEY_BITS - RANGE_BITS))
-    order = Window.partitionBy(*LEAF).orderBy("span")
-    spans = (
-        keyed.groupBy(*LEAF, "span", "rest").agg(F.sum("n_tokens").alias("tokens"))
-        .withColumn("upto", F.sum("tokens").over(order))
-        .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") <= F.col("rest")))
-        .groupBy(*LEAF).agg(F.min_by(F.struct("span", (F.col("upto") - F.col("tokens")).alias("before")), "span").alias("s"))
-        .select(*LEAF, "s.span", "s.before")
-    )
-    in_span = Window.partitionBy(*LEAF).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    keyed = stored(
+        rows.join(leaf, LEAF).select(*LEAF, "n_tokens", _key(F.col("epochs"), F.col("doc_id"), seed).alias("key"))
+    )
+    shift = KEY_BITS
+    here = leaf.withColumns({"range": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    while shift > 0:
+        inside = keyed.join(here, LEAF).where(F.shiftright("key", shift) == F.col("range"))
+        shift -= DIGIT_BITS
+        order = Window.partitionBy(*LEAF).orderBy("next")
+        sums = (
+            inside.groupBy(*LEAF, "epochs", "rest", "before", F.shiftright("key", shift).alias("next"))
+            .agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+            .withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+        )  # at most 64 rows of a leaf
+        found = F.min(F.struct("next", (F.col("upto") - F.col("tokens")).alias("before"), "rows")).alias("s")
+        narrowed = stored(sums.where(F.col("upto") > F.col("rest")).groupBy(*LEAF, "epochs", "rest").agg(found))
+        here = broadcast_if_small(
+            narrowed.select(*LEAF, "epochs", "rest", F.col("s.next").alias("range"), F.col("s.before").alias("before"))
+        )
+        if (narrowed.agg(F.max("s.rows")).first()[0] or 0) <= RANGE_ROWS:
+            break
+    in_range = Window.partitionBy(*LEAF).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     taken = (
-        keyed.join(spans, [*LEAF, "span"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(in_span))
-        .groupBy(*LEAF, "epochs", "span").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))).alias("last"))
+        keyed.join(here, LEAF).where(F.shiftright("key", shift) == F.col("range"))
+        .groupBy(*LEAF, "epochs", "rest", "before", "range", "key").agg(F.sum("n_tokens").alias("n_tokens"))
+        .withColumn("upto", F.col("before") + F.sum("n_tokens").over(in_range))
+        .groupBy(*LEAF, "epochs", "range").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))).alias("last"))
     )
-    under = F.shiftleft(F.col("span"), KEY_BITS - RANGE_BITS) - 1
+    under = F.shiftleft(F.col("range"), shift) - 1
     return taken.select(*LEAF, "epochs", F.coalesce("last", under).alias("last"))
 
 

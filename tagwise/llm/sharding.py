@@ -21,7 +21,8 @@ from tagwise.llm.common import hex_bits, stored, text_of
 OVERHEAD = 8
 KEY_BITS = 60
 DIGIT_BITS = 10
-SALTS = 64
+#: Rows of a group that gets its slots in one window, and the fewest groups of a shard, as bits.
+ROWS, SALT_BITS = 1 << 20, 6
 KEYS = ("k1", "k2")
 
 
@@ -116,8 +117,11 @@ def _shard_of(bounds: list[tuple[int, int]]) -> Column:
 def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.0) -> DataFrame:
     """Each document's shard, of nearly equal sums of ``size``, and its gapless ``slot`` there."""
     rows = stored(keyed(docs))
-    placed = rows.withColumn("shard", _shard_of(splitters(rows, shards, tolerance))).withColumn(
-        "salt", F.pmod("k2", F.lit(SALTS)).cast("int")
+    # more groups for more rows; a group is a range of the order, so the slots do not depend on their number
+    bits = max(SALT_BITS, (rows.count() // (shards * ROWS)).bit_length())
+    mixed = F.col("k1").bitwiseXOR(F.col("k2"))  # rows of one text, and rows of one id, lie in many groups
+    placed = rows.withColumn("shard", _shard_of(splitters(rows, shards, tolerance))).withColumns(
+        {"place": mixed, "salt": F.shiftright(mixed, KEY_BITS - bits)}
     )
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -125,10 +129,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.0) ->
         .agg(F.count("*").alias("n"))
         .select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
-    in_salt = Window.partitionBy("shard", "salt").orderBy("k1", "k2", "doc_id")
+    in_salt = Window.partitionBy("shard", "salt").orderBy("place", "k1", "k2", "doc_id")
     numbered = placed.withColumn("nth", F.row_number().over(in_salt))
-    # at most shards x SALTS rows
-    return numbered.join(F.broadcast(starts), ["shard", "salt"]).select(
+    few = shards << bits <= 20_000  # as many rows as starts can have
+    return numbered.join(F.broadcast(starts) if few else starts, ["shard", "salt"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

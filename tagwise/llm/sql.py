@@ -81,7 +81,7 @@ with crc_table as (
     from crcs
 )
 select doc_id, size, text_crc32, 'bytes' as law, shard,
-    row_number() over (partition by shard order by k2 % 64, k1, k2, doc_id) - 1 as slot, null::integer as grown_shard
+    row_number() over (partition by shard order by xor(k1, k2), k1, k2, doc_id) - 1 as slot, null::integer as grown_shard
 from placed
 """
 

@@ -1,5 +1,8 @@
 """The operators against plain versions of what they compute."""
 
+import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -309,8 +312,6 @@ def test_digests():
 
 
 def test_edited_copies(spark):
-    import hashlib
-
     rows = [(i, prose(i, i % 13 * 5) + "é" * (i % 4), "en", "a") for i in range(0, 300, 3)] + [(None, "last", "en", "a")]
     found = digests.fingerprints(documents(spark, rows, clashes=False)).collect()
     order = sorted(rows[:-1], reverse=True) + rows[-1:]
@@ -384,3 +385,98 @@ def test_training_sample_is_bounded_and_leaves_the_held_out_fold(spark):
     assert sorted(drawn) == sorted(training_sample(docs, known, "quality", 500, 1).collect())
     everything = training_sample(docs, known, "quality", 10_000, 1).count()
     assert everything == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(4000))
+
+
+@pytest.mark.parametrize("most", [1, 30, 10**9])
+def test_cut_of_a_hot_leaf_is_found_in_small_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+    rows = [(i // 2 if i % 5 else None, "w " * (i % 7), "en", "hot" if i % 3 else "cold") for i in range(3000)]
+    chosen = mixing.mixture(documents(spark, rows, clashes=False), share=0.37, max_epochs=1).collect()
+    keys = defaultdict(list)
+    for doc_id, text, _, source in rows:
+        digest = hashlib.md5(f"{mixing.SEED}:0:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:15]
+        keys[source].append((digest, len(text.split())))
+    for source, own in keys.items():
+        total = Counter()
+        for key, n in own:
+            total[key] += n
+        prefixes = list(itertools.accumulate(total[key] for key in sorted(total)))
+        assert sum(r.n_tokens for r in chosen if r.source == source) in [0, *prefixes]
+    tokens = sum(n for own in keys.values() for _, n in own)
+    assert 0.37 * tokens - 2 * 400 * 7 <= sum(r.n_tokens for r in chosen) <= 0.37 * tokens
+
+
+def plain_digest(text):
+    """The document digest by loops over triplets, buckets and quartiles."""
+    counts = [0] * 1024
+    for a, b, c in zip(text, text[1:], text[2:]):
+        counts[((a * 65536 + b * 256 + c) * 2654435769 % 2**32) // 2**22] += 1
+    low, middle, high = (sorted(counts)[i] for i in (255, 511, 767))
+    codes = [sum(n > q for q in (low, middle, high)) for n in counts]
+    ratios = (16 * low // high % 16) * 16 + 16 * middle // high % 16 if high else 0
+    head = [zlib.crc32(text) % 256, min(255, round(8 * math.log2(len(text) + 1))), ratios]
+    return bytes(head + [64 * a + 16 * b + 4 * c + d for a, b, c, d in zip(*(codes[i::4] for i in range(4)))])
+
+
+def plain_difference(x, y):
+    steps = {0: 0, 1: 1, 2: 2, 3: 6}
+    total = (x[0] != y[0]) + 12 * min(12, abs(x[1] - y[1]))
+    for shift in (4, 0):
+        apart = abs((x[2] >> shift) % 16 - (y[2] >> shift) % 16)
+        total += 12 * min(7, apart, 16 - apart)
+    for a, b in zip(x[3:], y[3:]):
+        total += sum(steps[abs((a >> k) % 4 - (b >> k) % 4)] for k in (6, 4, 2, 0))
+    return total if x != y else 0
+
+
+def test_digests_are_those_of_plain_loops():
+    rng = random.Random(9)
+    texts = [b"", b"a", b"ab", b"abc", b"aaa" * 50, rng.randbytes(5000), prose(3, 900).encode(), "\u65e5\u672c\u8a9e ".encode() * 300]
+    texts += [prose(3, 900).encode()[:-9], prose(3, 899).encode() + b"other words"]
+    found = [digests.digest(t) for t in texts]
+    assert found == [plain_digest(t) for t in texts]
+    for x in found:
+        for y in found:
+            assert digests.difference(x, y) == plain_difference(x, y) == digests.difference(y, x) <= digests.WORST
+
+
+def plain_boosting(x, y, rounds, rate, depth, ridge, bins):
+    """Tables of cyclic boosting, each tree by trying every cut of every part of its rows."""
+    n, width = len(x), len(x[0])
+    edges = [sorted({float(np.quantile([r[f] for r in x], k / bins)) for k in range(1, bins)}) for f in range(width)]
+    of = [[sum(r[f] >= e for e in edges[f]) for f in range(width)] for r in x]
+    share = (sum(y) + 1) / (n + 2)
+    total = [math.log(share / (1 - share))] * n
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+
+    def tree(g, h, f, first, last, levels):
+        """Values of the bins from first to last."""
+        inside = [i for i in range(n) if first <= of[i][f] <= last]
+        sums = lambda rows: (sum(g[i] for i in rows), sum(h[i] for i in rows))
+        worth = lambda rows: sums(rows)[0] ** 2 / (sums(rows)[1] + ridge)
+        best = (1e-9, None)
+        for cut in range(first + 1, last + 1) if levels else ():
+            left, right = [i for i in inside if of[i][f] < cut], [i for i in inside if of[i][f] >= cut]
+            gain = worth(left) + worth(right) - worth(inside)
+            if gain > best[0] + 1e-12:
+                best = (gain, cut)
+        if best[1] is None:
+            return [-sums(inside)[0] / (sums(inside)[1] + ridge)] * (last - first + 1)
+        return tree(g, h, f, first, best[1] - 1, levels - 1) + tree(g, h, f, best[1], last, levels - 1)
+
+    for _ in range(rounds):
+        for f in range(width):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            step = tree([a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], f, 0, len(edges[f]), depth)
+            tables[f] = [a + rate * b for a, b in zip(tables[f], step)]
+            total = [t + rate * step[of[i][f]] for i, t in enumerate(total)]
+    return tables
+
+
+def test_boosted_tables_are_those_of_exhaustive_splits():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (120, 3))
+    y = ((x[:, 0] > 0.2) | (x[:, 1] < -0.6)).astype(float)
+    model = gam.fit(x, y, rounds=3, n_pairs=0)
+    for found, expected in zip(model.tables, plain_boosting(x.tolist(), y.tolist(), 3, 0.15, 2, 5.0, gam.BINS)):
+        assert np.allclose(found, expected)
