@@ -1,13 +1,13 @@
 """Phrase collocation mining by SETM: sorted occurrence relations, joined with themselves position by position.
 
 The occurrences of words, in the order of piece and position, are kept in blocks of about ``BLOCK`` rows as a stored
-table; the place in the block is the position, and a gap ends a piece. Length by length, each block's relation of
+table; the place in the block is the position, and a gap ends a piece. Rare words are counted first and left out of it. Length by length, each block's relation of
 frequent phrases is merge-joined with itself at the adjacent position (a phrase and the one that begins a word later make
-the next longer) and its groups are counted. What moves is a 48-bit hash and a count per group and task, sorted and packed
+the next longer) and its groups are counted. What moves is a hash and a count per group and task, sorted and packed
 by ranges of hashes; each range is added up, and hashes with enough occurrences go back to the blocks, where a semi-join
 leaves only their occurrences before the next length. Of what is left the phrases themselves are counted, as text, and
 those that are frequent are the result: hashes only save work, and two phrases that share one cost a little of it. Words
-go through the same steps as phrases of length one. A table of frequent hashes of a checked small size is sent to the
+go through the same steps as phrases of length one, counted from the texts. A table of frequent hashes of a checked small size is sent to the
 blocks; a larger one meets the blocks' groups in a shuffle, and each block gets the list of its own that are frequent.
 
 Phrases are told apart by language. No task holds more than a block, ``HELD`` groups of its own, or the groups of a range.
@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,20 @@ END, NOTHING = -1, -2
 BLOCK = 1 << 20
 #: Rows of a batch of groups.
 BATCH = 1 << 16
-#: Groups that a task gathers before it passes their counts on.
-HELD = 1 << 22
+#: Groups that a task gathers before it passes their counts on, and words that it holds as text.
+HELD, HELD_WORDS = 1 << 22, 300_000
 #: Frequent hashes that may be sent to all tasks (eight bytes each).
 SMALL = 4_000_000
-#: Bits of a hash, and the fixed values of a common 64-bit mixing function.
-BITS = 48
+#: Fewest bits of a hash, and how many more than it takes to number all words: a rare phrase is then taken for frequent
+#: only where it shares its hash with one, and that is found out when the phrases themselves are counted.
+BITS, SPARE = 32, 3
+#: Bits of a word's hash, as the words are not numbered yet.
+WORD_BITS = 40
+#: Fixed values of a common 64-bit mixing function.
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
-_BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("langs", "words", "lang_of", "codes", "here"))])
-_BLOCK_KIND = "block long, langs binary, words binary, lang_of binary, codes binary, here binary"
+_BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("langs", "sums", "words", "lang_of", "codes", "here"))])
+_BLOCK_KIND = "block long, langs binary, sums binary, words binary, lang_of binary, codes binary, here binary"
 _PACKED = pa.schema([("range", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _LISTED = pa.schema([("block", pa.int64()), ("nth", pa.int32()), ("hash", pa.int64())])
 _GROUPS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -101,21 +106,36 @@ def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return hashes[start], np.add.reduceat(counts[order], start) if len(start) else counts
 
 
+def _word_hashes(langs: Iterable[str], words: Iterable[str]) -> np.ndarray:
+    each = [f"{lang}\t{word}".encode("utf-8", "surrogatepass") for lang, word in zip(langs, words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+
+
+def _held(frequent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among the sorted frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(hashes), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+
+
 class Block:
-    """Codes of words in order, negative between pieces; where frequent phrases begin; words, languages, both by code."""
+    """Codes of words in order, negative between pieces; where frequent phrases begin; words, languages, both by code.
 
-    def __init__(self, words: list[str], lang_of: np.ndarray, langs: list[str], codes: np.ndarray, here: np.ndarray) -> None:
-        self.words, self.lang_of, self.langs, self.codes, self.here = words, lang_of, langs, codes, here
+    ``sums`` are all words of each language that the block had at first.
+    """
+
+    def __init__(self, words: list[str], lang_of: np.ndarray, langs: list[str], codes: np.ndarray, here: np.ndarray, sums: np.ndarray) -> None:
+        self.words, self.lang_of, self.langs, self.codes, self.here, self.sums = words, lang_of, langs, codes, here, sums
 
     @classmethod
     def of(cls, row: dict) -> Block:
         texts = [json.loads(_restored(row[c])) for c in ("words", "langs")]
-        codes = _unpacked(row["codes"])
+        codes = _of_planes(row["codes"]).astype(np.int32) + END
         here = np.unpackbits(np.frombuffer(_restored(row["here"]), np.uint8), count=len(codes)).astype(bool)
-        return cls(texts[0], _unpacked(row["lang_of"]), texts[1], codes, here)
+        return cls(texts[0], _unpacked(row["lang_of"]), texts[1], codes, here, _of_planes(row["sums"]))
 
     def batch(self, number: int) -> pa.RecordBatch:
-        row = {"block": number, "lang_of": _packed(self.lang_of), "codes": _packed(self.codes)}
+        row = {"block": number, "lang_of": _packed(self.lang_of), "codes": _planes(self.codes - END), "sums": _planes(self.sums)}
         row |= {c: _squeezed(json.dumps(x).encode()) for c, x in (("words", self.words), ("langs", self.langs))}
         return pa.RecordBatch.from_pylist([row | {"here": _squeezed(np.packbits(self.here).tobytes())}], _BLOCKS)
 
@@ -132,10 +152,16 @@ class Block:
             starts = starts[follows]
         return starts, groups
 
+    def _names(self) -> np.ndarray:
+        return _word_hashes(map(self.langs.__getitem__, self.lang_of.tolist()), self.words)
+
+    def of_words(self, bits: int) -> np.ndarray:
+        """A hash of so many bits of each word, as ``hashes`` has it for length one."""
+        return (_mixed(self._names()) >> np.uint64(64 - bits)).astype(np.int64)
+
     def hashes(self, starts: np.ndarray, length: int, bits: int) -> np.ndarray:
         """A hash of so many bits of language and phrase at the positions."""
-        each = [f"{self.langs[k]}\t{w}".encode("utf-8", "surrogatepass") for k, w in zip(self.lang_of.tolist(), self.words)]
-        of_word = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+        of_word = self._names()
         found = np.zeros(len(starts), np.uint64)
         for i in range(length):
             found = _mixed(found * np.uint64(0x9E3779B97F4A7C15) + of_word[self.codes[starts + i]])
@@ -159,11 +185,37 @@ class Block:
         codes = np.where(used, self.codes, END)[stays]
         left, renamed = np.unique(codes[codes >= 0], return_inverse=True)
         codes[codes >= 0] = renamed
-        return Block([self.words[k] for k in left.tolist()], self.lang_of[left], self.langs, codes, here[stays])
+        words = [self.words[k] for k in left.tolist()]
+        return Block(words, self.lang_of[left], self.langs, codes, here[stays], self.sums)
 
 
-def _occurrences(size: int):
-    """Blocks of the texts in their order."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """Language and tokens of each text: words, empty strings between two blanks, and line ends where a piece ends."""
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            low = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+            yield lang, _PIECE_END.sub(" \n ", low).replace("\t", " ").split(" ")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and counts of the words, a part at a time."""
+    counts: dict[str, Counter[str]] = {}
+
+    def part() -> tuple[np.ndarray, np.ndarray]:
+        pairs = [(lang, word, n) for lang, own in counts.items() for word, n in own.items() if word not in ("", "\n")]
+        langs, words, n = zip(*pairs) if pairs else ((), (), ())
+        return (_mixed(_word_hashes(langs, words)) >> np.uint64(64 - WORD_BITS)).astype(np.int64), np.array(n, np.int64)
+
+    for lang, tokens in _tokens(batches):
+        counts.setdefault(lang, Counter()).update(tokens)
+        if sum(map(len, counts.values())) > HELD_WORDS:
+            yield part()
+            counts.clear()
+    yield part()
+
+
+def _occurrences(size: int, frequent: np.ndarray | None):
+    """Blocks of the texts in their order, of the words with frequent hashes or, without these, of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, held = TaskContext.get().partitionId(), 0, 0
@@ -179,29 +231,31 @@ def _occurrences(size: int):
                         words[code], lang_of[code] = word, i
             every = np.concatenate(codes)
             every = every[every != NOTHING]
-            return Block(words, lang_of, list(known), every, every >= 0).batch(part << 32 | nth)
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                low = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
-                tokens = _PIECE_END.sub(" \n ", low).replace("\t", " ").split(" ")
-                own = known.setdefault(lang, {"": NOTHING, "\n": END})
-                new = list(set(tokens).difference(own))
-                own.update(zip(new, range(n_words, n_words + len(new))))
-                n_words += len(new)
-                codes += [np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens)), np.array([END], np.int32)]
-                held += len(tokens)
-                if held >= size:
-                    yield block()
-                    known, codes, n_words, held, nth = {}, [], 0, 0, nth + 1
+            sums = np.bincount(lang_of[every[every >= 0]], minlength=len(known))
+            whole = Block(words, lang_of, list(known), every, every >= 0, sums)
+            if frequent is not None:
+                starts = np.flatnonzero(every >= 0)
+                whole = whole.cut(starts[_held(frequent, whole.of_words(WORD_BITS))[every[starts]]], 1)
+            return whole.batch(part << 32 | nth)
+
+        for lang, tokens in _tokens(batches):
+            own = known.setdefault(lang, {"": NOTHING, "\n": END})
+            new = list(set(tokens).difference(own))
+            own.update(zip(new, range(n_words, n_words + len(new))))
+            n_words += len(new)
+            codes += [np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens)), np.array([END], np.int32)]
+            held += len(tokens)
+            if held >= size:
+                yield block()
+                known, codes, n_words, held, nth = {}, [], 0, 0, nth + 1
         if codes:
             yield block()
 
     return run
 
 
-def _hashed(length: int, ranges: int, bits: int):
-    """The hashes and counts of a task's groups of phrases of one length, packed by ranges of hashes."""
+def _gathered(each: Iterator[tuple[np.ndarray, np.ndarray]], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Hashes with their counts, added up and packed by ranges of hashes."""
 
     def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes, counts = _added_up(parts)
@@ -213,22 +267,30 @@ def _hashed(length: int, ranges: int, bits: int):
         ]
         return pa.RecordBatch.from_pylist(rows, _PACKED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in each:
+        parts.append(part)
+        if sum(len(x) for x, _ in parts) > HELD:
+            parts = [_added_up(parts)]
+            if len(parts[0][0]) > HELD // 2:
+                yield packed(parts)
+                parts = []
+    if parts:
+        yield packed(parts)
+
+
+def _hashed(length: int, ranges: int, bits: int):
+    """The hashes and counts of a task's groups of phrases of one length; of words if the rows are texts."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             block = Block.of(row)
-            starts, groups = block.relation(length)
-            _, first, n = np.unique(groups, return_index=True, return_counts=True)
-            parts.append((block.hashes(starts[first], length, bits), n))
-            if sum(len(x) for x, _ in parts) > HELD:
-                parts = [_added_up(parts)]
-                if len(parts[0][0]) > HELD // 2:
-                    yield packed(parts)
-                    parts = []
-        if parts:
-            yield packed(parts)
+            starts, of = block.relation(length)
+            _, first, n = np.unique(of, return_index=True, return_counts=True)
+            yield block.hashes(starts[first], length, bits), n
 
-    return run
+    each = _words if length == 1 else groups
+    return lambda batches: _gathered(each(batches), ranges, bits)
 
 
 def _frequent(least: int):
@@ -285,9 +347,8 @@ def _extended(length: int, bits: int, frequent: np.ndarray | None):
             kept = n >= LEAST
             if frequent is None:
                 kept |= np.isin(nth, np.array(row["listed"] or [], np.int64))
-            elif len(frequent):
-                hashes = block.hashes(starts[first], length, bits)
-                kept |= frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+            else:
+                kept |= _held(frequent, block.hashes(starts[first], length, bits))
             starts = starts[kept[which]]
             if len(starts):
                 yield block.cut(starts, length).batch(row["block"])
@@ -316,9 +377,8 @@ def _counted(length: int):
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All words of each language."""
     for row in (r for batch in batches for r in batch.to_pylist()):
-        block = Block.of(row)
-        n = np.bincount(block.lang_of[block.codes[block.codes >= 0]], minlength=len(block.langs))
-        yield pa.RecordBatch.from_arrays([pa.array(block.langs, pa.string()), pa.array(n)], ["lang", "f"])
+        langs = json.loads(_restored(row["langs"]))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(_of_planes(row["sums"]))], ["lang", "f"])
 
 
 def _few(hashes: DataFrame) -> np.ndarray | None:
@@ -329,30 +389,44 @@ def _few(hashes: DataFrame) -> np.ndarray | None:
 
 
 def frequent_phrases(
-    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, bits: int = BITS
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, bits: int | None = None
 ) -> DataFrame:
     """``lang, phrase, size, f``: the phrases of up to ``longest`` words with at least ``least`` occurrences, and
     all words of each language under a null phrase."""
     assert least >= LEAST  # a block takes groups of LEAST occurrences for frequent
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    blocks = stored(texts.mapInArrow(_occurrences(block), _BLOCK_KIND))
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = blocks.mapInArrow(_totals, "lang string, f long").groupBy("lang").agg(F.sum("f").alias("f")).select(
-        "lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("size"), "f"
-    )
-    for length in range(1, longest + 1):
-        parts = blocks.mapInArrow(_hashed(length, ranges, bits), "range int, hashes binary, counts binary")
+
+    def hashes_of(rows: DataFrame, length: int, bits: int) -> tuple[DataFrame, np.ndarray | None]:
+        parts = rows.mapInArrow(_hashed(length, ranges, bits), "range int, hashes binary, counts binary")
         dealt = parts.repartition("range").sortWithinPartitions("range")
         hashes = stored(dealt.mapInArrow(_frequent(least), "hash long"))
-        few, met = _few(hashes), blocks
+        return hashes, _few(hashes)
+
+    hashes, few = hashes_of(texts, 1, WORD_BITS)
+    blocks = stored(texts.mapInArrow(_occurrences(block, few), _BLOCK_KIND))
+    found = stored(
+        blocks.mapInArrow(_totals, "lang string, f long").groupBy("lang").agg(F.sum("f").alias("f"))
+        .select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("size"), "f")
+    )
+    if bits is None:
+        bits = max(BITS, (found.agg(F.sum("f")).first()[0] or 0).bit_length() + SPARE)
+    for length in range(1, longest + 1):
+        width = WORD_BITS if length == 1 else bits
+        if length > 1:
+            hashes, few = hashes_of(blocks, length, bits)
+        met = blocks
         if few is None:
-            rare = blocks.mapInArrow(_rare(length, bits), "block long, nth int, hash long")
+            rare = blocks.mapInArrow(_rare(length, width), "block long, nth int, hash long")
             listed = (
                 rare.join(hashes, "hash", "left_semi").groupBy("block")
                 .agg(F.collect_list("nth").alias("listed"))  # at most a block's groups
             )
             met = blocks.join(listed, "block", "left")
-        blocks = stored(met.mapInArrow(_extended(length, bits, few), _BLOCK_KIND))
+        if length > 1 or few is None:
+            blocks = met.mapInArrow(_extended(length, width, few), _BLOCK_KIND)
+            if length < longest:  # else they are read once
+                blocks = stored(blocks)
         sums = blocks.mapInArrow(_counted(length), "lang string, phrase string, n long").groupBy("lang", "phrase")
         frequent = stored(sums.agg(F.sum("n").alias("f")).where(F.col("f") >= least))
         found = found.unionByName(frequent.select("lang", "phrase", F.lit(length).alias("size"), "f"))
@@ -384,7 +458,7 @@ def _inside(candidates: DataFrame) -> DataFrame:
     )
 
 
-def collocations(docs: DataFrame, top: int = TOP, block: int = BLOCK, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, block: int = BLOCK, bits: int | None = None) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's best phrases."""
     known = frequent_phrases(docs, block=block, bits=bits)
     totals = known.where("size = 0").select("lang", F.col("f").alias("n"))
