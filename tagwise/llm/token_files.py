@@ -25,6 +25,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ KEPT, LONGEST = 1 << 18, 64
 #: Parts of letters that are encoded in one string.
 TOGETHER = 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z alone
-_MARK = re.compile("([a-zà-öø-ÿ])([.,;:!?])")
+_MARK = re.compile("[.,;:!?](?<=[a-zà-öø-ÿ].)")
 #: Ids that are read in one step.
 CHUNK = 1 << 20
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long, width int, ids string, docs string, offsets string"
@@ -90,7 +91,7 @@ class Encoder:
             low = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
         if any(x in low for x in self.added):
             return [text]
-        return _MARK.sub(r"\1 \2", low).replace("\n", " ").replace("\t", " ").split(" ")
+        return _MARK.sub(r" \g<0>", low).replace("\n", " ").replace("\t", " ").split(" ")
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -125,7 +126,8 @@ class Encoder:
         self.young.update({part: self.old[part] for part in again})
         found = self._ids(list(new - again))
         self.young.update(found)
-        packed = [b"".join(map(self.young.__getitem__, parts)) + self.end for parts in split]
+        # itemgetter needs two keys for a tuple, and the empty part has no ids
+        packed = [b"".join(itemgetter("", "", *parts)(self.young)) + self.end for parts in split]
         for part in found:
             if len(part) > LONGEST:
                 del self.young[part]
