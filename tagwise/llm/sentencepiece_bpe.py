@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -40,7 +41,7 @@ from tagwise.llm.learning import free_name
 SEED = 4
 DROPOUT = 0.1
 #: Bytes, by estimate, that a worker's trees may take before they are forgotten.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 32 << 20
 BLANK = "▁"
 LITERAL = "\0▁\0"
 #: Runs of at most so many characters have a tree; longer ones are worked off one by one. The pieces are the same.
@@ -144,11 +145,14 @@ class Pieces:
 
     def __getstate__(self) -> dict:
         left_out = ("roots", "once", "children", "pieces_of", "looked", "of", "held")
-        return {k: v for k, v in self.__dict__.items() if k not in left_out}
+        model = {k: v for k, v in self.__dict__.items() if k not in left_out}
+        return {"name": self.name, "model": pickle.dumps(model, pickle.HIGHEST_PROTOCOL)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = _LIVE.setdefault(state["name"], state)
-        if "roots" not in state:
+        if state["name"] not in _LIVE:  # else the model stays packed, as the process has it
+            _LIVE[state["name"]] = pickle.loads(state["model"])
+        self.__dict__ = _LIVE[state["name"]]
+        if "roots" not in self.__dict__:
             self._forget()
 
     def _run_pattern(self) -> re.Pattern:

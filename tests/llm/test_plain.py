@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -290,6 +291,15 @@ def test_runs_are_worked_off_together_as_one_by_one():
         assert (np.frombuffer(found, np.int32).tolist(), looked) == (ids, n), run
 
 
+def test_a_worker_keeps_its_trees_from_task_to_task(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "_LIVE", {})
+    sent = pickle.dumps(pieces())
+    first = pickle.loads(sent)
+    first.encode_all([prose(1, 200)] * 3, [1, 2, 3])
+    grown = len(first.pieces_of)
+    assert grown and len(pickle.loads(sent).pieces_of) == grown
+
+
 def test_trees_that_are_forgotten_give_the_same(monkeypatch):
     texts = [prose(i, 200) for i in range(20)]
     expected = [pieces().encode(t, i) for i, t in enumerate(texts)]
