@@ -24,9 +24,7 @@ import hashlib
 import heapq
 import pickle
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +46,8 @@ LITERAL = "\0▁\0"
 LONG = 48
 #: Candidates that a tree can tell apart; an occurrence that looks at more is worked off by itself.
 WIDE = 64
+#: Symbols, with what they are filled up with, that are worked off together; they stay in a processor's cache.
+CELLS = 1 << 16
 #: Numbers of characters that have no piece begin here.
 OTHER = 1 << 24
 #: Value of what is not in the agenda.
@@ -128,7 +128,12 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
         self.name = f"{xxhash.xxh3_64_hexdigest(repr(sorted(self.scores.items())))}:{self.limit}:{seed}"
-        self.runs = self._run_pattern()
+        letter = self._letter()
+        self.runs = re.compile(rf" *{letter}+| *(?:(?!{letter})[^ ])+| +")
+        #: Of each character: 0 for the blank, 1 for letters, 2 for others.
+        self.kind = np.full(0x110000, 2, np.uint8)
+        self.kind[[m.start() for m in re.finditer(letter, "".join(map(chr, range(len(self.kind)))))]] = 1
+        self.kind[ord(" ")] = 0
         self._pair_table()
         self.draws = Draws(self.limit)
         self._forget()
@@ -155,13 +160,12 @@ class Pieces:
         if "roots" not in self.__dict__:
             self._forget()
 
-    def _run_pattern(self) -> re.Pattern:
-        """Cuts where no piece does join: before blanks, and between letters and other characters."""
+    def _letter(self) -> str:
+        """Pattern of letters. Runs are cut where no piece does join: before blanks, and between letters and others."""
         mixed = "".join(p for p in map(self._cased, self.ids) if re.search(r"[^\W\d_][\W\d_]|[\W\d_][^\W\d_]", p))
-        letter = rf"[^\W\d_{re.escape(mixed)}]" if mixed else r"[^\W\d_]"
         if any(BLANK in self._cased(p) for p in self.ids):
             raise ValueError("the vocabulary has pieces that reach across words")
-        return re.compile(rf" *{letter}+| *(?:(?!{letter})[^ ])+| +")
+        return rf"[^\W\d_{re.escape(mixed)}]" if mixed else r"[^\W\d_]"
 
     @staticmethod
     def _cased(piece: str) -> str:
@@ -195,7 +199,8 @@ class Pieces:
         return [s for s in symbols if s], looked
 
     def _pair_table(self) -> None:
-        """All pairs of symbols that make a piece, hashed, each with its value in the agenda: place and piece in one."""
+        """All pairs of symbols that make a piece, hashed, each with its value in the agenda: place, room for the row of
+        the left symbol, and piece in one."""
         number = lambda x: self.ids.get(x, OTHER + ord(x[0]))
         pairs = {
             number(piece[:i]) << 32 | number(piece[i:]): i_piece
@@ -205,7 +210,7 @@ class Pieces:
         }
         scores = {self.scores[piece] for piece in self.ids if len(piece) > 1}
         place = {score: k for k, score in enumerate(sorted(scores, reverse=True))}
-        value_of = {i: place[self.scores[piece]] << 32 | i for piece, i in self.ids.items() if len(piece) > 1}
+        value_of = {i: place[self.scores[piece]] << 38 | i for piece, i in self.ids.items() if len(piece) > 1}
         codes = np.array(sorted(pairs), np.int64)
         values = np.array([value_of[pairs[x]] for x in codes.tolist()], np.int64)
         #: Tables of codes and values, each half as large as the one before; a pair is in the first with a free slot.
@@ -232,56 +237,49 @@ class Pieces:
 
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The agenda's value of two symbols that make a piece; ``NEVER`` if they make none."""
-        shape = left.shape
-        code = (left << 32 | right).ravel()
-        code[right.ravel() < 0] = -2
+        code = left << 32 | right
+        code[right < 0] = -2
         found = np.full(len(code), NEVER, np.int64)
-        open_ = None
+        open_ = np.arange(len(code))
         for bits, keys, values in self.tables:
-            some = code if open_ is None else code[open_]
-            slot = self._slots(some, bits)
-            hit = keys[slot] == some
-            if open_ is None:
-                found[hit] = values[slot[hit]]
-                open_ = np.flatnonzero(~hit)
-            else:
-                found[open_[hit]] = values[slot[hit]]
-                open_ = open_[~hit]
-        return found.reshape(shape)
+            slot = self._slots(code, bits)
+            key = keys[slot]
+            hit = key == code
+            found[open_[hit]] = values[slot[hit]]
+            more = ~hit & (key >= 0)  # the slot is another pair's
+            open_, code = open_[more], code[more]
+        return found
 
     def _segment_alike(self, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``_segment`` for many runs of one length at once, with the set of skipped candidates of each as bits; rows of
-        symbols, in the end filled up with -1, and how many candidates were looked at."""
-        n, width = symbols.shape
+        """``_segment`` for many runs at once, each a column of symbols with -1 before and after it, with the set of
+        skipped candidates of each as bits; columns with -1 for symbols that are gone, and how many candidates were looked
+        at."""
+        height, n = symbols.shape
         looked = np.zeros(n, np.int64)
-        agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
-        rows, behind = np.arange(n), np.arange(width - 1)
-        while len(rows):
-            own = agenda[rows]
-            best = (own >> 32).argmin(axis=1)  # the leftmost of the best place
-            value = own[np.arange(len(rows)), best]
-            open_ = value < NEVER
-            rows, best, value = rows[open_], best[open_], value[open_]
+        cells, place = symbols.ravel(), np.repeat(np.arange(height) << 32, n)
+        after, before = np.arange(n, n * (height + 1)), np.arange(-n, n * (height - 1))
+        pairs = np.full((height, n), NEVER)
+        agenda = pairs.ravel()
+        agenda[:-n] = self._looked_up(cells[:-n], cells[n:]) | place[:-n]
+        while True:
+            value = pairs.min(axis=0)  # the leftmost of the best place
+            rows = np.flatnonzero(value < NEVER)
+            if not len(rows):
+                return cells.reshape(height, n), looked
+            value = value[rows]
+            left = (value >> 32 & 63) * n + rows
+            agenda[left] = NEVER
             nth = looked[rows]
-            skip = (skips[rows] >> np.minimum(nth, WIDE - 1).astype(np.uint64) & np.uint64(1) > 0) & (nth < WIDE)
             looked[rows] += 1
-            agenda[rows[skip], best[skip]] = NEVER
-            r, i = rows[~skip], best[~skip]
-            take = behind + (behind > i[:, None])  # all but the right one of the two
-            line = symbols[r]
-            each = np.arange(len(r))
-            shifted = line[each[:, None], take]
-            shifted[each, i] = value[~skip] & 0xFFFFFFFF
-            symbols[r, :-1], symbols[r, -1] = shifted, -1
-            take = np.minimum(behind + (behind >= i[:, None]), width - 2)  # all but their own pair
-            moved = agenda[r][each[:, None], take]
-            moved[:, -1] = NEVER
-            inner = np.flatnonzero(i < width - 2)
-            moved[inner, i[inner]] = self._looked_up(shifted[inner, i[inner]], shifted[inner, i[inner] + 1])
-            inner = np.flatnonzero(i > 0)
-            moved[inner, i[inner] - 1] = self._looked_up(shifted[inner, i[inner] - 1], shifted[inner, i[inner]])
-            agenda[r] = moved
-        return symbols, looked
+            skip = (skips[rows] >> np.minimum(nth, WIDE - 1).astype(np.uint64) & np.uint64(1) > 0) & (nth < WIDE)
+            left, merged = left[~skip], value[~skip] & 0xFFFFFFFF
+            right, front = after[left], before[left]
+            behind = after[right]
+            cells[left], cells[right] = merged, -1
+            after[left], before[behind] = behind, left
+            agenda[right] = NEVER
+            first = np.concatenate([front, left])
+            agenda[first] = self._looked_up(cells[first], cells[np.concatenate([left, behind])]) | place[first]
 
     def _symbols(self, run: str) -> list[str]:
         """A run's characters, blanks as their piece; the character that stands for blanks has no piece of its own."""
@@ -305,23 +303,29 @@ class Pieces:
             bits, size[k] = int(skips[k]), 0
             found[k], looked[k] = self._alone(runs[k], lambda n: n < WIDE and bool(bits >> n & 1))  # noqa: B023
         order = np.argsort(size, kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            width = int(size[members[0]]) if len(members) else 0
-            if not width:
-                continue
-            nths = members.tolist()
+        order = order[np.searchsorted(size[order], 1) :]
+        while len(order):
+            some = order[: max(1, CELLS // (int(size[order[min(len(order), CELLS // 8) - 1]]) + 2))]
+            order = order[len(some) :]
+            nths, lengths = some.tolist(), size[some]
             joined = "".join([runs[k] for k in nths]).replace(" ", BLANK)
-            symbols = self.symbol[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")].reshape(-1, width)
-            if width > 1:
-                symbols, looked[members] = self._segment_alike(symbols, skips[members])
-            packed, step = symbols.astype(np.int32).tobytes(), 4 * width
-            ends = 4 * (symbols >= 0).sum(axis=1) + step * np.arange(len(members))
-            for k, start, end in zip(nths, range(0, len(packed), step), ends.tolist()):
+            row = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            symbols = np.full((int(lengths[-1]) + 2, len(some)), -1, np.int64)
+            symbols[row, np.repeat(np.arange(len(some)), lengths)] = self.symbol[
+                np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+            ]
+            symbols, looked[some] = self._segment_alike(symbols, skips[some])
+            left = symbols.T[symbols.T >= 0]
+            packed, ends = left.astype(np.int32).tobytes(), np.cumsum((symbols >= 0).sum(axis=0))
+            start = 0
+            for k, end in zip(nths, (4 * ends).tolist()):
                 found[k] = packed[start:end]
-            for nth in np.flatnonzero((symbols >= OTHER).any(axis=1)).tolist():
-                row = [x for x in symbols[nth].tolist() if x >= 0]
+                start = end
+            for nth in np.unique(np.searchsorted(ends, np.flatnonzero(left >= OTHER), side="right")).tolist():
                 found[nths[nth]] = _packed(
-                    y for x in row for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))
+                    y
+                    for x in _ids(found[nths[nth]]).tolist()
+                    for y in ([x] if x < OTHER else self._bytes(chr(x - OTHER)))
                 )
         return found, looked
 
@@ -337,21 +341,24 @@ class Pieces:
         self.held += sum(map(len, packed)) + 260 * len(runs)
         return range(first, len(self.of))
 
-    def _rare(self, runs: list[str]) -> set[str]:
-        """Runs that occur once here and were not seen before; they get a tree only when they are seen again."""
-        new = set(runs).difference(self.roots)
-        rare = {run for run, n in Counter(filter(new.__contains__, runs)).items() if n == 1} - self.once
-        self.once |= rare
+    def _rooted(self, runs: list[str], times: np.ndarray) -> np.ndarray:
+        """The root of each of some distinct runs; -1 for those that occur once here and were not seen before, as they get
+        a tree only when they are seen again."""
+        root = np.fromiter((self.roots.get(run, -1) for run in runs), np.int64, len(runs))
+        rare = [k for k in np.flatnonzero((root < 0) & (times == 1)).tolist() if runs[k] not in self.once]
+        self.once.update(runs[k] for k in rare)
         self.held += 130 * len(rare)
-        return rare
-
-    def _nodes(self, runs: list[str], names: np.ndarray) -> np.ndarray:
-        """The node of each occurrence of a run of at most ``LONG`` characters."""
-        new = list(set(runs).difference(self.roots))
-        self.roots.update(zip(new, self._grow(new, [0] * len(new))))
-        node = np.fromiter(map(self.roots.__getitem__, runs), np.int64, len(runs))
+        new = root < 0
+        new[rare] = False
+        grown = [runs[k] for k in np.flatnonzero(new).tolist()]
+        root[new] = self._grow(grown, [0] * len(grown))
+        self.roots.update(zip(grown, root[new].tolist()))
+        return root
+
+    def _nodes(self, node: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The node of each occurrence of a run of at most ``LONG`` characters, from its root."""
         one = np.uint64(1)
-        open_, bits, drawn = np.arange(len(runs)), self.draws.bits(names, range(2)), np.full(len(runs), 16)
+        open_, bits, drawn = np.arange(len(node)), self.draws.bits(names, range(2)), np.full(len(node), 16)
         while len(open_):
             more = (self.looked[node[open_]] > drawn) & (drawn < WIDE)
             if more.any():
@@ -375,36 +382,47 @@ class Pieces:
             bits ^= lowest
         return node
 
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct runs of texts, which of them each occurrence is, and the number of occurrences in each text."""
+        joined = "".join([" " + text for text in texts if text])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kind[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        ends = np.cumsum([len(text) + 1 if text else 0 for text in texts], dtype=np.int64)
+        begins[ends[ends < len(codes)]] = True
+        cuts = np.r_[np.flatnonzero(begins), len(codes)]
+        cells = pa.Array.from_buffers(
+            pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(4 * cuts), pa.py_buffer(codes)]
+        ).dictionary_encode()
+        which = cells.indices.to_numpy()
+        some = np.zeros(len(cells.dictionary), np.int64)
+        some[which] = np.arange(len(which))
+        runs = [joined[i:j] for i, j in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
+        return runs, which, np.diff(np.searchsorted(cuts[:-1], ends), prepend=0)
+
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """The pieces of each text, packed, with its document's key."""
         if self.held > KEPT_BYTES:
             self._forget()
-        split = [self.runs.findall(" " + text) if text else [] for text in texts]
-        sizes = np.array(list(map(len, split)), np.int64)
+        runs, which, sizes = self._cut(texts)
         ends = np.cumsum(sizes)
-        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        place = np.arange(len(which)) - np.repeat(ends - sizes, sizes)
         names = _mixed(np.repeat(np.array(keys, np.uint64), sizes) + np.uint64(self.seed))
         names = _mixed(names + place.astype(np.uint64) * np.uint64(_STEP))
-        runs = list(chain.from_iterable(split))
-        long = {k: runs[k] for k in np.flatnonzero(np.fromiter(map(len, runs), np.int64, len(runs)) > LONG).tolist()}
-        for k in long:
-            runs[k] = " "
-        rare = self._rare(runs)
-        alone = np.array([k for k, run in enumerate(runs) if run in rare], np.int64)
-        rare_runs = [runs[k] for k in alone.tolist()]
-        for k in alone.tolist():
-            runs[k] = " "
-        node = self._nodes(runs, names)
-        found = list(map(self.pieces_of.__getitem__, node.tolist()))
-        packed, looked = self._work_off(rare_runs, self.draws.bits(names[alone], range(WIDE // 8)))
-        for k, run, ids, n in zip(alone.tolist(), rare_runs, packed, looked.tolist()):
-            found[k] = ids
-            if n > WIDE:
-                long[k] = run
-        for k in np.flatnonzero(self.looked[node] > WIDE).tolist():
-            long.setdefault(k, runs[k])
-        for k, run in long.items():
-            found[k] = self._alone(run, self.draws.one(int(names[k])))[0]
+        short = np.fromiter(map(len, runs), np.int64, len(runs)) <= LONG
+        root, times = np.full(len(runs), -1), np.bincount(which, minlength=len(runs))
+        root[short] = self._rooted([runs[k] for k in np.flatnonzero(short).tolist()], times[short])
+        node, short = root[which], short[which]
+        in_tree, rare = np.flatnonzero(node >= 0), np.flatnonzero(short & (node < 0))
+        node[in_tree] = self._nodes(node[in_tree], names[in_tree])
+        packed, looked = self._work_off(
+            [runs[k] for k in which[rare].tolist()], self.draws.bits(names[rare], range(WIDE // 8))
+        )
+        alone = np.r_[np.flatnonzero(~short), in_tree[self.looked[node[in_tree]] > WIDE], rare[looked > WIDE]]
+        packed += [self._alone(runs[which[k]], self.draws.one(int(names[k])))[0] for k in alone.tolist()]
+        node[np.r_[rare, alone]] = len(self.pieces_of) + np.arange(len(packed))
+        found = list(map((self.pieces_of + packed).__getitem__, node.tolist()))
         return [b"".join(found[j - n : j]) for j, n in zip(ends.tolist(), sizes.tolist())]
 
     def encode(self, text: str, doc_id: int | None = 0) -> list[int]:
