@@ -145,11 +145,12 @@ class Pieces:
         #: Of each node: pieces, candidates that were looked at, and run and skipped candidates that it stands for.
         self.pieces_of: list[bytes] = []
         self.looked = np.zeros(0, np.int64)
-        self.of: list[tuple[str, int]] = []
+        self.run_of: list[str] = []
+        self.skips = np.zeros(0, np.uint64)
         self.held = 0
 
     def __getstate__(self) -> dict:
-        left_out = ("roots", "once", "children", "pieces_of", "looked", "of", "held")
+        left_out = ("roots", "once", "children", "pieces_of", "looked", "run_of", "skips", "held")
         model = {k: v for k, v in self.__dict__.items() if k not in left_out}
         return {"name": self.name, "model": pickle.dumps(model, pickle.HIGHEST_PROTOCOL)}
 
@@ -329,17 +330,19 @@ class Pieces:
                 )
         return found, looked
 
-    def _grow(self, runs: list[str], skips: list[int]) -> range:
+    def _grow(self, runs: list[str], skips: np.ndarray) -> range:
         """New nodes for runs and their skipped candidates."""
-        packed, looked = self._work_off(runs, np.array(skips, np.uint64))
+        packed, looked = self._work_off(runs, skips)
         first = len(self.pieces_of)
         self.pieces_of += packed
-        self.of += zip(runs, skips)
-        if len(self.looked) < len(self.of):
-            self.looked = np.r_[self.looked, np.zeros(max(len(self.of), 1 << 12), np.int64)]
-        self.looked[first : len(self.of)] = looked
+        self.run_of += runs
+        if len(self.looked) < len(self.run_of):
+            more = max(len(self.run_of), 1 << 12)
+            self.looked = np.r_[self.looked, np.zeros(more, np.int64)]
+            self.skips = np.r_[self.skips, np.zeros(more, np.uint64)]
+        self.looked[first : len(self.run_of)], self.skips[first : len(self.run_of)] = looked, skips
         self.held += sum(map(len, packed)) + 260 * len(runs)
-        return range(first, len(self.of))
+        return range(first, len(self.run_of))
 
     def _rooted(self, runs: list[str], times: np.ndarray) -> np.ndarray:
         """The root of each of some distinct runs; -1 for those that occur once here and were not seen before, as they get
@@ -351,7 +354,7 @@ class Pieces:
         new = root < 0
         new[rare] = False
         grown = [runs[k] for k in np.flatnonzero(new).tolist()]
-        root[new] = self._grow(grown, [0] * len(grown))
+        root[new] = self._grow(grown, np.zeros(len(grown), np.uint64))
         self.roots.update(zip(grown, root[new].tolist()))
         return root
 
@@ -375,8 +378,9 @@ class Pieces:
             step, which = np.unique(node[open_] * WIDE + nth, return_inverse=True)
             steps = step.tolist()
             if missing := [x for x in steps if x not in self.children]:
-                parents = [self.of[x // WIDE] for x in missing]
-                grown = self._grow([run for run, _ in parents], [s | 1 << x % WIDE for (_, s), x in zip(parents, missing)])
+                parents, nth = np.divmod(np.array(missing), WIDE)
+                skips = self.skips[parents] | one << nth.astype(np.uint64)
+                grown = self._grow([self.run_of[k] for k in parents.tolist()], skips)
                 self.children.update(zip(missing, grown))
             node[open_] = np.array([self.children[x] for x in steps], np.int64)[which]
             bits ^= lowest
